@@ -2,7 +2,8 @@
 
 Sizes are words. Each source's documents are dealt into blocks by a hash of their id, and its blocks are permuted by
 another hash. A source whose target is r times its size takes its blocks floor(r) times whole, then a further pass ends
-in the block that crosses the target; of that boundary block the documents up to the target, in hash order, are taken.
+in the block that crosses the target; of that boundary block the documents that fit before the target, in hash order,
+are taken, and the smallest of its others up to the target.
 So every source has an exact block quota. The quotas are split among the output shards by a binary tree: at each node
 the left half's share of blocks is one draw from the multivariate hypergeometric distribution of the node's quotas, the
 right half gets the rest. A leaf is a shard's quota of each source; the shard takes that many next blocks in the
@@ -114,10 +115,15 @@ def draws(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float
     )
     # Blocks are bounded in number by sources x most_blocks; they are joined, not broadcast.
     rows = rows.join(sized, rows.source.eqNullSafe(sized.s) & (rows.block == sized.k))
-    # In the one boundary block of a source, documents are taken in hash order while their middle lies before the target.
-    inner = Window.partitionBy("source", "block", "part").orderBy(F.xxhash64(F.lit(seed + 2), "id"), "id", "size")
-    boundary = rows.where("part = 1").withColumn("at", F.sum("size").over(inner) - F.col("size") / 2 + F.col("before"))
-    boundary = boundary.withColumn("also", F.col("at") <= F.col("rest")).drop("at")
+    # In the one boundary block of a source, documents are taken in hash order while they fit before the target; what
+    # is then missing is filled by the smallest of the others.
+    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "id"), "id", "size")
+    others = Window.partitionBy("source", "block", "fits").orderBy("size", F.xxhash64(F.lit(seed + 2), "id"), "id")
+    boundary = rows.where("part = 1").withColumn("fits", F.col("before") + F.sum("size").over(inner) <= F.col("rest"))
+    used = F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(Window.partitionBy("source", "block"))
+    boundary = boundary.withColumn("gap", F.col("rest") - F.col("before") - used)
+    filler = F.sum("size").over(others) - F.col("size") / 2 <= F.col("gap")
+    boundary = boundary.withColumn("also", F.col("fits") | filler).drop("fits", "gap")
     rows = rows.where("part <> 1").withColumn("also", F.col("part") == 2).unionByName(boundary)
     taken = F.when(F.col("also"), F.concat("whole", F.array("part_shard"))).otherwise(F.col("whole"))
     return rows.select("id", "source", "size", "source_size", "target", taken.alias("shards")).withColumn("copies", F.size("shards"))

@@ -17,6 +17,16 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm import quality
+    from pagewright.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
+    rows = quality.scored(docs, model, ["doc_id"])
+    return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.packing import pack
 
@@ -33,13 +43,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm import language
+    from pagewright.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, ~held_out(F.col("doc_id"), 5, 0))
+    rows = language.identified(docs, model, ["doc_id"])
+    return rows.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {"op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk}
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk}
 
 ORACLE = {
     "op10_topk": """
