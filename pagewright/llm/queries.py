@@ -56,6 +56,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.spotsigs import compared
+
+    return compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm import language
     from pagewright.llm.common import held_out
@@ -72,7 +78,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings}
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs}
 
 ORACLE = {
     "op10_topk": """
