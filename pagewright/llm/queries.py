@@ -27,12 +27,27 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.licences import licences
+
+    rows = licences(table(spark, sf_dir, "documents"), ["doc_id"])
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["start"]).alias("place"), m["licence"].alias("licence"))))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",")
+    return rows.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licences"), best["licence"].alias("best"), F.round(best["dice"], 6).alias("dice"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.blocks import main_text
+
+    return main_text(table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.mixing import draws
 
@@ -78,7 +93,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs}
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences}
 
 ORACLE = {
     "op10_topk": """

@@ -352,3 +352,37 @@ def _finish_with_id(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for part in parts:
         (done,) = _finish(iter([part]))
         yield pa.RecordBatch.from_arrays([part.column(0), *done.columns], names=["id", *done.schema.names])
+
+
+def _cleaner(columns: list[str], text_at: int, chars_at: int | None):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = list(part.columns[: len(columns)])
+            texts, chars = out[text_at].to_pylist(), None if chars_at is None else out[chars_at].to_pylist()
+            for i, spans in enumerate(part.column(len(columns)).to_pylist()):
+                if spans:
+                    words = words_of(texts[i])
+                    stay, at = [], 0
+                    for a, z in _merged(spans):
+                        stay += words[at:a]
+                        at = z
+                    texts[i] = b" ".join(stay + words[at:]).decode("utf-8", "surrogatepass")
+                    if chars is not None:
+                        chars[i] = len(texts[i])
+            out[text_at] = pa.array(texts, part.schema.types[text_at])
+            if chars is not None:
+                out[chars_at] = pa.array(chars, part.schema.types[chars_at])
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return run
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs without their repeated passages. A text that loses words is its kept words joined by one space, and its
+    number of characters (where docs has that column) is counted again; other texts stay byte for byte."""
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), text_col))
+    spans, _ = repeats(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("__row").alias("row")))
+    spans = spans.withColumnsRenamed({"row": "__s", "spans": "__spans"})
+    both = keyed.join(spans, keyed["__row"] == spans["__s"], "left").select(*docs.columns, "__spans")
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+    return both.mapInArrow(_cleaner(docs.columns, docs.columns.index(text_col), chars_at), docs.schema)
