@@ -13,21 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.llm import mixing, neardup, packing, quality, substrings
 from pagewright.llm.common import use_checkpoints
 from pagewright.llm.queries import table, vocabulary
+from pagewright.session import ship_package
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking learnt from all usable labels accepts."""
+    ship_package(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
+    ship_package(spark)
     return neardup.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; a document that loses nothing stays as it is."""
+    ship_package(spark)
     return substrings.cleaned(docs)
 
 
@@ -38,6 +42,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of equal length."""
+    ship_package(spark)
     return packing.pack(docs, vocabulary())
 
 

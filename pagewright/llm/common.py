@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,13 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut from its lineage."""
+    """df, written to the shared checkpoint folder as Parquet and read again, so that its lineage and whatever the
+    optimiser has inferred about its columns end here. (DataFrame.checkpoint keeps the inferred constraints, which grow
+    from round to round in loops.) The files stay as long as the cluster keeps that folder."""
     use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/pagewright-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:
