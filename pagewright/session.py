@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,20 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        held = Path(tempfile.mkdtemp(prefix="pagewright")) / "pagewright.zip"
+        with zipfile.ZipFile(held, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(Path("pagewright") / f.relative_to(root)))
+        sc.addPyFile(str(held))
+        _shipped.add(sc.applicationId)
+    return spark
