@@ -78,7 +78,7 @@ p5 AS (SELECT *, {_columns(SECOND_RULES)} FROM p4),
 cp AS (SELECT *, {_columns(THIRD_RULES)} FROM p5),
 cur AS (SELECT * FROM cp WHERE crawl_id = 2),
 prv AS (SELECT * FROM cp WHERE crawl_id = 1),
-edges AS (SELECT CAST(l_orderkey % n AS BIGINT) AS from_id, CAST(l_partkey % n AS BIGINT) AS to_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS edge_seq,
+edges AS (SELECT CAST(l_orderkey % n AS BIGINT) AS from_id, CAST(l_partkey % n AS BIGINT) AS to_id, CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS BIGINT) AS edge_seq,
                  l_linenumber = 7 AS nofollow, l_returnflag || l_linestatus AS anchor
           FROM lineitem, nn WHERE l_orderkey < 8 * n),
 crawls AS (SELECT o_orderkey AS crawl_id, CAST(o_custkey % 20 AS BIGINT) AS site_id, CAST(o_orderdate AS TIMESTAMP) AS created_at,
@@ -131,7 +131,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") < 8 * n)
     return rows.select(
         (F.col("l_orderkey") % n).cast("long").alias("from_id"), (F.col("l_partkey") % n).cast("long").alias("to_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("edge_seq"), (F.col("l_linenumber") == 7).alias("nofollow"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).cast("long").alias("edge_seq"), (F.col("l_linenumber") == 7).alias("nofollow"),
         F.concat("l_returnflag", "l_linestatus").alias("anchor"),
     )
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,3 +42,15 @@ def ship_package(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(held))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the cluster's shared checkpoint folder and read again, for use between rounds of a loop.
+
+    The folder is spark.checkpoint.dir; only where that is unset (tests, a laptop) a temporary one is made."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright"))
+    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/pagewright-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
