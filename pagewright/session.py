@@ -44,13 +44,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the cluster's shared checkpoint folder and read again, for use between rounds of a loop.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, a laptop) a temporary one is made."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder (spark.checkpoint.dir); where that is unset (tests, a laptop) a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright"))
-    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/pagewright-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again, for use between rounds of a loop."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/pagewright-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
