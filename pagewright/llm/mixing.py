@@ -136,7 +136,7 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     """
     taken = draws(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     taken = taken.where("copies > 0").groupBy(F.col("id").alias("__id")).agg(F.max("shards").alias("__shards"))
-    both = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).drop("__id")
+    both = docs.join(taken, docs[id_col].eqNullSafe(taken["__id"])).drop(taken["__id"])
     copies = both.select("*", F.posexplode("__shards").alias("__copy", "__shard"))
     key = F.xxhash64(F.lit(seed + 3), F.col(id_col), "__copy")
     sub = F.pmod(F.xxhash64(F.lit(seed + 4), F.col(id_col), "__copy"), F.lit(SUB_SHARDS))

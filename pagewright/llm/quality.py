@@ -160,8 +160,8 @@ def _scorer(model: Ranking, text_at: int):
         for part in parts:
             texts = part.column(text_at).to_pylist()
             f = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))
-            columns = [c for i, c in enumerate(part.columns) if i != text_at or part.schema.names[i] != "__text"]
-            names = [n for n in part.schema.names if n != "__text"]
+            columns, names = list(part.columns), list(part.schema.names)
+            del columns[text_at], names[text_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(f))], names=[*names, "__score"])
 
     return run
@@ -170,7 +170,7 @@ def _scorer(model: Ranking, text_at: int):
 def scored(docs: DataFrame, model: Ranking, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns in keep of every document, and its score."""
     kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "__text"), "__score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "__score double"])
     return kept.mapInArrow(_scorer(model, len(keep)), schema).withColumnRenamed("__score", score_col)
 
 

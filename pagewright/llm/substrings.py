@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WordHashes, batches, checkpointed, column_of, mixed, words_of
+from pagewright.llm.common import WordHashes, batches, checkpointed, column_of, fresh, mixed, words_of
 
 WINDOW = 50
 GRAM = 8
@@ -380,9 +380,10 @@ def _cleaner(columns: list[str], text_at: int, chars_at: int | None):
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs without their repeated passages. A text that loses words is its kept words joined by one space, and its
     number of characters (where docs has that column) is counted again; other texts stay byte for byte."""
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), text_col))
-    spans, _ = repeats(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("__row").alias("row")))
-    spans = spans.withColumnsRenamed({"row": "__s", "spans": "__spans"})
-    both = keyed.join(spans, keyed["__row"] == spans["__s"], "left").select(*docs.columns, "__spans")
+    key, mark = fresh(docs, "__row"), fresh(docs, "__spans")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text_col))
+    spans, _ = repeats(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(key).alias("row")))
+    spans = spans.select(F.col("row").alias(key + "s"), F.col("spans").alias(mark))
+    both = keyed.join(spans, keyed[key] == spans[key + "s"], "left").select(*docs.columns, mark)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
     return both.mapInArrow(_cleaner(docs.columns, docs.columns.index(text_col), chars_at), docs.schema)
