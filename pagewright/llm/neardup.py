@@ -7,9 +7,12 @@ need 26 minhashes instead of 180. A pair of similarity s shares a key with proba
 (1 - (1 - s^2)^10) (1 - (1 - s)^6): 0.9995 at s = 0.75.
 
 Equal sets are merged first. Then candidates are confirmed on the full sets of their texts, without forming all pairs
-of a bucket: first each member of a bucket with the bucket's first; then, while a bucket still holds members of several
-components, members outside its largest component with a member of that, and at last, once those are few or nothing
-new is found, with all members of other components. So every pair in a bucket is either compared or already connected.
+of a bucket: first each member of a bucket with the bucket's first; then, where a bucket still holds several components,
+each member outside its largest one with a member of that; and at last with the members of other components that it can
+reach. What two documents can share at most is known beforehand: what each has in common with anybody, and exactly
+which shingles of a reference document (the first of their buckets) each has, as a bit map. That rules out the near
+misses of a large group before any pair is formed. So every pair in a bucket is either connected, compared, or proven to
+be no link.
 
 Defined results: null text and text without words have an empty set, link with nothing and are kept; rows that repeat a
 doc_id are one document (linked if any of its texts is); a null id takes no part in links and has a null component;
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import WordHashes, checkpointed, column_of, mixed
@@ -136,6 +139,58 @@ def _agreeing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
+def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for part in parts:
+        for a in range(0, part.num_rows, 64):
+            piece = part.slice(a, 64)
+            sets = [shingles(t, hashes) for t in column_of(piece, "text")]
+            ids = np.repeat(np.array(column_of(piece, "id"), np.int64), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "s"])
+
+
+def _profiled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, known = WordHashes(), {}
+    for part in parts:
+        bits, inside = [], []
+        for text, ref in zip(column_of(part, "text"), column_of(part, "ref_text")):
+            p = known.get(ref)
+            if p is None:
+                if len(known) >= 16:
+                    known.pop(next(iter(known)))
+                p = known[ref] = shingles(ref, hashes)
+            has = np.isin(p, shingles(text, hashes), assume_unique=True)
+            packed = np.packbits(has, bitorder="little")
+            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64).tolist())
+            inside.append(int(has.sum()))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.list_(pa.int64())), pa.array(inside, pa.int64())], names=["id", "ref", "bits", "inside"])
+
+
+def profiles(refs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """What bounds the intersections of documents, for refs (id, ref), where ref is some other id of them.
+
+    id, n, common: how many of its n shingles any other of the ids has; ref, bits, outside: which of the shingles of its
+    reference document it has, as a bit map, and how many of the common ones lie outside that document; sig.
+    """
+    held = texts.where("text is not null")
+    rows = held.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long")
+    alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id = hi").groupBy("id").agg(F.count("*").alias("alone"))
+    with_ref = refs.join(held, "id").join(held.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref")
+    maps = with_ref.select("id", "ref", "text", "ref_text").mapInArrow(_profiled, "id long, ref long, bits array<long>, inside long").dropDuplicates(["id"])
+    out = firsts.join(maps, "id").join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return out.select("id", "n", "common", "ref", "bits", F.greatest(F.lit(0), F.col("common") - F.col("inside")).alias("outside"), "sig").dropDuplicates(["id"])
+
+
+def reachable() -> Column:
+    """Whether a pair can be similar enough. Similarity p/100 of sets of n and m needs an intersection of
+    p (n + m) / (100 + p); it lies in what either has in common with others at all, and for documents of one reference
+    it is what both have of that (counted in the bit maps) and at most the lesser of what they share outside it."""
+    both = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    need = PERCENT * (F.col("n") + F.col("m"))
+    near = (100 + PERCENT) * (both + F.least("outside", "outside2")) >= need
+    return ((100 + PERCENT) * F.least("common", "common2") >= need) & F.when(F.col("ref") == F.col("ref2"), near).otherwise(True)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component of every row."""
     spark = docs.sparkSession
@@ -154,34 +209,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = components(links)
 
     # Buckets of two are settled. In larger ones, members of several components may still have to meet.
-    larger, tried, before = buckets.where("size > 2").select("key", "id", "n"), 0, None
-    while True:
-        named = larger.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("k"), F.min(F.xxhash64(F.lit(tried), "id")).alias("_h"), F.min_by("id", F.xxhash64(F.lit(tried), "id")).alias("pivot"), F.min_by("n", F.xxhash64(F.lit(tried), "id")).alias("pivot_n"))
-        most = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max(F.struct("k", "label", "pivot", "pivot_n")).alias("top")).where("labels > 1")
-        most = checkpointed(most.select("key", "members", F.col("top.k").alias("k"), F.col("top.label").alias("most"), F.col("top.pivot").alias("pivot"), F.col("top.pivot_n").alias("pivot_n")))
-        open_ = most.agg(F.sum((F.col("members") - F.col("k")) * F.col("members")).alias("cross"), F.sum("members").alias("rows")).first()
-        if not open_.cross:
+    larger, own = buckets.where("size > 2").select("key", "id"), None
+    for last in (False, True):
+        named = larger.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        counts = named.groupBy("key", "label").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
+        most = counts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label", "pivot")).alias("top")).where("labels > 1")
+        open_ = checkpointed(named.join(most.select("key", F.col("top.label").alias("most"), F.col("top.pivot").alias("pivot")), "key"))
+        if open_.isEmpty():
             break
-        named = checkpointed(named.join(most.select("key", "most", "pivot", "pivot_n"), "key"))
-        outside = named.where("label <> most")
-        close = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-        last = open_.cross <= 16 * open_.rows or (before is not None and open_.cross > 0.9 * before)
+        if own is None:
+            refs = open_.join(buckets.select("key", "head").distinct(), "key").groupBy("id").agg(F.min("head").alias("ref"))
+            own = checkpointed(profiles(refs, rows, firsts))
+        outside = open_.where("label <> most").join(own, "id")
+        other = own.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("common").alias("common2"), F.col("ref").alias("ref2"), F.col("bits").alias("bits2"), F.col("outside").alias("outside2"), F.col("sig").alias("sig2"))
         if last:
-            others = named.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("label2"))
-            met = outside.join(others, "key").where(F.col("label") != F.col("label2"))
+            others = open_.select("key", F.col("id").alias("other"), F.col("label").alias("label2")).join(other, "other")
+            met = outside.join(others, (outside["key"] == others["key"]) & (F.col("label") != F.col("label2")) & reachable())
         else:
-            met = outside.withColumnsRenamed({"pivot": "other", "pivot_n": "m"})
-        met = met.where(close).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        sig = firsts.select("id", "sig")
-        met = met.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        met = checkpointed(met.mapInArrow(_agreeing, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+            met = outside.withColumnRenamed("pivot", "other").join(other, "other").where(reachable())
+        pair = F.when(F.col("id") < F.col("other"), F.struct(F.col("id").alias("a"), F.col("other").alias("b"), F.col("sig").alias("sa"), F.col("sig2").alias("sb"))).otherwise(
+            F.struct(F.col("other").alias("a"), F.col("id").alias("b"), F.col("sig2").alias("sa"), F.col("sig").alias("sb"))
+        )
+        met = met.select(pair.alias("p")).select("p.*").distinct().join(pairs, ["a", "b"], "left_anti")
+        met = checkpointed(met.mapInArrow(_agreeing, "a long, b long"))
         if not met.isEmpty():
             links = checkpointed(links.unionByName(confirmed(met, rows)))
             labels = components(links)
-        if last:
-            break
-        tried, before = tried + 1, open_.cross
     # A document's component: that of its set's first document.
     of_set = merged.join(labels.withColumnRenamed("id", "first"), "first", "left").select("h1", "h2", "n", F.coalesce("component", "first").alias("component"))
     whole = features.select("id", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"], "left")
