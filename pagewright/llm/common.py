@@ -29,6 +29,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     use_checkpoints(df.sparkSession)
     folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/pagewright-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    # Shuffle files go when the driver collects the plans that made them; loops would otherwise keep them all on disk.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -172,10 +172,9 @@ def profiles(refs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
     id, n, common: how many of its n shingles any other of the ids has; ref, bits, outside: which of the shingles of its
     reference document it has, as a bit map, and how many of the common ones lie outside that document; sig.
     """
-    held = texts.where("text is not null")
-    rows = held.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long")
+    rows = texts.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long")
     alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id = hi").groupBy("id").agg(F.count("*").alias("alone"))
-    with_ref = refs.join(held, "id").join(held.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref")
+    with_ref = refs.join(texts, "id").join(texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref")
     maps = with_ref.select("id", "ref", "text", "ref_text").mapInArrow(_profiled, "id long, ref long, bits array<long>, inside long").dropDuplicates(["id"])
     out = firsts.join(maps, "id").join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     return out.select("id", "n", "common", "ref", "bits", F.greatest(F.lit(0), F.col("common") - F.col("inside")).alias("outside"), "sig").dropDuplicates(["id"])
@@ -198,11 +197,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     features = checkpointed(rows.mapInArrow(_features, _FEATURES_DDL))
     real = features.where("n > 0 and id is not null")
     merged = checkpointed(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    firsts = real.select("id", "n", "h1", "h2", "keys", "sig").join(merged, ["h1", "h2", "n"]).where("id = first")
-    in_bucket = Window.partitionBy("key")
-    buckets = firsts.select(F.explode("keys").alias("key"), "id", "n").distinct()
-    buckets = buckets.withColumn("size", F.count("*").over(in_bucket)).withColumn("head", F.min("id").over(in_bucket)).where("size > 1")
-    buckets = checkpointed(buckets.select("key", "id", "n", "size", "head"))
+    firsts = checkpointed(real.select("id", "n", "h1", "h2", "keys", "sig").join(merged, ["h1", "h2", "n"]).where("id = first"))
+    # Counts are combined before the shuffle, so that a key of very many documents is no load of one task.
+    keyed = firsts.select(F.explode("keys").alias("key"), "id")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
+    buckets = checkpointed(keyed.join(sizes, "key").select("key", "id", "size", "head").distinct())
+    # Only texts that share a table with another one are moved from here on.
+    rows = checkpointed(rows.where("text is not null").join(buckets.select("id").distinct(), "id", "left_semi"))
 
     pairs = buckets.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(pairs, rows)
