@@ -76,7 +76,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """rows (id, text) and next_text, the text of the row that follows by id (after the last: the first).
+    """rows (id, text) with own, their signatures, and next_text and following, the text and signatures of the row that
+    follows by id (after the last: the first). Signatures are made once, before rows are dealt, and travel with them.
 
     Rows are dealt into buckets of id ranges, several to a shuffle partition; the first rows of each bucket are added to
     the bucket before it as its end, so that no window spans more than a bucket. Bucket bounds come from approximate
@@ -106,8 +107,10 @@ def with_next(rows: DataFrame) -> DataFrame:
     last = spark.createDataFrame(ends, "lo long, end_of int")
     first_rows = rows.join(F.broadcast(last), rows.id.eqNullSafe(last.lo)).select("id", "text", F.col("end_of").alias("bucket"))
     both = dealt.withColumn("added", F.lit(0)).unionByName(first_rows.withColumn("added", F.lit(1)))
+    both = with_signatures(both, "text", "own")
     order = Window.partitionBy("bucket").orderBy("added", F.asc_nulls_first("id"), "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).where("added = 0").select("id", "text", "next_text")
+    both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("following", F.lead("own").over(order))
+    return both.where("added = 0").select("id", "text", "own", "next_text", "following")
 
 
 def edited(rows: DataFrame) -> DataFrame:
@@ -126,8 +129,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with the likeness to the edited and to the next text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_signatures(edited(with_next(rows)), "text", "own")
-    rows = with_signatures(with_signatures(rows, "edited", "changed"), "next_text", "following")
+    rows = with_signatures(edited(with_next(rows)), "edited", "changed")
     return rows.select(
         "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"),
