@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,9 +40,12 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "title")
+RAW_TAGS = ("script", "style", "textarea", "title")  # their content is no markup
+HIDDEN_TAGS = frozenset((*RAW_TAGS, "template", "noscript", "svg", "iframe", "object"))
+_RAW_START = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN_TAGS) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -60,6 +64,42 @@ class Block:
     linked: int  # characters within links
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, bool, str, bool]]:
+    """Start, end, tag, whether it is an end tag, attributes, and whether the element is closed, of each piece of markup.
+
+    Comments and closed raw elements are one piece without a tag. Closed is told of hidden elements only.
+    """
+    out: list[tuple[int, int, str, bool, str, bool]] = []
+    ends: dict[str, list[tuple[int, int]]] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            tag = m["raw"].lower()
+            if tag not in ends:
+                ends[tag] = [e.span() for e in _RAW_END[tag].finditer(page)]
+            k = bisect_left(ends[tag], (at, 0))
+            closed = k < len(ends[tag])
+            if m[0].endswith("/>") and not (closed and not _RAW_START[tag].search(page, at, ends[tag][k][0])):
+                out.append((m.start(), at, "", False, "", True))  # self-closed: empty
+            elif closed:
+                at = ends[tag][k][1]
+                out.append((m.start(), at, "", False, "", True))
+            else:
+                out.append((m.start(), at, tag, False, "", False))
+            continue
+        tag, end, rest = (m["tag"] or "").lower(), bool(m["end"]), m["rest"] or ""
+        if tag in HIDDEN_TAGS and not rest.endswith("/"):
+            if not end:
+                opened.setdefault(tag, []).append(len(out))
+            elif opened.get(tag):
+                k = opened[tag].pop()
+                out[k] = (*out[k][:5], True)
+        out.append((m.start(), at, tag, end, rest, False))
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, with character references decoded and white space made single spaces."""
     out: list[Block] = []
@@ -68,6 +108,8 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     linked = links = 0
+    hidden: int | None = None  # place in the stack of the outermost hidden element
+    walls: set[int] = set()  # places of closed hidden elements: what opens in them ends nothing outside
 
     def close() -> None:
         nonlocal held, linked
@@ -78,58 +120,81 @@ def blocks(page: str | None) -> list[Block]:
             held, linked = [], 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
+        if hidden is not None and depth <= hidden:
+            if depth < hidden:  # an unclosed hidden element ends with its parent
+                pop_to(hidden)
+            hidden = None
         for tag, _ in stack[depth:]:
             links -= tag == "a"
+        walls.difference_update(range(depth, len(stack)))
         del stack[depth:]
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def text(piece: str) -> None:
+        nonlocal linked
+        if hidden is None:
             held.append(piece)
             linked += len(piece) if links else 0
-        at = m.end()
-        tag = m["tag"]
+
+    def leave(depth: int, tag: str) -> None:
+        """Ends the element at depth of the stack; a block tag that ends a hidden one from outside ends the block too."""
+        if hidden is not None and depth < hidden:
+            pop_to(hidden)
+            if tag in BLOCK_TAGS:
+                close()
+        pop_to(depth)
+
+    at = 0
+    for start, stop, tag, end, rest, closed in _tokens(page):
+        if start > at:
+            text(page[at:start])
+        at = stop
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
-            held.append(" ")
-        if tag in BLOCK_TAGS:
+            text(" ")
+        if tag in BLOCK_TAGS and hidden is None:
             close()
-        if m["end"]:
+        if end:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     # An inline end tag does not reach beyond its block.
-                    if tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[depth + 1 :]):
-                        pop_to(depth)
+                    if tag in BLOCK_TAGS or tag in HIDDEN_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[depth + 1 :]):
+                        leave(depth, tag)
                     break
             continue
+        if tag == "body" and hidden is not None and hidden not in walls:
+            leave(hidden, tag)
         if tag in _CLOSES_P:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":
-                    pop_to(depth)
+                    leave(depth, tag)
                     break
-                if stack[depth][0] in BLOCK_TAGS:
+                if stack[depth][0] in BLOCK_TAGS or depth in walls:
                     break
         if tag in _SIBLINGS:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in _SIBLINGS[tag]:
-                    pop_to(depth)
+                    leave(depth, tag)
                     break
-                if stack[depth][0] in ("ul", "ol", "dl", "table", "select", "menu"):
+                if stack[depth][0] in ("ul", "ol", "dl", "table", "select", "menu") or depth in walls:
                     break
-        if tag in VOID_TAGS or m["rest"].endswith("/"):
+        if tag in VOID_TAGS or rest.endswith("/"):
             continue
         names = [tag]
-        for a, b, c in _NAMES.findall(m["rest"]) if m["rest"] else ():
+        for a, b, c in _NAMES.findall(rest) if rest else ():
             names += ["." + x.lower() for x in _NAME_PARTS.findall(a or b or c)]
+        if tag in HIDDEN_TAGS:
+            if closed:
+                walls.add(len(stack))
+            if hidden is None:
+                hidden = len(stack)
         stack.append((tag, tuple(names)))
         links += tag == "a"
     if at < len(page):
-        held.append(page[at:])
-        linked += len(page) - at if links else 0
+        text(page[at:])
+    if hidden is not None:
+        pop_to(hidden)
     close()
     return out
 

@@ -187,6 +187,29 @@ def test_block_labels_on_unseen_pages():
     assert right / sum(len(y) for _, y in pages) >= 0.98
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<p>one <svg viewBox="0 0 1 1"/> two</p><p>three</p>', ["one two", "three"]),
+        ("<p>one <math/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><p>three</p>", ["let x=1 be", "three"]),
+        *((f"<p>one <{t} data=x> two</p><p>three</p>", ["one", "three"]) for t in ("object", "iframe", "noscript", "svg", "template", "script", "style", "textarea", "title")),
+        ("<p>one <iframe src=x><p>three", ["one", "three"]),
+        ("<p>one</p><iframe src=a> two</article><article><p>three <iframe src=b></iframe> four</p>", ["one", "three four"]),
+        ("<p>one <object><div>no</div><p>no</object> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <noscript><div>no</noscript> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg><svg><title>no</title></svg>no</svg> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <script>var t='</p>';</script> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <script src=a/><b>two</b></p><p>three</p><script>no()</script>", ["one two", "three"]),
+    ],
+)
+def test_hidden_elements_end_where_they_should(inner, want):
+    from pagewright.llm import blocks as B
+
+    assert [b.text for b in B.blocks(f"<html><body><article>{inner}</article><p>last</p></body></html>")] == [*want, "last"]
+    assert not any(set(b.path) & B.HIDDEN_TAGS for b in B.blocks(f"<article>{inner}</article>"))
+
+
 # ---- 5 mixing ----------------------------------------------------------------------------------------------------------
 
 
