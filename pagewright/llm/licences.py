@@ -16,6 +16,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +62,8 @@ def dice(a: Counter, b: Counter) -> float:
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
+        #: The threshold without the rounding of a float: bounds cut at it exactly.
+        self.exact = Fraction(str(threshold))
         self.names = sorted(templates)
         self.words = [normalised(templates[n]) for n in self.names]
         self.grams = [Counter(zip(w, w[1:])) for w in self.words]
@@ -72,9 +76,8 @@ class Scanner:
 
     def lengths(self, n: int) -> range:
         """Window sizes in bigrams that can reach the threshold with n bigrams: 2 min / (m + n) >= threshold."""
-        t = self.threshold
-        low = -(-n * t // (2 - t))
-        return range(max(1, int(low)), int(n * (2 - t) / t) + 1)
+        t = self.exact
+        return range(max(1, ceil(n * t / (2 - t))), floor(n * (2 - t) / t) + 1)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """name, dice, first word and number of words of each match, in order of place and name."""
@@ -89,7 +92,7 @@ class Scanner:
         for k, at in hits.items():
             n = self.grams[k].total()
             sizes = self.lengths(n)
-            need = max(1, int(-(-self.threshold * (n + sizes[0]) // 2)))
+            need = max(1, ceil(self.exact * (n + sizes[0]) / 2))
             best: list[tuple[float, int, int]] = []
             # A match holds at least `need` of the template's bigrams within the longest window.
             for a in range(len(at) - need + 1):

@@ -106,6 +106,33 @@ def test_licences_against_all_windows(spark):
         assert got[i] == want, (i, t)
 
 
+def test_licence_windows_at_the_threshold():
+    """Windows of templates whose Dice is exactly 4/5: cut at the end, with strange words within, or both."""
+    from pagewright.llm import licences as L
+
+    scanner = L.Scanner()
+    for n in range(1, 60):
+        assert list(scanner.lengths(n)) == [m for m in range(1, 4 * n + 1) if 2 * min(m, n) * 5 >= 4 * (m + n)], n
+    tried = 0
+    for name, words, grams in zip(scanner.names, scanner.words, scanner.grams):
+        n = len(words) - 1
+        # A word put in breaks a bigram and adds two, a word cut off takes one: 10 * (n - cut - put) = 4 * (2 * n - cut + put).
+        texts = []
+        for put in range(n // 7 + 1):
+            cut, rest = divmod(n - 7 * put, 3)
+            if rest == 0:
+                kept = words[: n + 1 - cut]
+                first = (len(kept) - put) // 2
+                texts.append([w for i, w in enumerate(kept) for w in ([w, f"strange{i}"] if first <= i < first + put else [w])])
+        for t in texts:
+            windows = [t[a : a + m + 1] for m in range(1, len(t)) for a in range(len(t) - m)]
+            assert max(L.dice(Counter(zip(w, w[1:])), grams) for w in windows) >= L.THRESHOLD
+            assert name in {m[0] for m in scanner.scan(" ".join(t))}, (name, t)
+            tried += 1
+    assert tried >= 10
+    assert [m[0] for m in scanner.scan("the Apache License, Version 2.0")].count("Apache-2.0") == 1
+
+
 # ---- 3 packing ---------------------------------------------------------------------------------------------------------
 
 
