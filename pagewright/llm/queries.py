@@ -30,7 +30,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.licences import licences
 
-    rows = licences(table(spark, sf_dir, "documents"), ["doc_id"])
+    rows = licences(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("matches", F.filter("matches", lambda m: m["wins"]))
     best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), (-m["start"]).alias("place"), m["licence"].alias("licence"))))
     names = F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",")
     return rows.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licences"), best["licence"].alias("best"), F.round(best["dice"], 6).alias("dice"))

@@ -133,6 +133,26 @@ def test_licence_windows_at_the_threshold():
     assert [m[0] for m in scanner.scan("the Apache License, Version 2.0")].count("Apache-2.0") == 1
 
 
+def test_licences_are_told_apart():
+    """Each template wins over its neighbours on its own text, also among other words; the bare rights line is known."""
+    from pagewright.llm import licences as L
+
+    scanner = L.Scanner()
+
+    def won(text):
+        found = scanner.scan(text)
+        return [m[0] for m, w in zip(found, scanner.winners(found)) if w]
+
+    assert won("Text. All rights reserved.") == ["All-rights-reserved"]
+    for name, text in L.TEMPLATES.items():
+        assert name in won(text) and name in won(f"some words {text} and more"), (name, won(text))
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    assert won(gpl) == ["GPL-2.0-header"] and won(gpl.replace("General", "Affero General").replace("version 2", "version 3")) == ["AGPL-3.0-header"]
+    assert won(gpl.replace("program", "library").replace("General", "Lesser General").replace("version 2", "version 2.1")) == ["LGPL-2.1-header"]
+    assert won(gpl.replace("version 2", "version 3")) == ["GPL-3.0-header"]
+    assert won(L.TEMPLATES["BSD-2-Clause-text"]) == ["BSD-2-Clause-text"] and won(L.TEMPLATES["BSD-3-Clause-text"]) == ["BSD-3-Clause-text"]
+
+
 # ---- 3 packing ---------------------------------------------------------------------------------------------------------
 
 
