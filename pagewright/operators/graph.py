@@ -85,6 +85,13 @@ def inlink_samples(edges: DataFrame, problem: DataFrame, most: int = 20) -> Data
     return first.unionByName(bad).distinct()
 
 
+def redirect_inlinks(pages: DataFrame, edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """to_id, from_id, edge_seq, inlinks_capped: the first links, in order, to pages that redirect; capped if there are most of them."""
+    redirecting = pages.where("status BETWEEN 300 AND 399").select(F.col("page_id").alias("to_id"))
+    first = edges.select("to_id", "from_id", "edge_seq").join(redirecting, "to_id", "left_semi").orderBy("edge_seq").limit(most)
+    return first.crossJoin(F.broadcast(first.agg((F.count("*") >= most).alias("inlinks_capped"))))
+
+
 def without_navigation(edges: DataFrame, parents: DataFrame, root: int, n_pages: Column | int) -> DataFrame:
     """Distinct links less those to the root, to pages that at least half of (ten or more) pages link, and the tree's own."""
     pairs = edges.where("from_id <> to_id").select("from_id", "to_id").distinct()

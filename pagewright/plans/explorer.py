@@ -96,7 +96,16 @@ def src5(spark, sf_dir):
 
 @query("src6", BASE + "SELECT page_id, url, status, indexability, canonical FROM cur ORDER BY page_id LIMIT 20000")
 def src6(spark, sf_dir):
-    return current(spark, sf_dir).select("page_id", "url", "status", "indexability", "canonical").orderBy("page_id").limit(20000)
+    """Every page of the newest crawl, as the policy rules read it; its SQL stops at 20,000 pages."""
+    return current(spark, sf_dir).select("page_id", "url", "status", "indexability", "canonical").orderBy("page_id")
+
+
+@query("src6_inlinks")
+def src6_inlinks(spark, sf_dir):
+    """Links to redirecting pages for the rule of preferred addresses: 20,000 at most, and whether that many were read."""
+    from pagewright.operators.graph import redirect_inlinks
+
+    return redirect_inlinks(current(spark, sf_dir), edges(spark, sf_dir))
 
 
 @query("src7", BASE + "SELECT page_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'parsed' WHEN status = 429 OR status >= 500 OR status = 0 THEN 'all_blocked' WHEN status BETWEEN 400 AND 499 THEN 'no_rules' ELSE 'blocked' END AS crawler, CASE WHEN status BETWEEN 200 AND 299 THEN 'parsed' WHEN status = 429 OR status >= 500 OR status = 0 THEN 'all_blocked' ELSE 'no_rules' END AS report FROM cur")

@@ -65,6 +65,20 @@ def test_click_depth_parents_and_redirects(spark):
     assert {(r.page_id, r.final_url, r.final_status, r.hops) for r in G.final_target(pages).collect()} == {(0, "c", 200, 2), (1, "c", 200, 1), (4, "gone", None, 1)}
 
 
+def test_policy_reads_every_page_and_caps_links(spark, tmp_path):
+    from pagewright.plans import all_plans
+
+    n = 21_500
+    spark.range(n).selectExpr("id AS page_id", "concat('https://e.com/p/', id) AS url", "'<title>t</title><article>x</article>' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = all_plans.QUERIES["src6"](spark, str(tmp_path)).select("page_id").toPandas().page_id
+    assert list(rows) == [i for i in range(n) if i == 0 or i % 23]
+    pages = spark.createDataFrame([(0, 200), (1, 301), (2, 308)], "page_id long, status int")
+    edges = spark.createDataFrame([(5, i % 3, 100 - i) for i in range(30)], "from_id long, to_id long, edge_seq long")
+    for most, capped in ((7, True), (20, True), (21, False)):
+        got = G.redirect_inlinks(pages, edges, most).collect()
+        assert {(r.edge_seq, r.to_id) for r in got} == set(sorted((100 - i, i % 3) for i in range(30) if i % 3)[:most]) and {r.inlinks_capped for r in got} == {capped}
+
+
 def test_link_score_against_numpy(spark):
     rng = np.random.default_rng(2)
     n, pairs = 25, {(int(a), int(b)) for a, b in rng.integers(0, 25, (60, 2))}
