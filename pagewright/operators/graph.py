@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,17 @@ def distinct_links(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from_id", "to_id").agg(F.min_by("anchor", "edge_seq").alias("anchor"), F.bool_and("nofollow").alias("nofollow"), F.min("edge_seq").alias("edge_seq"))
 
 
-def click_depth(edges: DataFrame, root: int, most: int = 50) -> DataFrame:
-    """page_id, depth by levels from root; a round is a join of the last level with the links."""
+def click_depth(edges: DataFrame, root: int) -> DataFrame:
+    """page_id, depth by levels from root; a round is a join of the last level with the links, until a level is empty."""
     links = edges.where("NOT nofollow").select("from_id", "to_id").distinct()
     seen = edges.sparkSession.createDataFrame([(root, 0)], "page_id long, depth int")
     level = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         reached = level.join(links, level.page_id == links.from_id).select(F.col("to_id").alias("page_id")).distinct()
         level = cut_lineage(reached.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
-            break
+            return seen
         seen = cut_lineage(seen.unionByName(level))
-    return seen
 
 
 def tree_parents(depths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,6 +36,64 @@ def tree_parents(depths: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("to_id").alias("page_id")).agg(F.min_by("from_id", "edge_seq").alias("parent_id"))
 
 
+def nearest_above(parents: DataFrame, wanted: Column) -> DataFrame:
+    """page_id, above: the nearest ancestor for which wanted (a condition on at) holds; pages without one are left out."""
+    up = parents.select(F.col("page_id").alias("at"), F.col("parent_id").alias("next"))
+    going = parents.select("page_id", F.col("parent_id").alias("at"))
+    found = going.where(wanted).select("page_id", F.col("at").alias("above"))
+    for k in count(1):
+        going = cut_lineage(going.where(~wanted).join(up, "at").select("page_id", F.col("next").alias("at")))
+        if going.isEmpty():
+            return found
+        found = found.unionByName(going.where(wanted).select("page_id", F.col("at").alias("above")))
+        if k % 8 == 0:
+            found = cut_lineage(found)
+
+
+def kept_pages(scores: DataFrame, parents: DataFrame, root: int, most: int) -> DataFrame:
+    """page_id of the root, then of pages by score (ties to the smaller id) with all their ancestors, while they fit in most.
+
+    A page whose missing ancestors do not fit is passed over for those that come after it. The need of a page is the best
+    place of any page that hangs under it, or its own; pages of one need are what one page adds. Up to the first that does
+    not fit the cut is one sort; then the same is done for the room left, with the pages whose missing ancestors fit in it.
+    """
+    place = F.struct((F.col("page_id") == root).alias("root"), "score", (-F.col("page_id")).alias("neg"))
+    pool = cut_lineage(scores.join(parents, "page_id", "left").select("page_id", "parent_id", place.alias("place")))
+    kept, left = pool.select("page_id").limit(0), most
+    while True:
+        up = pool.where("parent_id IS NOT NULL").select("page_id", "parent_id")
+        need = going = pool.select("page_id", F.col("place").alias("need"))
+        while True:
+            going = cut_lineage(going.join(up, "page_id").groupBy(F.col("parent_id").alias("page_id")).agg(F.max("need").alias("need")))
+            if going.isEmpty():
+                break
+            need = cut_lineage(need.unionByName(going.join(pool, "page_id", "left_semi")).groupBy("page_id").agg(F.max("need").alias("need")))
+        # Every group has a page at least, so left + 1 of them are enough to see the first that does not fit.
+        groups = need.groupBy("need").agg(F.count("*").alias("n")).orderBy(F.desc("need")).limit(left + 1).collect()
+        last, room = None, left
+        for g in groups:
+            if g.n > room:
+                break
+            last, room = g.need, room - g.n
+        else:
+            return kept.unionByName(need.select("page_id"))
+        if last is not None:
+            end = F.struct(F.lit(last.root).alias("root"), F.lit(last.score).alias("score"), F.lit(last.neg).alias("neg"))
+            kept = cut_lineage(kept.unionByName(need.where(F.col("need") >= end).select("page_id")))
+        left = room
+        if not left:
+            return kept
+        rest = cut_lineage(pool.join(kept, "page_id", "left_anti"))
+        level = rest.join(rest.select(F.col("page_id").alias("parent_id")), "parent_id", "left_anti").select("page_id")
+        fits = level
+        for _ in range(left - 1):
+            level = cut_lineage(rest.join(level.withColumnRenamed("page_id", "parent_id"), "parent_id", "left_semi").select("page_id"))
+            if level.isEmpty():
+                break
+            fits = cut_lineage(fits.unionByName(level))
+        pool = cut_lineage(rest.join(fits, "page_id", "left_semi").select("page_id", "parent_id", "place"))
+
+
 def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, cut_every: int = 6) -> DataFrame:
     """page_id, rank, score 1..100: PageRank over distinct followed links; pages without links give to all alike.
 

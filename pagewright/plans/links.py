@@ -118,15 +118,7 @@ def j22(spark, sf_dir):
 
     links = edges(spark, sf_dir)
     parents = cut_lineage(G.tree_parents(G.click_depth(links, 0), links))
-    up = parents.select(F.col("page_id").alias("at"), F.col("parent_id").alias("next"))
-    going, found = parents.select("page_id", F.col("parent_id").alias("at")), None
-    for _ in range(12):
-        hit = going.where("at % 5 = 0").select("page_id", F.col("at").alias("hub"))
-        found = hit if found is None else found.unionByName(hit)
-        going = cut_lineage(going.where("at % 5 <> 0").join(up, "at").select("page_id", F.col("next").alias("at")))
-        if going.isEmpty():
-            break
-    return found
+    return G.nearest_above(parents, F.col("at") % 5 == 0).withColumnRenamed("above", "hub")
 
 
 _FILES = "(VALUES (0, NULL), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2)) f(file, parent)"
@@ -252,23 +244,11 @@ def v8(spark, sf_dir):
 
 @query("t9")
 def t9(spark, sf_dir):
-    """A graph cut to fit: best scored pages together with all their ancestors.
-
-    A page is in if its need, the best place any page below it (or itself) has among the scores, is among the first; so
-    ancestors come before what hangs under them and the cut is one sort. Ties go to the smaller id.
-    """
+    """A graph cut to fit 5,000 pages: the root, then the pages of the best link scores together with all their ancestors."""
     from pagewright.session import cut_lineage
 
-    most = 60
+    pages = current(spark, sf_dir).select("page_id")
     links = edges(spark, sf_dir)
-    parents = cut_lineage(G.tree_parents(G.click_depth(links, 0), links))
-    scores = current(spark, sf_dir).select("page_id", F.col("inlinks").alias("score"))
-    best = F.struct(F.col("score"), (-F.col("page_id")).alias("neg"))
-    need = scores.select("page_id", best.alias("need"))
-    going = need
-    for _ in range(12):
-        going = cut_lineage(going.join(parents, "page_id").select(F.col("parent_id").alias("page_id"), "need").groupBy("page_id").agg(F.max("need").alias("need")))
-        if going.isEmpty():
-            break
-        need = cut_lineage(need.unionByName(going).groupBy("page_id").agg(F.max("need").alias("need")))
-    return need.withColumn("root", F.col("page_id") == 0).orderBy(F.desc("root"), F.desc("need"), "page_id").limit(most).select("page_id")
+    crawled = links.join(pages.withColumnRenamed("page_id", "from_id"), "from_id", "left_semi").join(pages.withColumnRenamed("page_id", "to_id"), "to_id", "left_semi")
+    parents = cut_lineage(G.tree_parents(G.click_depth(crawled, 0), crawled))
+    return G.kept_pages(G.link_score(pages, links, cut_every=1).select("page_id", "score"), parents, 0, 5000)

@@ -79,6 +79,36 @@ def test_policy_reads_every_page_and_caps_links(spark, tmp_path):
         assert {(r.edge_seq, r.to_id) for r in got} == set(sorted((100 - i, i % 3) for i in range(30) if i % 3)[:most]) and {r.inlinks_capped for r in got} == {capped}
 
 
+def test_deep_chains_are_followed_to_their_end(spark):
+    links = spark.createDataFrame([(i, i + 1, i, False) for i in range(53)], "from_id long, to_id long, edge_seq long, nofollow boolean")
+    assert {r.page_id: r.depth for r in G.click_depth(links, 0).collect()} == {i: i for i in range(54)}
+    parents = spark.createDataFrame([(i + 1, i) for i in range(18)], "page_id long, parent_id long")
+    assert {r.page_id: r.above for r in G.nearest_above(parents, F.col("at") == 0).collect()} == dict.fromkeys(range(1, 19), 0)
+
+
+@pytest.mark.parametrize(("most", "chain"), [(100, 0), (22, 14), (9, 20)])
+def test_kept_pages_against_greedy(spark, most, chain):
+    rng = np.random.default_rng(most)
+    n = 40
+    # A chain from the root at first, then a random tree; the last few pages hang nowhere. Ids are not in tree order.
+    ids = [0, *(int(i) for i in rng.permutation(np.arange(1, n)))]
+    parent = {ids[i]: ids[i - 1] if i <= chain else ids[int(rng.integers(0, i))] for i in range(1, n - 3)}
+    score = {i: int(rng.integers(1, 12)) for i in range(n)}
+    if chain:
+        score[ids[chain]] = 99
+    kept = set()
+    for i in [0, *sorted(range(n), key=lambda i: (-score[i], i))]:
+        new, at = [], i
+        while at is not None and at not in kept:
+            new.append(at)
+            at = parent.get(at)
+        if len(kept) + len(new) <= most:
+            kept |= set(new)
+    scores = spark.createDataFrame(list(score.items()), "page_id long, score int")
+    got = [r.page_id for r in G.kept_pages(scores, spark.createDataFrame(list(parent.items()), "page_id long, parent_id long"), 0, most).collect()]
+    assert len(got) == len(set(got)) and set(got) == kept and len(kept) == min(n, most)
+
+
 def test_link_score_against_numpy(spark):
     rng = np.random.default_rng(2)
     n, pairs = 25, {(int(a), int(b)) for a, b in rng.integers(0, 25, (60, 2))}
