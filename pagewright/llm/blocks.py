@@ -211,8 +211,8 @@ def rows(page: list[Block]) -> np.ndarray:
     for i, b in enumerate(page):
         for name in b.path:
             x[i, _cell(name, PATH_CELLS)] = 1
-        found = b.text[:100_000].split(" ")
-        for w in found[:400]:  # hashed words are a bag of presence; beyond a few hundred all cells are set anyway
+        found = b.text.split(" ")
+        for w in set(found):  # hashed words are a bag of presence
             x[i, PATH_CELLS + _cell(w.lower(), WORD_CELLS)] = 0.3
         n = len(b.text)
         x[i, PATH_CELLS + WORD_CELLS :] = (

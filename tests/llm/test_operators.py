@@ -257,6 +257,17 @@ def test_hidden_elements_end_where_they_should(inner, want):
     assert not any(set(b.path) & B.HIDDEN_TAGS for b in B.blocks(f"<article>{inner}</article>"))
 
 
+def test_block_rows_read_the_whole_block():
+    from pagewright.llm import blocks as B
+
+    words = [f"w{i}" for i in range(200)]
+    late = B.rows([B.Block(" ".join(["a"] * 500 + words), ("p",), 0)])[0]
+    assert (late[B.PATH_CELLS : B.PATH_CELLS + B.WORD_CELLS] > 0).all()
+    sizes = [B.rows([B.Block(" ".join(["one,", "two.", "three|", "four"] * n), ("p",), 0)])[0, B.PATH_CELLS + B.WORD_CELLS :] for n in (10, 30_000)]
+    assert all(abs(sizes[0][k] - 0.25) < 1e-6 and abs(sizes[1][k] - 0.25) < 1e-6 for k in (3, 4, 10))
+    assert abs(sizes[1][2] - np.log1p(120_000) / 6) < 1e-4
+
+
 # ---- 5 mixing ----------------------------------------------------------------------------------------------------------
 
 
