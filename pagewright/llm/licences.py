@@ -6,9 +6,9 @@ often as they stand. Two bounds prune: a window of m words can reach the thresho
 their numbers of bigrams differ by no more than the threshold allows (so only a few window lengths are tried), and a
 template is tried only where enough of its bigrams stand close together.
 
-The templates are notices, headers and titles of each version of the common licences, and the full texts of the short
-ones (MIT, BSD, ISC, Unlicense, zlib, BSL). Of the long licences the full text is known by its title, not compared word
-by word. Versions differ in few words, so a text is near to several templates: a match wins where no overlapping match
+The templates are notices, headers and titles of versions of the common licences. In full there are BSD-2 and BSD-3 only;
+of MIT and ISC there is the grant without the disclaimer, of Unlicense, zlib and BSL the beginning. Long licences are
+known by title or header, not compared word by word. Versions differ in few words, so a text is near to several templates: a match wins where no overlapping match
 holds more bigrams of its template, or as many at a better Dice.
 
 Defined results: null and empty texts match nothing; of overlapping matches of one template the best and then the first
@@ -55,7 +55,7 @@ def _gnu(kind: str, version: str, thing: str = "program", sep: str = ";") -> str
     )
 
 
-#: Notices by which texts name their licence, headers, titles, and short licences in full.
+#: Notices by which texts name their licence, headers, titles, and texts of short licences.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "AGPL-3.0-header": _gnu("Affero General Public License", "3", sep=","),
