@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space; bytes.split() of the UTF-8 text cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,12 +35,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, made longer until df has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters (dots, spaces, backticks) the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, keep: list[str] | None = None, **more: Column) -> DataFrame:
+    """df's rows (or their columns in keep) as one struct column, box, beside the columns in more: an operator's own
+    columns then never meet a name of the caller. select("box.*") gives the rows back as they were."""
+    box = F.struct("*") if keep is None else F.struct(*map(named, keep))
+    return df.select(box.alias("box"), *(c.alias(name) for name, c in more.items()))
+
+
+def with_columns(boxes: DataFrame, ddl: str) -> StructType:
+    """The schema of boxes' box followed by the columns of ddl."""
+    return StructType([boxes.schema["box"], *StructType.fromDDL(ddl).fields])
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:

@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pagewright.llm.common import boxed, column_of, named, with_columns
 
 DIM = 4096
 PER_LANGUAGE = 400
@@ -104,8 +107,9 @@ def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
     """An identifier learnt from the texts and languages of the documents for which usable holds."""
     rows = docs if usable is None else docs.where(usable)
-    text, lang, key = F.col(text_col), F.col(lang_col), F.xxhash64(F.lit(11), F.col(id_col))
-    ids = rows.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0)).select(F.col(id_col).alias("id"), lang.alias("lang"), key.alias("key"))
+    text, lang, doc = named(text_col), named(lang_col), named(id_col)
+    key = F.xxhash64(F.lit(11), doc)
+    ids = rows.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0)).select(doc.alias("id"), lang.alias("lang"), key.alias("key"))
     # The first per language of each of many parts, then the first of those: no language meets whole in one task.
     for by in (["lang", F.pmod(F.col("key"), F.lit(256))], ["lang"]):
         ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))).where(F.col("n") <= per_language).drop("n")
@@ -113,8 +117,8 @@ def learn(docs: DataFrame, usable: Column | None = None, per_language: int = PER
     if not picked:
         return None
     few = docs.sparkSession.createDataFrame(picked, "id " + ids.schema["id"].dataType.simpleString() + ", l string")
-    texts = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(few), "id").where("lang = l and text is not null")
-    got = texts.select("id", "lang", "text").mapInArrow(_cells, "id long, lang string, bits binary").collect()
+    texts = docs.select(doc.alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(few), "id").where("lang = l and text is not null")
+    got = texts.select("id", "lang", "text").mapInArrow(_cells, StructType([texts.schema["id"], *StructType.fromDDL("lang string, bits binary").fields])).collect()
     got.sort(key=lambda r: (r.id, r.lang, bytes(r.bits)))
     cells = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got], np.uint8)
     return fit(cells, [r.lang for r in got], landmarks)
@@ -125,20 +129,20 @@ def _predictor(model: Identifier | None):
         for part in parts:
             for a in range(0, part.num_rows, 1024):
                 piece = part.slice(a, 1024)
-                texts = piece.column(piece.num_columns - 1).to_pylist()
+                texts = column_of(piece, "text")
                 lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
                 able = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
                 if able:
                     best, share = model.predict(np.array([grams(texts[i]) for i in able]))
                     for i, b, s in zip(able, best, share):
                         lang[i], score[i] = model.languages[b], float(s)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(lang), pa.array(score)], names=[*piece.schema.names[:-1], "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["box", "lang", "score"])
 
     return run
 
 
 def identified(docs: DataFrame, model: Identifier | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep of every document, lang_pred and score."""
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "__lang string, __score double"])
-    return kept.mapInArrow(_predictor(model), schema).withColumnRenamed("__lang", "lang_pred").withColumnRenamed("__score", "score")
+    boxes = boxed(docs, keep, text=named(text_col))
+    found = boxes.mapInArrow(_predictor(model), with_columns(boxes, "lang string, score double"))
+    return found.select("box.*", F.col("lang").alias("lang_pred"), "score")

@@ -19,6 +19,7 @@ rows. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
@@ -26,7 +27,8 @@ from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from pagewright.llm.common import boxed, column_of, named, with_columns
 
 _BSD_2 = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -134,6 +136,23 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+class Spans:
+    """Spans that do not overlap, in order of place."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span unless it overlaps one that is there."""
+        k = bisect_right(self.starts, start)
+        if (k and self.ends[k - 1] > start) or (k < len(self.starts) and self.starts[k] < end):
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
@@ -185,10 +204,9 @@ class Scanner:
                         common += seen[g] <= grams[g]
                     if m >= sizes[0] and (d := 2 * common / (m + n)) >= self.threshold:
                         best.append((d, start, m + 1))
-            taken: list[tuple[int, int]] = []
+            taken = Spans()
             for d, start, size in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
-                if all(start >= z or start + size <= a for a, z in taken):
-                    taken.append((start, start + size))
+                if taken.add(start, start + size):
                     found.append((self.names[k], d, start, size))
         return sorted(found, key=lambda x: (x[2], x[0]))
 
@@ -198,16 +216,13 @@ class Scanner:
         size = {name: grams.total() for name, grams in zip(self.names, self.grams)}
         common = [round(d * (size[name] + words - 1) / 2) for name, d, _, words in found]
         wins = [False] * len(found)
-        taken: list[tuple[int, int]] = []
+        taken = Spans()
         for i in sorted(range(len(found)), key=lambda i: (-common[i], -found[i][1], found[i][2], found[i][0])):
-            start, end = found[i][2], found[i][2] + found[i][3]
-            if all(start >= z or end <= a for a, z in taken):
-                taken.append((start, end))
-                wins[i] = True
+            wins[i] = taken.add(found[i][2], found[i][2] + found[i][3])
         return wins
 
 
-MATCHES_DDL = "__matches array<struct<licence:string,dice:double,start:int,words:int,wins:boolean>>"
+MATCHES_DDL = "matches array<struct<licence:string,dice:double,start:int,words:int,wins:boolean>>"
 _MATCHES = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("words", pa.int32()), ("wins", pa.bool_())]))
 
 
@@ -215,15 +230,14 @@ def _scanner(templates: dict[str, str], threshold: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
         for part in parts:
-            found = [scanner.scan(t) for t in part.column(part.num_columns - 1).to_pylist()]
+            found = [scanner.scan(t) for t in column_of(part, "text")]
             rows = [[dict(zip(("licence", "dice", "start", "words", "wins"), (*m, w))) for m, w in zip(f, scanner.winners(f))] for f in found]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, _MATCHES)], names=[*part.schema.names[:-1], "__matches"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _MATCHES)], names=["box", "matches"])
 
     return run
 
 
 def licences(docs: DataFrame, keep: list[str], text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns in keep of every document, and matches: array of (licence, dice, start, words, wins)."""
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), MATCHES_DDL])
-    return kept.mapInArrow(_scanner(templates or TEMPLATES, threshold), schema).withColumnRenamed("__matches", "matches")
+    boxes = boxed(docs, keep, text=named(text_col))
+    return boxes.mapInArrow(_scanner(templates or TEMPLATES, threshold), with_columns(boxes, MATCHES_DDL)).select("box.*", "matches")

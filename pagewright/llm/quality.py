@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import column_of
+from pagewright.llm.common import boxed, column_of, named, with_columns
 
 CUT = 0.7
 PER_CLASS = 3000
@@ -143,37 +143,37 @@ def _rows_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
     """A ranking learnt from the labelled documents for which usable (over the label table's columns) holds."""
     rows = labels if usable is None else labels.where(usable)
-    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("good")).where("id is not null and good in (0, 1)")
+    rows = rows.select(named(id_col).alias("id"), named(label_col).alias("good")).where("id is not null and good in (0, 1)")
     rows = rows.groupBy("id").agg(F.max("good").cast("int").alias("good"))
     picked = [r for g in (0, 1) for r in rows.where(F.col("good") == g).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if not picked:
         return fit(np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))))
     few = docs.sparkSession.createDataFrame(picked, rows.schema)  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(few), "id")
     got = texts.select("good", "text").mapInArrow(_rows_of, "good int, f array<double>").collect()
     got.sort(key=lambda r: (r.good, r.f))
     return fit(*(np.array([r.f for r in got if r.good == g], float).reshape(-1, len(FEATURES)) for g in (1, 0)))
 
 
-def _scorer(model: Ranking, text_at: int):
+def _scorer(model: Ranking):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(text_at).to_pylist()
+            texts = column_of(part, "text")
             f = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))
-            columns, names = list(part.columns), list(part.schema.names)
-            del columns[text_at], names[text_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(f))], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(f))], names=["box", "score"])
 
     return run
 
 
+def _boxes_scored(boxes: DataFrame, model: Ranking) -> DataFrame:
+    return boxes.mapInArrow(_scorer(model), with_columns(boxes, "score double"))
+
+
 def scored(docs: DataFrame, model: Ranking, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns in keep of every document, and its score."""
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "__score double"])
-    return kept.mapInArrow(_scorer(model, len(keep)), schema).withColumnRenamed("__score", score_col)
+    return _boxes_scored(boxed(docs, keep, text=named(text_col)), model).select("box.*", F.col("score").alias(score_col))
 
 
 def accepted(docs: DataFrame, model: Ranking, cut: float = CUT, text_col: str = "text") -> DataFrame:
     """The documents with a score of at least cut, with their columns as they were."""
-    return scored(docs, model, docs.columns, text_col, "__score").where(F.col("__score") >= cut).select(*docs.columns)
+    return _boxes_scored(boxed(docs, text=named(text_col)), model).where(F.col("score") >= cut).select("box.*")

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagewright.llm.common import WordHashes, batches, checkpointed, column_of, fresh, mixed, words_of
+from pagewright.llm.common import WordHashes, batches, boxed, checkpointed, column_of, mixed, named, words_of
 
 WINDOW = 50
 GRAM = 8
@@ -277,9 +278,10 @@ def _window_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """row, spans of every row of rows (id, row, text) that loses words: [start, end) in words, as array of structs.
+    """id, row, spans of every row of rows (id, row, text) that loses words: [start, end) in words, as array of structs.
+    row tells the rows of one id apart.
 
-    The second frame is rows as dealt by row, for a join that needs no further shuffle of the texts.
+    The second frame is rows as dealt by id and row, for a join that needs no further shuffle of the texts.
     """
     positions = checkpointed(rows.where("id is not null").select("id", "row", "text").mapInArrow(_positions, _POSITIONS_DDL))
     same = positions.groupBy("key", "seg", "windows").agg(F.min("id").alias("doc"), F.max("id").alias("max_doc"))
@@ -289,9 +291,9 @@ def repeats(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> tuple[DataFr
     # One occurrence of each segment in its smallest document carries the text.
     found = positions.join(shared, ["key", "seg", "windows"]).where("id = doc")
     one = found.groupBy("key", "seg", "windows", "hot", "id").agg(F.min(F.struct("row", "start")).alias("at"))
-    wanted = one.groupBy(F.col("at.row").alias("w_row")).agg(F.collect_list(F.struct("key", "seg", "windows", "hot", F.col("at.start").alias("start"))).alias("wanted"))
-    dealt = rows.repartition("row")
-    cut = dealt.join(wanted, dealt.row == wanted.w_row).select("id", "text", "wanted").mapInArrow(_cut, _REPS_DDL)
+    wanted = one.groupBy("id", F.col("at.row").alias("row")).agg(F.collect_list(F.struct("key", "seg", "windows", "hot", F.col("at.start").alias("start"))).alias("wanted"))
+    dealt = rows.repartition("id", "row")
+    cut = dealt.join(wanted, ["id", "row"]).select("id", "text", "wanted").mapInArrow(_cut, _REPS_DDL)
     cut = checkpointed(cut)
     cold = cut.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
     runs = cold.mapInArrow(_shards, _RUNS_DDL)
@@ -300,8 +302,8 @@ def repeats(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> tuple[DataFr
     hot = hot.join(first, ["h1", "h2"]).select("key", "seg", "windows", "off", F.lit(1).alias("len"), "first")
     runs = checkpointed(runs.unionByName(hot))
     hit = positions.join(runs, ["key", "seg", "windows"]).where("first < id")
-    spans = hit.select("row", (F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + WINDOW - 1).alias("z"))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans")), dealt
+    spans = hit.select("id", "row", (F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + WINDOW - 1).alias("z"))
+    return spans.groupBy("id", "row").agg(F.collect_list(F.struct("a", "z")).alias("spans")), dealt
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -338,14 +340,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, row, n_words, n_removed, kept_sha256, kept of every row; kept is the text that is left (words joined by one
     space), null where nothing was removed.
 
-    row tells rows of one id apart; it is a hash of id and text, so rows repeated exactly have one row value.
+    row tells rows of one id apart; it is a hash of the text, so rows repeated exactly have one row value.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
     spans, dealt = repeats(rows)
-    done = dealt.join(spans.withColumnRenamed("row", "s_row"), dealt.row == F.col("s_row"), "left")
-    out = done.select("row", "text", "spans", "id")
-    return out.select("id", "row", "text", "spans").mapInArrow(_finish_with_id, "id long, row long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = dealt.join(spans, ["id", "row"], "left").select("id", "row", "text", "spans")
+    return done.mapInArrow(_finish_with_id, "id long, row long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def _finish_with_id(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,9 +358,10 @@ def _finish_with_id(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _cleaner(columns: list[str], text_at: int, chars_at: int | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = list(part.columns[: len(columns)])
+            box = part.column(0)
+            out = box.flatten()
             texts, chars = out[text_at].to_pylist(), None if chars_at is None else out[chars_at].to_pylist()
-            for i, spans in enumerate(part.column(len(columns)).to_pylist()):
+            for i, spans in enumerate(part.column(1).to_pylist()):
                 if spans:
                     words = words_of(texts[i])
                     stay, at = [], 0
@@ -369,21 +371,20 @@ def _cleaner(columns: list[str], text_at: int, chars_at: int | None):
                     texts[i] = b" ".join(stay + words[at:]).decode("utf-8", "surrogatepass")
                     if chars is not None:
                         chars[i] = len(texts[i])
-            out[text_at] = pa.array(texts, part.schema.types[text_at])
+            out[text_at] = pa.array(texts, out[text_at].type)
             if chars is not None:
-                out[chars_at] = pa.array(chars, part.schema.types[chars_at])
-            yield pa.RecordBatch.from_arrays(out, names=columns)
+                out[chars_at] = pa.array(chars, out[chars_at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(out, fields=list(box.type))], names=["box"])
 
     return run
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs without their repeated passages. A text that loses words is its kept words joined by one space, and its
-    number of characters (where docs has that column) is counted again; other texts stay byte for byte."""
-    key, mark = fresh(docs, "__row"), fresh(docs, "__spans")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), text_col))
-    spans, _ = repeats(keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(key).alias("row")))
-    spans = spans.select(F.col("row").alias(key + "s"), F.col("spans").alias(mark))
-    both = keyed.join(spans, keyed[key] == spans[key + "s"], "left").select(*docs.columns, mark)
+    number of characters (where docs has that column) is counted again; other texts and columns stay as they are."""
+    keyed = boxed(docs, id=named(id_col).cast("long"), row=F.xxhash64(named(text_col)))
+    text = F.col("box").getField(text_col)
+    spans, _ = repeats(keyed.select("id", "row", text.alias("text")))
+    both = keyed.join(spans, ["id", "row"], "left").select("box", "spans")
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
-    return both.mapInArrow(_cleaner(docs.columns, docs.columns.index(text_col), chars_at), docs.schema)
+    return both.mapInArrow(_cleaner(docs.columns, docs.columns.index(text_col), chars_at), StructType([both.schema["box"]])).select("box.*")
