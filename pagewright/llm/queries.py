@@ -55,6 +55,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("doc_id"), F.col("size").cast("long").alias("size"), "source_size", "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies",
+        F.get("shards", F.lit(0)).alias("shard"), F.get("shards", F.lit(1)).alias("second_shard"),
     )
 
 
