@@ -1,7 +1,8 @@
 """Main text of HTML pages by a recurrent block labeller.
 
-A page is cut into blocks, runs of text between block-level tags; script, style, comments and other markup hold no
-text. A block is a row of numbers: hashed tags, classes and ids of its path, hashed words, and its length, link share,
+A page is cut into blocks, runs of text between block-level tags; scripts, styles, comments, form fields, templates and
+frames hold no text. One scan goes forward over the page and remembers what it looked for in vain, so that its time grows
+with the page whatever is broken there. A block is a row of numbers: hashed tags, classes and ids of its path, hashed words, and its length, link share,
 marks and place. A bidirectional LSTM (numpy) reads the rows of a page in both directions, so that every block is
 classified with the whole document as its context, as main text or not.
 
@@ -11,7 +12,8 @@ various ways, with paragraphs that are never closed. Training takes some seconds
 deterministic; it does not look at the pages of the query.
 
 Defined results: null html is empty and has the text ''; broken markup is read as far as it goes, an unclosed tag ends
-with its parent; repeated rows are read each for itself; an empty table gives no rows. Extra columns are ignored.
+with its parent; a quote that is never closed counts for nothing; a < that no > follows is text; repeated rows are read
+each for itself; an empty table gives no rows. Extra columns are ignored. A page of very many blocks is read in slices.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import boxed, column_of, named, with_columns
+
 PATH_CELLS, WORD_CELLS, NUMBERS = 160, 16, 12
 WIDTH = PATH_CELLS + WORD_CELLS + NUMBERS
 HIDDEN = 20
@@ -41,14 +45,11 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = ("script", "style", "textarea", "title")  # their content is no markup
-HIDDEN_TAGS = frozenset((*RAW_TAGS, "template", "noscript", "svg", "iframe", "object"))
+HIDDEN_TAGS = frozenset((*RAW_TAGS, "template", "iframe"))
 _RAW_START = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_MARK = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
@@ -57,92 +58,172 @@ _CLOSES_P = BLOCK_TAGS - {"option", "optgroup", "legend", "caption", "td", "th",
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+_CONTAINERS = ("ul", "ol", "dl", "table", "select", "menu")
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags and names from the outside in
+    path: int  # a bit for each cell of the tags and names around it
     linked: int  # characters within links
 
 
+class _Ends:
+    """Where tags end. A search that failed, and the next mark of a tag, are remembered: all searches together are linear."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.vain: set[int] = set()  # quotes from which no > outside of quotes follows
+        self.seen_from = self.seen_at = -1
+
+    def after(self, at: int) -> int:
+        """The place after the > that ends a tag whose name ends at at; 0 where none does."""
+        page, quotes, place = self.page, [], at
+        while place <= self.last:
+            if not self.seen_from <= place <= self.seen_at:
+                found = _TAG_MARK.search(page, place)
+                self.seen_from, self.seen_at = place, found.start() if found else len(page)
+            place = self.seen_at
+            if place == len(page) or place in self.vain:
+                break
+            if page[place] == ">":
+                return place + 1
+            quotes.append(place)
+            place = page.find(page[place], place + 1) + 1
+            if not place:
+                break
+        self.vain.update(quotes)
+        return page.find(">", at) + 1 if at <= self.last else 0
+
+
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str, bool]]:
     """Start, end, tag, whether it is an end tag, attributes, and whether the element is closed, of each piece of markup.
 
     Comments and closed raw elements are one piece without a tag. Closed is told of hidden elements only.
     """
     out: list[tuple[int, int, str, bool, str, bool]] = []
-    ends: dict[str, list[tuple[int, int]]] = {}
+    raw_ends: dict[str, list[tuple[int, int]]] = {}
     opened: dict[str, list[int]] = {}
+    ends = _Ends(page)
     at = 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if m["raw"]:
-            tag = m["raw"].lower()
-            if tag not in ends:
-                ends[tag] = [e.span() for e in _RAW_END[tag].finditer(page)]
-            k = bisect_left(ends[tag], (at, 0))
-            closed = k < len(ends[tag])
-            if m[0].endswith("/>") and not (closed and not _RAW_START[tag].search(page, at, ends[tag][k][0])):
-                out.append((m.start(), at, "", False, "", True))  # self-closed: empty
+    while (start := page.find("<", at)) >= 0:
+        name = _NAME.match(page, start + 1)
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else len(page)
+        elif name:
+            at = ends.after(name.end())
+        else:
+            at = page.find(">", start) + 1 if start < ends.last and page[start + 1] in "!?/" else 0
+        if not at:
+            at = start + 1  # no markup
+            continue
+        if not name:
+            out.append((start, at, "", False, "", True))
+            continue
+        tag, end, rest = name[1].lower(), page[start + 1] == "/", page[name.end() : at - 1]
+        if tag in RAW_TAGS and not end:
+            if tag not in raw_ends:
+                raw_ends[tag] = [e.span() for e in _RAW_END[tag].finditer(page)]
+            k = bisect_left(raw_ends[tag], (at, 0))
+            closed = k < len(raw_ends[tag])
+            if rest.endswith("/") and not (closed and not _RAW_START[tag].search(page, at, raw_ends[tag][k][0])):
+                out.append((start, at, "", False, "", True))  # self-closed: empty
             elif closed:
-                at = ends[tag][k][1]
-                out.append((m.start(), at, "", False, "", True))
+                at = raw_ends[tag][k][1]
+                out.append((start, at, "", False, "", True))
             else:
-                out.append((m.start(), at, tag, False, "", False))
+                out.append((start, at, tag, False, "", False))
             continue
-        tag, end, rest = (m["tag"] or "").lower(), bool(m["end"]), m["rest"] or ""
         if tag in HIDDEN_TAGS and not rest.endswith("/"):
             if not end:
                 opened.setdefault(tag, []).append(len(out))
             elif opened.get(tag):
                 k = opened[tag].pop()
                 out[k] = (*out[k][:5], True)
-        out.append((m.start(), at, tag, end, rest, False))
+        out.append((start, at, tag, end, rest, False))
     return out
 
 
+class _Stack:
+    """The open elements, with the depths of each tag and the cells of all their names, kept as elements come and go."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, tuple[int, ...]]] = []
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.walls: dict[int, None] = {}  # depths of closed hidden elements: what opens in them ends nothing outside
+        self.counts = [0] * PATH_CELLS
+        self.cells = 0
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of a tag, or -1."""
+        found = self.depths.get(tag)
+        return found[-1] if found else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def last_wall(self) -> int:
+        return next(reversed(self.walls), -1)
+
+    def push(self, tag: str, cells: tuple[int, ...]) -> None:
+        self.depths.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.tags))
+        self.tags.append((tag, cells))
+        for c in cells:
+            self.counts[c] += 1
+            self.cells |= 1 << c
+
+    def cut(self, depth: int) -> None:
+        while len(self.tags) > depth:
+            tag, cells = self.tags.pop()
+            self.depths[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            for c in cells:
+                self.counts[c] -= 1
+                if not self.counts[c]:
+                    self.cells &= ~(1 << c)
+        while self.walls and self.last_wall() >= depth:
+            self.walls.popitem()
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, with character references decoded and white space made single spaces."""
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     held: list[str] = []
-    linked = links = 0
+    linked = 0
     hidden: int | None = None  # place in the stack of the outermost hidden element
-    walls: set[int] = set()  # places of closed hidden elements: what opens in them ends nothing outside
 
     def close() -> None:
         nonlocal held, linked
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append(Block(text, tuple(x for _, names in stack for x in names), linked))
+                out.append(Block(text, stack.cells, linked))
             held, linked = [], 0
 
-    def pop_to(depth: int) -> None:
-        nonlocal links, hidden
-        if hidden is not None and depth <= hidden:
-            if depth < hidden:  # an unclosed hidden element ends with its parent
-                pop_to(hidden)
-            hidden = None
-        for tag, _ in stack[depth:]:
-            links -= tag == "a"
-        walls.difference_update(range(depth, len(stack)))
-        del stack[depth:]
-
     def text(piece: str) -> None:
         nonlocal linked
         if hidden is None:
             held.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if stack.depths.get("a") else 0
 
     def leave(depth: int, tag: str) -> None:
-        """Ends the element at depth of the stack; a block tag that ends a hidden one from outside ends the block too."""
-        if hidden is not None and depth < hidden:
-            pop_to(hidden)
-            if tag in BLOCK_TAGS:
+        """Ends the element at depth of the stack. A hidden one that is not closed ends with its parent; a block tag that
+        ends it from outside ends the block too."""
+        nonlocal hidden
+        if hidden is not None and depth <= hidden:
+            stack.cut(hidden)
+            if depth < hidden and tag in BLOCK_TAGS:
                 close()
-        pop_to(depth)
+            hidden = None
+        stack.cut(depth)
 
     at = 0
     for start, stop, tag, end, rest, closed in _tokens(page):
@@ -156,45 +237,34 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS and hidden is None:
             close()
         if end:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    # An inline end tag does not reach beyond its block.
-                    if tag in BLOCK_TAGS or tag in HIDDEN_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[depth + 1 :]):
-                        leave(depth, tag)
-                    break
+            # An inline end tag does not reach beyond its block.
+            depth = stack.last(tag)
+            if depth >= 0 and (tag in BLOCK_TAGS or tag in HIDDEN_TAGS or stack.last_block() < depth):
+                leave(depth, tag)
             continue
-        if tag == "body" and hidden is not None and hidden not in walls:
+        if tag == "body" and hidden is not None and hidden not in stack.walls:
             leave(hidden, tag)
-        if tag in _CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    leave(depth, tag)
-                    break
-                if stack[depth][0] in BLOCK_TAGS or depth in walls:
-                    break
+        if tag in _CLOSES_P and (depth := stack.last("p")) >= 0 and depth == stack.last_block() and depth > stack.last_wall():
+            leave(depth, tag)
         if tag in _SIBLINGS:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in _SIBLINGS[tag]:
-                    leave(depth, tag)
-                    break
-                if stack[depth][0] in ("ul", "ol", "dl", "table", "select", "menu") or depth in walls:
-                    break
+            depth = max(map(stack.last, _SIBLINGS[tag]))
+            if depth > max(stack.last_wall(), *map(stack.last, _CONTAINERS)):
+                leave(depth, tag)
         if tag in VOID_TAGS or rest.endswith("/"):
             continue
-        names = [tag]
+        cells = [_cell(tag, PATH_CELLS)]
         for a, b, c in _NAMES.findall(rest) if rest else ():
-            names += ["." + x.lower() for x in _NAME_PARTS.findall(a or b or c)]
+            cells += [_cell("." + x.lower(), PATH_CELLS) for x in _NAME_PARTS.findall(a or b or c)]
         if tag in HIDDEN_TAGS:
             if closed:
-                walls.add(len(stack))
+                stack.walls[len(stack.tags)] = None
             if hidden is None:
-                hidden = len(stack)
-        stack.append((tag, tuple(names)))
-        links += tag == "a"
+                hidden = len(stack.tags)
+        stack.push(tag, tuple(cells))
     if at < len(page):
         text(page[at:])
     if hidden is not None:
-        pop_to(hidden)
+        stack.cut(hidden)
     close()
     return out
 
@@ -204,20 +274,21 @@ def _cell(name: str, cells: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % cells
 
 
-def rows(page: list[Block]) -> np.ndarray:
-    """The network's input: one row per block."""
-    x = np.zeros((len(page), WIDTH), np.float32)
+def rows(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """The network's input: one row for each of the blocks from first to last, as parts of the whole page."""
+    part = page[first:last]
+    x = np.zeros((len(part), WIDTH), np.float32)
+    paths = b"".join(b.path.to_bytes(PATH_CELLS // 8, "little") for b in part)
+    x[:, :PATH_CELLS] = np.unpackbits(np.frombuffer(paths, np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
     total = max(1, len(page))
-    for i, b in enumerate(page):
-        for name in b.path:
-            x[i, _cell(name, PATH_CELLS)] = 1
+    for i, b in enumerate(part):
         found = b.text.split(" ")
         for w in set(found):  # hashed words are a bag of presence
             x[i, PATH_CELLS + _cell(w.lower(), WORD_CELLS)] = 0.3
-        n = len(b.text)
+        n, place = len(b.text), (first + i) / total
         x[i, PATH_CELLS + WORD_CELLS :] = (
             np.log1p(n) / 8, min(1.0, b.linked / max(1, n)), np.log1p(len(found)) / 6, min(1.0, b.text.count(".") / len(found)),
-            min(1.0, b.text.count(",") / len(found)), n > 80, n > 250, i / total, 1 - i / total, b.text[-1] in ".!?", min(1.0, b.text.count("|") / len(found)), 1.0,
+            min(1.0, b.text.count(",") / len(found)), n > 80, n > 250, place, 1 - place, b.text[-1] in ".!?", min(1.0, b.text.count("|") / len(found)), 1.0,
         )
     return x
 
@@ -236,6 +307,32 @@ class BiLSTM:
             self.w["o"] = rng.normal(0, 0.2, (2 * HIDDEN + WIDTH,))
             self.w["ob"] = np.zeros(1)
 
+    def step(self, d: str, xw: np.ndarray, hs: np.ndarray, cs: np.ndarray, m) -> tuple[np.ndarray, ...]:
+        """One block further in direction d: gates, candidate, and the new cell and hidden values."""
+        z = xw + hs @ self.w[d + "h"]
+        g = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
+        f, i, o = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
+        c = np.tanh(z[:, 3 * HIDDEN :])
+        c_new = m * (f * cs + i * c)
+        tc = np.tanh(c_new)
+        return f, i, o, c, tc, c_new, m * (o * tc)
+
+    def long(self, page: list[Block], size: int) -> np.ndarray:
+        """Logits of one page, read in slices of size blocks: beyond a slice only the hidden values are held."""
+        out = np.full(len(page), self.w["ob"][0], np.float32)
+        starts = range(0, len(page), size)
+        for k, d in enumerate("fb"):
+            hs, cs, last = np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32), self.w["o"][k * HIDDEN : (k + 1) * HIDDEN]
+            for a in starts if d == "f" else reversed(starts):
+                x = rows(page, a, a + size)
+                xw = x @ self.w[d + "x"] + self.w[d + "b"]
+                for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+                    *_, cs, hs = self.step(d, xw[t : t + 1], hs, cs, 1)
+                    out[a + t] += hs[0] @ last
+                if d == "f":
+                    out[a : a + size] += x @ self.w["o"][2 * HIDDEN :]
+        return out
+
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """x: pages x blocks x WIDTH; mask: 1 where a block is. Logits, and what the backward pass needs."""
         n, length, _ = x.shape
@@ -245,14 +342,8 @@ class BiLSTM:
             xw = x @ self.w[d + "x"] + self.w[d + "b"]
             out, hs, cs, cache = np.zeros((n, length, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype), []
             for t in steps:
-                z = xw[:, t] + hs @ self.w[d + "h"]
-                g = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
-                f, i, o = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
-                c = np.tanh(z[:, 3 * HIDDEN :])
                 m = mask[:, t : t + 1]
-                c_new = m * (f * cs + i * c)
-                tc = np.tanh(c_new)
-                h_new = m * (o * tc)
+                f, i, o, c, tc, c_new, h_new = self.step(d, xw[:, t], hs, cs, m)
                 if keep:
                     cache.append((t, hs, cs, f, i, o, c, tc, m))
                 hs, cs = h_new, c_new
@@ -466,9 +557,9 @@ def trained() -> BiLSTM:
 
 
 def label(model: BiLSTM, pages: list[list[Block]], most_cells: int = 4096) -> list[np.ndarray]:
-    """Whether each block of each page is main text. Pages of like length are run together; a very long page alone."""
-    out: list[np.ndarray] = [np.zeros(len(p), bool) for p in pages]
-    order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+    """Whether each block of each page is main text. Pages of like length are run together; a very long page in slices."""
+    out = [model.long(p, most_cells) > 0 if len(p) > most_cells else np.zeros(len(p), bool) for p in pages]
+    order = sorted((i for i, p in enumerate(pages) if 0 < len(p) <= most_cells), key=lambda i: len(pages[i]))
     a = 0
     while a < len(order):
         z = a + 1
@@ -488,15 +579,14 @@ def _extractor(model: BiLSTM):
         for part in parts:
             for a in range(0, part.num_rows, 256):
                 piece = part.slice(a, 256)
-                pages = [blocks(p) for p in piece.column(piece.num_columns - 1).to_pylist()]
+                pages = [blocks(p) for p in column_of(piece, "html")]
                 texts = ["\n\n".join(b.text for b, m in zip(p, y) if m) for p, y in zip(pages, label(model, pages))]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string())], names=[*piece.schema.names[:-1], "__text"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.string())], names=["box", "text"])
 
     return run
 
 
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html", text_col: str = "text", model: BiLSTM | None = None) -> DataFrame:
     """The columns in keep of every page, and its main text."""
-    kept = pages.select(*keep, F.col(html_col).alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "__text string"])
-    return kept.mapInArrow(_extractor(model or trained()), schema).withColumnRenamed("__text", text_col)
+    boxes = boxed(pages, keep, html=named(html_col))
+    return boxes.mapInArrow(_extractor(model or trained()), with_columns(boxes, "text string")).select("box.*", F.col("text").alias(text_col))
