@@ -9,6 +9,11 @@ the inner-product form of the lower bound on a Euclidean distance by segment mea
 computed for whole blocks as matrix products, coarse to fine; only candidates whose bound still reaches a query's k-th
 best score are compared exactly, in integers.
 
+Queries and candidates are rows alike. Queries are dealt into groups of at most about `QUERY_GROUP` x `GROUPS_HELD`, candidates
+into chunks, and one job works all cells (group, chunk): a task takes in its cell's queries first, then streams the
+chunk's candidates past them and gives each query's best k of the chunk. What a task holds does not grow with the tables,
+and neither queries nor candidates pass the driver. With one group, each candidate is moved once.
+
 Defined results: null vectors and vectors with a null, NaN or infinite component take no part; vectors are compared
 only with queries of the same length; ties go to the smaller id; a query repeated under one id counts once (its
 smallest vector); a repeated candidate row counts as often as it stands; empty tables give no rows.
@@ -23,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import checkpointed
+from pagewright.llm.common import named
 
-#: Queries held by a task at once; further ones are worked in further groups over the candidates.
+#: Queries that are compared with a block of candidates at once, and the number of such groups that a task holds.
 QUERY_GROUP = 4096
+GROUPS_HELD = 8
 LEVELS = (4, 16)
 CANDIDATE_BLOCK = 2048
 
@@ -107,54 +113,72 @@ class _Queries:
         yield np.repeat(self.ids, self.k).reshape(real.shape)[real], self.best_id[real], self.best[real]
 
 
-def _searcher(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+class _Cell:
+    """The queries of one cell, by length of their vectors, and then its candidates."""
+
+    def __init__(self, k: int, query_group: int) -> None:
+        self.k, self.query_group = k, query_group
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held: dict[int, list[_Queries]] = {}
+
+    def take(self, kind: int, ids: np.ndarray, lists: pa.ListArray) -> None:
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(offsets)
+        for n in np.unique(sizes) if kind == 0 else list({**self.waiting, **self.held}):
+            rows = np.flatnonzero(sizes == n)
+            if not len(rows):
+                continue
+            if kind == 0:
+                self.waiting.setdefault(int(n), []).append((ids[rows], flat[offsets[rows][:, None] + np.arange(n)[None, :]]))
+                continue
+            if n in self.waiting:
+                every = [np.concatenate(c) for c in zip(*self.waiting.pop(n))]
+                self.held[n] = [_Queries(*(c[a : a + self.query_group] for c in every), self.k) for a in range(0, len(every[0]), self.query_group)]
+            for a in range(0, len(rows), CANDIDATE_BLOCK):
+                r = rows[a : a + CANDIDATE_BLOCK]
+                vectors = flat[offsets[r][:, None] + np.arange(n)[None, :]]
+                for q in self.held[n]:
+                    q.offer(ids[r], vectors)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for q in (q for same in self.held.values() for q in same):
+            for columns in q.found():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PARTIAL)
+
+
+def _searcher(k: int, query_group: int):
+    """Rows come by cell, a cell's queries (kind 0) first."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {n: _Queries(ids, vectors, k) for n, (ids, vectors) in queries.items()}
+        now, cell = None, _Cell(k, query_group)
         for part in parts:
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            lists = part.column(1)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            sizes = np.diff(offsets)
-            for n, q in held.items():
-                rows = np.nonzero(sizes == n)[0]
-                for a in range(0, len(rows), CANDIDATE_BLOCK):
-                    r = rows[a : a + CANDIDATE_BLOCK]
-                    q.offer(ids[r], flat[offsets[r][:, None] + np.arange(n)[None, :]])
-        for q in held.values():
-            for a, b, c in q.found():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], schema=PARTIAL)
+            where = part.column(0).to_numpy(zero_copy_only=False)
+            kind = part.column(1).to_numpy(zero_copy_only=False)
+            ids = part.column(2).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (kind[1:] != kind[:-1])]) if len(where) else []
+            for a, z in zip(edges, [*edges[1:], len(where)]):
+                if where[a] != now:
+                    yield from cell.found()
+                    now, cell = where[a], _Cell(k, query_group)
+                cell.take(int(kind[a]), ids[a:z], part.column(3).slice(a, z - a))
+        yield from cell.found()
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each query row with all other rows.
-
-    Queries are read to the driver and sent to the tasks in groups of QUERY_GROUP, the proven bound on what a task
-    holds; every group is one pass over the candidates, so any number of queries works in bounded memory.
-    """
-    spark = vectors.sparkSession
-    ready = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q"))
+    """query_id, rank, vec_id, score: the k highest integer inner products of each query row with all other rows."""
+    ready = vectors.select(named(id_col).cast("long").alias("id"), quantised(named(vector_col), scale).alias("v"), is_query.alias("q"))
     ready = ready.where("id is not null and v is not null and size(v) > 0")
-    n_groups = max(1, -(-ready.where("q").count() // QUERY_GROUP))
-    group = F.pmod(F.xxhash64("id"), F.lit(n_groups)) if n_groups > 1 else F.lit(0)
-    candidates = ready.select("id", "v")
-    partial = None
-    for g in range(n_groups):
-        rows = ready.where("q").where(group == g).groupBy("id").agg(F.min("v").alias("v")).collect()
-        by_length: dict[int, list] = {}
-        for r in rows:
-            by_length.setdefault(len(r["v"]), []).append(r)
-        queries = {n: (np.array([r["id"] for r in rs], np.int64), np.array([r["v"] for r in rs], np.int64).reshape(len(rs), n)) for n, rs in by_length.items()}
-        if not queries:
-            continue
-        found = candidates.mapInArrow(_searcher(queries, k), "query_id long, vec_id long, score long")
-        if n_groups > 1:
-            found = checkpointed(found)
-        partial = found if partial is None else partial.unionByName(found)
-    if partial is None:
-        partial = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    # The best of each task meet here: at most k rows from a task for each query.
+    queries = ready.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    groups = max(1, -(-queries.count() // (QUERY_GROUP * GROUPS_HELD)))
+    chunks = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // groups))
+    # Candidates are dealt round by row number, so that a row that is repeated very often lies in all chunks.
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "id", "v")
+    rows = ready.select(F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "id", "v")
+    cells = queries.unionByName(rows).select((F.col("group") * chunks + F.col("chunk")).alias("cell"), "kind", "id", "v")
+    dealt = cells.repartitionById(groups * chunks, F.col("cell")).sortWithinPartitions("cell", "kind")
+    partial = dealt.mapInArrow(_searcher(k, QUERY_GROUP), "query_id long, vec_id long, score long")
+    # The best of each chunk meet here: at most k rows from a chunk for each query.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

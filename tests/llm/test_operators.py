@@ -667,6 +667,7 @@ def test_top_k_against_brute_force(spark, monkeypatch, group):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(topk, "QUERY_GROUP", group)
+    monkeypatch.setattr(topk, "GROUPS_HELD", 1)
     rng = np.random.default_rng(4)
     vectors = [(i, [float(np.float32(x)) for x in (rng.normal(size=20) if i % 3 else np.ones(20))]) for i in range(160)]
     odd = [(200, None), (201, [1.0, None]), (202, [float("nan")] * 20), (203, [float("inf")] * 20), (204, []), (250, [1.0] * 7), (251, [2.0] * 7)]
@@ -683,3 +684,6 @@ def test_top_k_against_brute_force(spark, monkeypatch, group):
             want[i] = [(j, -s) for s, j in other]
     assert dict(got) == want
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    thrice = frame.where("vec_id < 60").unionByName(frame.where("vec_id = 50")).unionByName(frame.where("vec_id = 7"))
+    best = topk.top_k(thrice, F.col("vec_id") % 50 == 0, k=90).groupBy("query_id", "vec_id").count().collect()
+    assert {(r.query_id, r.vec_id): r["count"] for r in best} == {(a, b): 1 + (b in (7, 50)) for a in (0, 50) for b in range(60) if a != b}
