@@ -6,13 +6,16 @@ two minhashes and V of `SINGLES` cells of one. A table key combines one cell of
 need 26 minhashes instead of 180. A pair of similarity s shares a key with probability
 (1 - (1 - s^2)^10) (1 - (1 - s)^6): 0.9995 at s = 0.75.
 
-Equal sets are merged first. Then candidates are confirmed on the full sets of their texts, without forming all pairs
-of a bucket: first each member of a bucket with the bucket's first; then, where a bucket still holds several components,
-each member outside its largest one with a member of that; and at last with the members of other components that it can
-reach. What two documents can share at most is known beforehand: what each has in common with anybody, and exactly
-which shingles of a reference document (the first of their buckets) each has, as a bit map. That rules out the near
-misses of a large group before any pair is formed. So every pair in a bucket is either connected, compared, or proven to
-be no link.
+Equal sets (by SHA-256 of the whole sorted set) are merged first. Then candidates are confirmed on full sets, without
+forming all pairs of a bucket: first each member of a bucket with the bucket's first; then, where a bucket still holds
+several components, each member outside its largest one with a member of that; and at last members of different
+components that can reach each other. Those are found by their rare shingles: shingles are ordered by how many of the
+documents concerned hold them, and of two documents of similarity t the first n - 2t/(1+t) n + 1 of the one with fewer
+shingles and the first m - t m + 1 of the other one have one in common. Shingles that nobody else has come first, so
+that near misses with words of their own meet nobody. What is left is decided exactly: of its shared shingles each document
+has a bit map of those in a reference document (the first of one of its buckets) and a list of the others, so that
+documents of one reference are compared by bits and lists; others by their texts. So every pair in a bucket is either
+connected, compared, or proven to be no link.
 
 Defined results: null text and text without words have an empty set, link with nothing and are kept; rows that repeat a
 doc_id are one document (linked if any of its texts is); a null id takes no part in links and has a null component;
@@ -21,6 +24,7 @@ an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WordHashes, checkpointed, column_of, mixed
+from pagewright.llm.common import WordHashes, boxed, checkpointed, column_of, mixed, named
 from pagewright.llm.components import components
 
 SHINGLE = 5
@@ -39,9 +43,6 @@ _DRAW = np.random.default_rng(20240101)
 _XOR = _DRAW.integers(0, 2**63, size=(_N, 1), dtype=np.uint64)
 _MUL = _DRAW.integers(0, 2**63, size=(_N, 1), dtype=np.uint64) | np.uint64(1)
 _PLACE = (_DRAW.integers(0, 2**63, size=SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-#: A pair whose signatures agree in fewer cells is not compared in the last step: at similarity 0.75 fewer than 9 of 26
-#: agree with probability 2e-6.
-LEAST_AGREE = 9
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -85,27 +86,20 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-_FEATURES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
-_FEATURES_DDL = "id long, n long, h1 long, h2 long, keys array<long>, sig binary"
+_FEATURES = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_FEATURES_DDL = "id long, row long, n long, digest binary, keys array<long>"
 
 
 def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for part in parts:
-        ids, n, h1, h2, keys, sig = part.column(0), [], [], [], [], []
-        for text in part.column(1).to_pylist():
+        n, digest, keys = [], [], []
+        for text in part.column(2).to_pylist():
             s = shingles(text, hashes)
             n.append(len(s))
-            if len(s):
-                m = minhashes(s)
-                # Two sums over the scrambled set, order-free, name the set in 128 bits.
-                h1.append(int(mixed(s ^ np.uint64(0x51ED270B)).sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(mixed(s ^ np.uint64(0x2545F491)).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(table_keys(m))
-                sig.append((m >> np.uint64(40)).astype(np.uint8).tobytes())
-            else:
-                h1.append(0), h2.append(0), keys.append([]), sig.append(b"")
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip((n, h1, h2, keys, sig), _FEATURES.types[1:]))], schema=_FEATURES)
+            digest.append(hashlib.sha256(s.tobytes()).digest() if len(s) else b"")
+            keys.append(table_keys(minhashes(s)) if len(s) else [])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, t) for c, t in zip((n, digest, keys), _FEATURES.types[2:]))], schema=_FEATURES)
 
 
 def _confirmed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +127,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct())
 
 
-def _agreeing(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        x, y = (np.frombuffer(b"".join(column_of(part, c)), np.uint8).reshape(-1, _N) for c in ("sa", "sb"))
-        yield part.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
-
-
 def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for part in parts:
@@ -152,98 +140,122 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _profiled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, known = WordHashes(), {}
     for part in parts:
-        bits, inside = [], []
-        for text, ref in zip(column_of(part, "text"), column_of(part, "ref_text")):
+        bits, outside = [], []
+        for common, ref in zip(column_of(part, "common"), column_of(part, "ref_text")):
             p = known.get(ref)
             if p is None:
                 if len(known) >= 16:
                     known.pop(next(iter(known)))
                 p = known[ref] = shingles(ref, hashes)
-            has = np.isin(p, shingles(text, hashes), assume_unique=True)
-            packed = np.packbits(has, bitorder="little")
-            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64).tolist())
-            inside.append(int(has.sum()))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.list_(pa.int64())), pa.array(inside, pa.int64())], names=["id", "ref", "bits", "inside"])
+            c = np.array(common, np.int64)
+            packed = np.packbits(np.isin(p, c.view(np.uint64), assume_unique=True), bitorder="little")
+            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
+            outside.append(c[~np.isin(c.view(np.uint64), p, assume_unique=True)])
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(bits, lists), pa.array(outside, lists)], names=["id", "n", "ref", "common", "bits", "outside"])
 
 
-def profiles(refs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """What bounds the intersections of documents, for refs (id, ref), where ref is some other id of them.
+def profiles(refs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What decides between documents, for refs (id, ref), where ref is some other id of them, and sizes (id, n).
 
-    id, n, common: how many of its n shingles any other of the ids has; ref, bits, outside: which of the shingles of its
-    reference document it has, as a bit map, and how many of the common ones lie outside that document; sig.
+    id, n; common: those of its shingles that any other of the ids has, rarest first; ref; bits: which shingles of its
+    reference document it has; outside: the common ones that are not among those. Ids without common shingles are left out.
     """
-    rows = texts.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long")
-    alone = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id = hi").groupBy("id").agg(F.count("*").alias("alone"))
-    with_ref = refs.join(texts, "id").join(texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref")
-    maps = with_ref.select("id", "ref", "text", "ref_text").mapInArrow(_profiled, "id long, ref long, bits array<long>, inside long").dropDuplicates(["id"])
-    out = firsts.join(maps, "id").join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
-    return out.select("id", "n", "common", "ref", "bits", F.greatest(F.lit(0), F.col("common") - F.col("inside")).alias("outside"), "sig").dropDuplicates(["id"])
-
-
-def reachable() -> Column:
-    """Whether a pair can be similar enough. Similarity p/100 of sets of n and m needs an intersection of
-    p (n + m) / (100 + p); it lies in what either has in common with others at all, and for documents of one reference
-    it is what both have of that (counted in the bit maps) and at most the lesser of what they share outside it."""
-    both = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    need = PERCENT * (F.col("n") + F.col("m"))
-    near = (100 + PERCENT) * (both + F.least("outside", "outside2")) >= need
-    return ((100 + PERCENT) * F.least("common", "common2") >= need) & F.when(F.col("ref") == F.col("ref2"), near).otherwise(True)
+    rows = checkpointed(texts.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long"))
+    often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    common = rows.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c")).select("id", F.col("c.s").alias("common"))
+    ref_texts = texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text"))
+    with_ref = refs.join(common, "id").join(sizes, "id").join(ref_texts, "ref").select("id", "n", "ref", "common", "ref_text")
+    return with_ref.mapInArrow(_profiled, "id long, n long, ref long, common array<long>, bits array<long>, outside array<long>")
+
+
+def prefix(share: Column) -> Column:
+    """The common shingles among the first n - share + 1 of a document, its own ones standing before them."""
+    alone = F.col("n") - F.size("common")
+    return F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("n") - share + 1 - alone).cast("int"))
+
+
+def reaching(open_: DataFrame, own: DataFrame) -> DataFrame:
+    """a, b: documents of different labels (open_: id, label) that their rare shingles do not rule out."""
+
+    def share(of: int, parts: int) -> Column:  # of * n / parts, rounded up, in whole numbers
+        return F.expr(f"({of} * n + {parts - 1}) div {parts}")
+
+    labelled = own.join(open_.select("id", "label").distinct(), "id")
+    short = labelled.select("id", "n", "label", F.explode(prefix(share(2 * PERCENT, 100 + PERCENT))).alias("s"))
+    long_ = labelled.select(F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"), F.explode(prefix(share(PERCENT, 100))).alias("s"))
+    # Shingles of one label only join nothing; they are dropped before the join.
+    several = long_.groupBy("s").agg(F.min("label2").alias("lo"), F.max("label2").alias("hi")).where("lo < hi").select("s")
+    met = short.join(several, "s").join(long_, "s").where((F.col("label") != F.col("label2")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") < F.col("id2")))) & (100 * F.col("n") >= PERCENT * F.col("m")))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def judged(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links: decided by bits and lists under one reference, else by their texts."""
+    left = own.select(F.col("id").alias("a"), "n", "ref", "bits", "outside", F.size("common").alias("common"))
+    right = own.select(F.col("id").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "ref", "bits", "outside")), F.size("common").alias("common2"))
+    need = PERCENT * (F.col("n") + F.col("n2"))
+    able = (100 + PERCENT) * F.least("common", "common2") >= need
+    inside = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    at_most = (100 + PERCENT) * (inside + F.least(F.size("outside"), F.size("outside2"))) >= need
+    exact = (100 + PERCENT) * (inside + F.size(F.array_intersect("outside", "outside2"))) >= need
+    met = pairs.join(left, "a").join(right, "b").where(able)
+    verdict = F.when(F.col("ref") != F.col("ref2"), F.lit("ask")).when(at_most & exact, F.lit("link"))
+    met = checkpointed(met.select("a", "b", verdict.alias("verdict")).where("verdict is not null"))
+    return met.where("verdict = 'link'").select("a", "b").unionByName(confirmed(met.where("verdict = 'ask'").select("a", "b"), texts))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component of every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """id, n_shingles, component of every row. Inside, the things that are linked are the different sets, by a number."""
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("row"), named(text_col).alias("text"))
     features = checkpointed(rows.mapInArrow(_features, _FEATURES_DDL))
     real = features.where("n > 0 and id is not null")
-    merged = checkpointed(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    firsts = checkpointed(real.select("id", "n", "h1", "h2", "keys", "sig").join(merged, ["h1", "h2", "n"]).where("id = first"))
+    merged = real.groupBy("digest", "n").agg(F.min(F.struct("id", "row")).alias("at"), F.any_value("keys").alias("keys"))
+    merged = checkpointed(merged.select("digest", "n", "at.id", "at.row", "keys", F.monotonically_increasing_id().alias("set")))
+    owner = checkpointed(features.select("id", "n", "digest").join(merged.select("digest", "n", "set"), ["digest", "n"], "left").select("id", "n", "set"))
     # Counts are combined before the shuffle, so that a key of very many documents is no load of one task.
-    keyed = firsts.select(F.explode("keys").alias("key"), "id")
+    keyed = merged.select(F.explode("keys").alias("key"), F.col("set").alias("id")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    buckets = checkpointed(keyed.join(sizes, "key").select("key", "id", "size", "head").distinct())
-    # Only texts that share a table with another one are moved from here on.
-    rows = checkpointed(rows.where("text is not null").join(buckets.select("id").distinct(), "id", "left_semi"))
+    buckets = checkpointed(keyed.join(sizes, "key").select("key", "id", "size", "head"))
+    # Only texts that share a table with another one are moved from here on, one for each set.
+    shared = merged.join(buckets.select(F.col("id").alias("set")).distinct(), "set").select("id", "row", "set")
+    texts = rows.join(shared, ["id", "row"]).dropDuplicates(["id", "row"])
+    texts = checkpointed(texts.select(F.col("set").alias("id"), "text"))
 
     pairs = buckets.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(pairs, rows)
+    one_id = owner.where("set is not null and id is not null").groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a < z")
+    one_id = owner.join(one_id, "id").where("set <> a").select("a", F.col("set").alias("b")).distinct()
+    links = checkpointed(confirmed(pairs, texts).unionByName(one_id))
     labels = components(links)
 
     # Buckets of two are settled. In larger ones, members of several components may still have to meet.
     larger, own = buckets.where("size > 2").select("key", "id"), None
     for last in (False, True):
-        named = larger.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
+        labelled = larger.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
         most = counts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label", "pivot")).alias("top")).where("labels > 1")
-        open_ = checkpointed(named.join(most.select("key", F.col("top.label").alias("most"), F.col("top.pivot").alias("pivot")), "key"))
+        open_ = checkpointed(labelled.join(most.select("key", F.col("top.label").alias("most"), F.col("top.pivot").alias("pivot")), "key"))
         if open_.isEmpty():
             break
         if own is None:
             refs = open_.join(buckets.select("key", "head").distinct(), "key").groupBy("id").agg(F.min("head").alias("ref"))
-            own = checkpointed(profiles(refs, rows, firsts))
-        outside = open_.where("label <> most").join(own, "id")
-        other = own.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("common").alias("common2"), F.col("ref").alias("ref2"), F.col("bits").alias("bits2"), F.col("outside").alias("outside2"), F.col("sig").alias("sig2"))
+            own = checkpointed(profiles(refs, texts, merged.select(F.col("set").alias("id"), "n")))
         if last:
-            others = open_.select("key", F.col("id").alias("other"), F.col("label").alias("label2")).join(other, "other")
-            met = outside.join(others, (outside["key"] == others["key"]) & (F.col("label") != F.col("label2")) & reachable())
+            met = reaching(open_, own)
         else:
-            met = outside.withColumnRenamed("pivot", "other").join(other, "other").where(reachable())
-        pair = F.when(F.col("id") < F.col("other"), F.struct(F.col("id").alias("a"), F.col("other").alias("b"), F.col("sig").alias("sa"), F.col("sig2").alias("sb"))).otherwise(
-            F.struct(F.col("other").alias("a"), F.col("id").alias("b"), F.col("sig2").alias("sa"), F.col("sig").alias("sb"))
-        )
-        met = met.select(pair.alias("p")).select("p.*").distinct().join(pairs, ["a", "b"], "left_anti")
-        met = checkpointed(met.mapInArrow(_agreeing, "a long, b long"))
+            met = open_.where("label <> most").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        met = checkpointed(met.join(pairs, ["a", "b"], "left_anti"))
         if not met.isEmpty():
-            links = checkpointed(links.unionByName(confirmed(met, rows)))
+            links = checkpointed(links.unionByName(judged(met, own, texts)))
             labels = components(links)
-    # A document's component: that of its set's first document.
-    of_set = merged.join(labels.withColumnRenamed("id", "first"), "first", "left").select("h1", "h2", "n", F.coalesce("component", "first").alias("component"))
-    whole = features.select("id", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"], "left")
-    out = whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-    return out
+    # A set's component goes by the smallest doc_id of the component's sets.
+    of_set = merged.select("set", "id").join(labels.withColumnRenamed("id", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("top"))
+    names = of_set.groupBy("top").agg(F.min("id").alias("component"))
+    of_set = of_set.join(names, "top").select("set", "component")
+    return owner.join(of_set, "set", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the one of the smallest id) of each component."""
-    gone = classes(docs, id_col, text_col).where("component <> id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    gone = classes(docs, id_col, text_col).where("component <> id").select("id").distinct()
+    return boxed(docs, id=named(id_col).cast("long")).join(gone, "id", "left_anti").select("box.*")

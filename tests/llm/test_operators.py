@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -335,8 +336,6 @@ def test_blocks_against_a_parser():
 
 def test_blocks_take_linear_time():
     """Broken pages of a megabyte: unclosed tags and quotes, deep nesting, end tags without a start, very many blocks."""
-    import time
-
     from pagewright.llm import blocks as B
 
     n = 100_000
@@ -573,6 +572,62 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id_and_odd_columns(spark):
+    """Rows of one id are one document: texts of both link through it. Columns of any name stay."""
+    from pagewright.llm import neardup
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (6, b), (7, a + " z"), (7, b), (8, "other words are here now")]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, `a.b` int, box string")
+    assert {(r.id, r.component) for r in neardup.classes(frame).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+    kept = neardup.deduplicated(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [5, 8]
+
+
+def test_near_misses_of_one_bucket(spark):
+    """Some thousand documents that share most words and are near misses of each other, with a few links among them."""
+    from pagewright.llm import neardup
+
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(200)]
+    texts = [(i, " ".join(common + [f"u{i}x{k}" for k in range(rng.randrange(36, 42))])) for i in range(2500)]
+    for i in range(0, 60, 3):  # linked to one that is neither first nor in the first's component
+        texts[i + 1] = (i + 1, texts[i + 30][1] + " more words")
+    sets = {}
+    for i, t in texts:
+        sets[i] = set(neardup.shingles(t, neardup.WordHashes()).tolist())
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    # Whoever shares none of its own words shares the common ones only: 196 of at least 232 + 232 - 196.
+    links = {(min(i, j), max(i, j)) for h in holders.values() if len(h) < 50 for i in h for j in h if i != j}
+    links = {(i, j) for i, j in links if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(links) >= 20 and 100 * 196 < 75 * (2 * 232 - 196)
+    want = {i: i for i in sets}
+    for _ in range(5):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    start = time.time()
+    assert {r.id: r.component for r in neardup.classes(docs_frame(spark, texts)).collect()} == want
+    assert time.time() - start < 240
+
+
+def test_banding_recall():
+    """Sets of similarity 0.75 to 0.8 share a table in nearly all draws."""
+    from pagewright.llm import neardup
+
+    rng = np.random.default_rng(12)
+    met = tries = 0
+    for _ in range(1500):
+        both, own = rng.integers(0, 2**63, 240, dtype=np.uint64), rng.integers(0, 2**63, 80, dtype=np.uint64)
+        k = int(rng.integers(32, 41))
+        a, b = (neardup.minhashes(np.concatenate([both, own[p : p + k]])) for p in (0, 40))
+        tries += 1
+        met += bool((neardup.table_keys(a) == neardup.table_keys(b)).any())
+    assert met / tries >= 0.998, met / tries
+
+
 def test_components_of_paths_and_stars(spark):
     from pagewright.llm.components import components
 
