@@ -6,17 +6,19 @@ dealt to shards by it: all occurrences of a window meet in one shard, and no sha
 segments are merged before that (the smallest doc_id stays), segments whose minimizer no other document holds are
 settled, and only the representatives of the rest carry text.
 
-A shard's representatives are indexed by an FM-index: word ids sorted by their next WINDOW words, the words before them
-(the transform) in a wavelet tree of bit planes with running counts. All segments of the shard are then streamed
-through it by backward search in step: from the suffix range of the window one word to the right, the range of its first
-WINDOW - 1 words (parent range, from the marks where neighbours differ within that many words) is extended by the
-word on the left through the wavelet tree's ranks. Its matching statistic, cut off at WINDOW, is thus known at every
-place; each window's range gives the smallest document that holds it. Shards are worked in pieces of `SHARD_WORDS` words
-that never split a minimizer.
+A shard's representatives are indexed by a compressed FM-index: the words before the suffixes (the transform) lie in a
+wavelet tree of packed bit planes, whose ranks are sampled once for each 64 bits and counted from there. All segments of
+the shard are then streamed through it by backward search in step: from the suffix range of the window one word to the
+right, the range of its first WINDOW - 1 words (parent range, by ranks and selects on marks of where neighbours differ
+within that many words) is extended by the word on the left through the wavelet tree. Its matching statistic, cut off at
+WINDOW, is thus known at every place; each window's range gives the smallest document that holds it. Shards are worked in
+pieces of `SHARD_WORDS` words that never split a minimizer.
 
 A minimizer with more than `MOST_SEGMENTS` different segments (the edges of a passage that very many documents share)
-would make one shard large. Its windows are matched one by one instead: a hash of each window in 128 bits, with the
-smallest document taken before and after the shuffle.
+would make one shard large. Its segments are cut again, into runs of windows with one core: the words around the
+minimizer that all of them hold, in steps of 8 words. Equal windows have equal cores, so they meet again, in a shard of
+that core; a core that is still too common is widened, in steps of 4, of 2, and at last to the whole window, of which
+there is one. So every window goes through an FM-index or is the only one of its kind, and no shard grows with a passage.
 
 Defined results: null text has no words; a document of fewer than WINDOW words loses nothing; only windows of other
 documents (smaller doc_id) count, so repeats inside a document stay; rows that repeat a doc_id are cut each for itself and never against
@@ -43,7 +45,9 @@ MOST_SEGMENTS = 1500
 
 _DRAW = np.random.default_rng(20240202)
 _GRAM_PLACE = _DRAW.integers(0, 2**63, size=GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WINDOW_PLACE = [_DRAW.integers(0, 2**63, size=WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_SEGMENT_PLACE = _DRAW.integers(0, 2**63, size=2 * WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse of 64 bits
+_POWERS, _INVERSES = (np.array([pow(b, k, 2**64) for k in range(2 * WINDOW)], np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64)))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,15 +59,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimizer of each segment of a document with word hashes h."""
-    if len(h) < WINDOW:
-        return (np.zeros(0, np.int64),) * 3
+def gram_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of GRAM words of a text with word hashes h."""
     n = len(h) - GRAM + 1
     g = np.zeros(n, np.uint64)
     for k in range(GRAM):
         g += h[k : n + k] * _GRAM_PLACE[k]
-    least = sliding_min(mixed(g), WINDOW - GRAM + 1)
+    return mixed(g)
+
+
+def segments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and minimizer of each segment of a document with word hashes h."""
+    if len(h) < WINDOW:
+        return (np.zeros(0, np.int64),) * 3
+    least = sliding_min(gram_hashes(h), WINDOW - GRAM + 1)
     # A run stops after WINDOW windows at the latest, counted from its start, so that segments stay short in texts that
     # repeat themselves; equal windows still hold equal minimizers.
     change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
@@ -80,7 +89,6 @@ _POSITIONS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("start", pa.in
 
 def _positions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    place = np.random.default_rng(3).integers(0, 2**63, size=2 * WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for part in parts:
         out = []
         for i, row, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -91,53 +99,63 @@ def _positions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A segment's own hash: of all its words, by place.
             length = size + WINDOW - 1
             within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            terms = h[np.repeat(start, length) + within] * place[within]
+            terms = h[np.repeat(start, length) + within] * _SEGMENT_PLACE[within]
             seg = mixed(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
             out.append((np.full(len(start), i), np.full(len(start), row), start.astype(np.int32), size.astype(np.int32), key, seg.view(np.int64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), _POSITIONS.types)], schema=_POSITIONS)
 
 
+class Bits:
+    """A bit vector with ranks: words of 64 bits, and the number of ones before each word."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.packbits(bit, bitorder="little")
+        self.words = np.pad(packed, (0, -len(packed) % 8 + 8)).view(np.uint64)
+        self.before = np.cumsum(np.r_[0, np.bitwise_count(self.words[:-1])], dtype=np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The number of ones before each place."""
+        word = at >> 6
+        inside = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word] + np.bitwise_count(inside)
+
+
 class FMIndex:
     """Words of concatenated segments, suffixes sorted by their first WINDOW words, and a wavelet tree over the
     transform. Each segment ends in a mark of its own value 0, which no search enters."""
 
-    def __init__(self, ids: np.ndarray, n_words: int) -> None:
+    def __init__(self, ids: np.ndarray, n_words: int, owner: np.ndarray) -> None:
         n = self.n = len(ids)
         # Ranks by the first 1, 2, 4, ... words; a suffix that runs out is smaller.
-        rank = {1: ids.astype(np.int64)}
+        rank = ids.astype(np.int64)
         k = 1
         while 2 * k <= WINDOW:
-            rank[2 * k], _ = self._ranks(rank[k], rank[k], k)
+            rank, _ = self._ranks(rank, rank, k)
             k *= 2
-        if k < WINDOW - 1:
-            near, _ = self._ranks(rank[k], rank[k], WINDOW - 1 - k)
-        else:
-            near = rank[k]
-        full, self.order = self._ranks(rank[k], rank[k], WINDOW - k)
-        # Range of each suffix among those with equal first WINDOW - 1 and WINDOW words.
-        at = full[self.order]
+        near = self._ranks(rank, rank, WINDOW - 1 - k)[0] if k < WINDOW - 1 else rank
+        full, order = self._ranks(rank, rank, WINDOW - k)
+        # Marks of the first suffix of each run with equal first WINDOW and WINDOW - 1 words.
+        at = full[order]
         start = np.r_[True, at[1:] != at[:-1]]
-        self.group = np.cumsum(start) - 1
-        self.group_start = np.flatnonzero(start)
-        at = near[self.order]
-        edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        wide = np.diff(np.r_[edges, n])
-        self.parent_lo = np.repeat(edges, wide)
-        self.parent_hi = np.repeat(edges + wide, wide)
-        transform = ids[self.order - 1]  # order 0 wraps to the last mark
-        self.before = np.r_[0, np.cumsum(np.bincount(ids, minlength=n_words + 1))]
+        self.groups = Bits(start)
+        self.smallest = np.minimum.reduceat(owner[order], np.flatnonzero(start))
+        at = near[order]
+        start = np.r_[True, at[1:] != at[:-1]]
+        self.parents = Bits(start)
+        self.edges = np.r_[np.flatnonzero(start), n].astype(np.int32)
+        self.before = np.r_[0, np.cumsum(np.bincount(ids, minlength=n_words + 1))].astype(np.int32)
         # Wavelet tree as bit planes from the highest bit (each plane stably sorted by the bits above).
-        self.planes: list[tuple[np.ndarray, int]] = []
-        bits = max(1, int(n_words).bit_length())
-        now = transform
-        for b in range(bits - 1, -1, -1):
-            bit = (now >> b) & 1
-            ones = np.zeros(n + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.planes.append((ones, n - int(ones[-1])))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
-        self.bits = bits
+        self.planes: list[tuple[Bits, int]] = []
+        self.bits = max(1, int(n_words).bit_length())
+        now = ids[order - 1].astype(np.int32)  # the transform; order 0 wraps to the last mark
+        for b in range(self.bits - 1, -1, -1):
+            bit = ((now >> b) & 1).astype(bool)
+            self.planes.append((Bits(bit), n - int(bit.sum())))
+            now = np.concatenate([now[~bit], now[bit]])
+        # Where each word's run begins once all planes have sorted them.
+        every = np.arange(n_words + 1)
+        self.starts = self._down(every, np.zeros(n_words + 1, np.int64))
 
     @staticmethod
     def _ranks(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,28 +169,27 @@ class FMIndex:
         rank[order] = new
         return rank, order
 
+    def _down(self, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for j, (bits, zeros) in enumerate(self.planes):
+            ones = bits.rank(at)
+            at = np.where((word >> (self.bits - 1 - j)) & 1, zeros + ones, at - ones)
+        return at
+
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the suffix ranges of each word followed by what the ranges hold."""
-        a, z = lo, hi
-        for j, (ones, zeros) in enumerate(self.planes):
-            bit = ((word >> (self.bits - 1 - j)) & 1).astype(bool)
-            ra, rz = ones[a], ones[z]
-            a = np.where(bit, zeros + ra, a - ra)
-            z = np.where(bit, zeros + rz, z - rz)
+        both = self._down(np.concatenate([word, word]), np.concatenate([lo, hi]))
         # After all planes the words stand sorted; occurrences before the range are counted from the word's own start.
-        base = self._word_start(word)
-        return self.before[word] + a - base, self.before[word] + z - base
+        base = self.before[word] - self.starts[word]
+        return base + both[: len(word)], base + both[len(word) :]
 
-    def _word_start(self, word: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_starts"):
-            every = np.arange(len(self.before) - 1)
-            a = np.zeros(len(every), np.int64)
-            for j, (ones, zeros) in enumerate(self.planes):
-                bit = ((every >> (self.bits - 1 - j)) & 1).astype(bool)
-                ra = ones[a]
-                a = np.where(bit, zeros + ra, a - ra)
-            self._starts = a
-        return self._starts[word]
+    def parent(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of the first WINDOW - 1 words of the suffixes at lo."""
+        k = self.parents.rank(lo + 1)
+        return self.edges[k - 1], self.edges[k]
+
+    def holder(self, lo: np.ndarray) -> np.ndarray:
+        """The smallest owner of the windows whose ranges begin at lo."""
+        return self.smallest[self.groups.rank(lo + 1) - 1]
 
 
 def first_holders(texts: list[list[bytes]], docs: np.ndarray) -> list[np.ndarray]:
@@ -185,9 +202,7 @@ def first_holders(texts: list[list[bytes]], docs: np.ndarray) -> list[np.ndarray
     real = np.ones(len(ids), bool)
     real[ends] = False
     ids[real] = flat
-    index = FMIndex(ids, len(ids_of))
-    owner = np.repeat(docs, length + 1)
-    smallest = np.minimum.reduceat(owner[index.order], index.group_start)
+    index = FMIndex(ids, len(ids_of), np.repeat(docs, length + 1))
     windows = length - WINDOW + 1
     out = np.empty(int(windows.sum()), np.int64)
     out_end = np.cumsum(windows)
@@ -196,13 +211,13 @@ def first_holders(texts: list[list[bytes]], docs: np.ndarray) -> list[np.ndarray
     lo, hi = np.zeros(len(texts), np.int64), np.full(len(texts), index.n, np.int64)
     for back in range(1, WINDOW + 1):
         lo, hi = index.extend(ids[ends - back], lo, hi)
-    out[out_end - 1] = smallest[index.group[lo]]
+    out[out_end - 1] = index.holder(lo)
     sizes = -windows[by_size]
     for step in range(1, int(windows.max())):
         live = by_size[: np.searchsorted(sizes, -step)]  # segments with more than step windows
-        a, z = index.extend(ids[ends[live] - WINDOW - step], index.parent_lo[lo[live]], index.parent_hi[lo[live]])
+        a, z = index.extend(ids[ends[live] - WINDOW - step], *index.parent(lo[live]))
         lo[live], hi[live] = a, z
-        out[out_end[live] - 1 - step] = smallest[index.group[a]]
+        out[out_end[live] - 1 - step] = index.holder(a)
     return np.split(out, out_end[:-1])
 
 
@@ -261,20 +276,58 @@ def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), _REPS, 4000)
 
 
-_WINDOWS_DDL = "key long, seg long, windows int, off int, h1 long, h2 long, doc long"
+_ORIGIN = ["o_key", "o_seg", "o_windows", "o_off"]
+_CORES_DDL = "o_key long, o_seg long, o_windows int, o_off int, key long, seg long, windows int, doc long, text string"
+_CORES = pa.schema([("o_key", pa.int64()), ("o_seg", pa.int64()), ("o_windows", pa.int32()), ("o_off", pa.int32()), *((n, _REPS.field(n).type) for n in ("key", "seg", "windows", "doc", "text"))])
 
 
-def _window_hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for part in parts:
-        for key, seg, windows, doc, text in zip(*(column_of(part, c) for c in ("key", "seg", "windows", "doc", "text"))):
-            h = hashes.of(text.encode("utf-8", "surrogatepass").split())
-            both = [mixed(np.lib.stride_tricks.sliding_window_view(h, WINDOW) @ place).view(np.int64) for place in _WINDOW_PLACE]
-            n = len(both[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, key)), pa.array(np.full(n, seg)), pa.array(np.full(n, windows), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(both[0]), pa.array(both[1]), pa.array(np.full(n, doc))],
-                names=["key", "seg", "windows", "off", "h1", "h2", "doc"],
-            )
+def _cores(step: int):
+    """Segments of a minimizer (o_key) cut into runs of windows with one core, which becomes their key."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def rows() -> Iterator[tuple]:
+            for part in parts:
+                for o_key, o_seg, o_windows, o_off, windows, doc, text in zip(*(column_of(part, c) for c in (*_ORIGIN, "windows", "doc", "text"))):
+                    words = words_of(text)
+                    h = hashes.of(words)
+                    at = np.flatnonzero(gram_hashes(h).view(np.int64) == o_key)
+                    first = np.arange(windows)
+                    at = at[np.searchsorted(at, first)]  # where the minimizer first stands in each window
+                    left, right = (at - first) // step * step, (WINDOW - GRAM - at + first) // step * step
+                    lo, hi = at - left, at + GRAM + right
+                    sums = np.r_[np.uint64(0), np.cumsum(h * _POWERS[: len(h)])]
+                    core = (sums[hi] - sums[lo]) * _INVERSES[lo]
+                    key = mixed(core + mixed(((step * WINDOW + left) * WINDOW + right).astype(np.uint64)) + np.int64(o_key).view(np.uint64)).view(np.int64)
+                    # Of windows that are their own core, each is a run by itself.
+                    edges = first if step == 1 else np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    for a, n in zip(edges.tolist(), np.diff(np.r_[edges, windows]).tolist()):
+                        own = h[a : a + n + WINDOW - 1]
+                        seg = mixed((own * _SEGMENT_PLACE[: len(own)]).sum(keepdims=True) + np.uint64(len(own))).view(np.int64)
+                        yield o_key, o_seg, o_windows, o_off + a, int(key[a]), int(seg[0]), n, doc, b" ".join(words[a : a + n + WINDOW - 1]).decode("utf-8", "surrogatepass")
+
+        yield from batches(rows(), _CORES, 4000)
+
+    return run
+
+
+def _split(hot: DataFrame, most_segments: int) -> Iterator[DataFrame]:
+    """Runs (as of _shards) of segments (key, seg, windows, doc, text) of too common minimizers, by ever wider cores."""
+    now = hot.select(F.col("key").alias("o_key"), F.col("seg").alias("o_seg"), F.col("windows").alias("o_windows"), F.lit(0).alias("o_off"), "windows", "doc", "text")
+    for step in (8, 4, 2, 1):
+        if now.isEmpty():
+            return
+        cut = checkpointed(now.mapInArrow(_cores(step), _CORES_DDL))
+        same = cut.groupBy("key", "seg", "windows").agg(F.min("doc").alias("doc"), F.any_value("text").alias("text"))
+        sizes = cut.select("key", "seg", "windows").distinct().groupBy("key").agg(F.count("*").alias("n"))
+        same = checkpointed(same.join(sizes, "key"))
+        alone = same.where("n = 1").select("key", "seg", "windows", F.lit(0).alias("off"), F.col("windows").alias("len"), F.col("doc").alias("first"))
+        cold = same.where((F.col("n") > 1) & (F.col("n") <= most_segments)).drop("n").repartition("key").sortWithinPartitions("key")
+        runs = alone.unionByName(cold.mapInArrow(_shards, _RUNS_DDL))
+        met = cut.select(*_ORIGIN, "key", "seg", "windows").join(runs, ["key", "seg", "windows"])
+        yield met.select(F.col("o_key").alias("key"), F.col("o_seg").alias("seg"), F.col("o_windows").alias("windows"), (F.col("o_off") + F.col("off")).alias("off"), "len", "first")
+        now = cut.join(sizes.where(F.col("n") > most_segments), "key", "left_semi")
 
 
 def repeats(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> tuple[DataFrame, DataFrame]:
@@ -297,10 +350,9 @@ def repeats(rows: DataFrame, most_segments: int = MOST_SEGMENTS) -> tuple[DataFr
     cut = checkpointed(cut)
     cold = cut.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key")
     runs = cold.mapInArrow(_shards, _RUNS_DDL)
-    hot = cut.where("hot").mapInArrow(_window_hashes, _WINDOWS_DDL)
-    first = hot.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    hot = hot.join(first, ["h1", "h2"]).select("key", "seg", "windows", "off", F.lit(1).alias("len"), "first")
-    runs = checkpointed(runs.unionByName(hot))
+    for more in _split(cut.where("hot").drop("hot"), most_segments):
+        runs = runs.unionByName(more)
+    runs = checkpointed(runs)
     hit = positions.join(runs, ["key", "seg", "windows"]).where("first < id")
     spans = hit.select("id", "row", (F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + WINDOW - 1).alias("z"))
     return spans.groupBy("id", "row").agg(F.collect_list(F.struct("a", "z")).alias("spans")), dealt
