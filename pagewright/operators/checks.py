@@ -92,38 +92,30 @@ def mask(flags: dict[str, Column]) -> Column:
     return total
 
 
-def duplicates(pages: DataFrame, slug: str, key: Column) -> DataFrame:
-    """page_id, issues: html pages open to the index that share a non-blank key with another one.
+def duplicates(pages: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """page_id, issues: html pages open to the index that share a non-blank key (by slug of its check) with another one.
 
-    Keys are counted first (partial counts before the shuffle), so that a key that very many pages share does not have
-    to meet whole in one task.
+    All kinds of keys are counted in one aggregate (partial counts before the shuffle), so that a key that very many
+    pages share does not have to meet whole in one task.
     """
-    open_ = pages.where(F.col("html_ok") & (F.col("indexability") == "indexable")).select("page_id", key.alias("key")).where("key <> ''")
-    shared = open_.groupBy("key").count().where("count > 1").select("key")
-    return open_.join(shared, "key").select("page_id", F.lit(1 << BITS[slug]).cast("long").alias("issues"))
+    made = F.array(*(F.struct(F.lit(BITS[slug]).alias("bit"), key.alias("key")) for slug, key in keys.items()))
+    open_ = pages.where(F.col("html_ok") & (F.col("indexability") == "indexable")).select("page_id", F.explode(made).alias("k")).select("page_id", "k.bit", "k.key").where("key <> ''")
+    shared = open_.groupBy("bit", "key").count().where("count > 1").select("bit", "key")
+    return open_.join(shared, ["bit", "key"]).select("page_id", F.expr("shiftleft(CAST(1 AS BIGINT), bit)").alias("issues"))
 
 
 def site_checks(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """page_id, issues: the checks that need other pages or the links."""
     folded = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    parts = [
-        duplicates(pages, "title_duplicate", folded("title")),
-        duplicates(pages, "description_duplicate", folded("description")),
-        duplicates(pages, "h1_duplicate", folded("h1")),
-        duplicates(pages, "content_duplicate", F.sha2("article", 256)),
-    ]
+    shared = duplicates(pages, {"title_duplicate": folded("title"), "description_duplicate": folded("description"), "h1_duplicate": folded("h1"), "content_duplicate": F.col("content_key")})
     target = pages.select(F.col("url").alias("canonical"), F.col("status").alias("target_status"))
     lost = pages.where("canonical <> url").select("page_id", "canonical").join(target, "canonical").where(~F.col("target_status").between(200, 299))
-    parts.append(lost.select("page_id", F.lit(1 << BITS["canonical_to_non_200"]).cast("long").alias("issues")))
+    lost = lost.select("page_id", F.lit(1 << BITS["canonical_to_non_200"]).cast("long").alias("issues"))
     kind = F.when((F.col("status") >= 400) | F.col("error").isNotNull(), BITS["links_to_broken"]).when(F.col("status").between(300, 399), BITS["links_to_redirect"])
     bad = pages.select(F.col("page_id").alias("to_id"), kind.alias("bit")).where("bit is not null")
-    linked = edges.select("from_id", "to_id").distinct().join(bad, "to_id").select(F.col("from_id").alias("page_id"), "bit").distinct()
-    linked = linked.join(pages.select("page_id"), "page_id", "left_semi")
-    parts.append(linked.select("page_id", F.expr("shiftleft(CAST(1 AS BIGINT), bit)").alias("issues")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("page_id").agg(F.bit_or("issues").alias("issues"))
+    # A page's bits are combined before the shuffle; links from pages that were not crawled fall to the join in issues().
+    linked = edges.select("from_id", "to_id").join(bad, "to_id").select(F.col("from_id").alias("page_id"), F.expr("shiftleft(CAST(1 AS BIGINT), bit)").alias("issues"))
+    return shared.unionByName(lost).unionByName(linked).groupBy("page_id").agg(F.bit_or("issues").alias("issues")).join(pages.select("page_id"), "page_id", "left_semi")
 
 
 def issues(pages: DataFrame, edges: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.dims import BITS, CHECKS, SEVERITY_POINTS
 from pagewright.operators import checks as C
-from pagewright.plans.fixtures import BASE, current, edges
+from pagewright.plans.fixtures import BASE, current, edges, narrow
 from pagewright.plans.registry import ORACLE, QUERIES, query
 
 _OK = "html_ok"
@@ -79,7 +79,7 @@ lost AS (SELECT counts.*, p.pages, points * (0.25 + 0.75 * CASE WHEN scope = 'si
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.issues(current(spark, sf_dir), edges(spark, sf_dir))
+    return C.issues(narrow(spark, sf_dir), edges(spark, sf_dir))
 
 
 def _one_check(slug: str):
@@ -90,7 +90,7 @@ def _one_check(slug: str):
         own = C.page_checks() | C.sitemap_checks()
         if slug in own:
             return pages.where(own[slug]).select("page_id")
-        return C.site_checks(pages, edges(spark, sf_dir)).where(F.getbit("issues", F.lit(BITS[slug])) == 1).select("page_id")
+        return C.site_checks(narrow(spark, sf_dir), edges(spark, sf_dir)).where(F.getbit("issues", F.lit(BITS[slug])) == 1).select("page_id")
 
     return run
 
@@ -205,7 +205,7 @@ again AS (SELECT page_id, 13 AS bit FROM cur WHERE {_OK} AND {_T} > 50 UNION ALL
 SELECT cur.page_id, CAST(coalesce(sum(1::BIGINT << bit), 0) AS BIGINT) AS issues FROM cur LEFT JOIN (SELECT * FROM kept UNION ALL SELECT * FROM again) USING (page_id) GROUP BY ALL""")
 def po6(spark, sf_dir):
     """A stored crawl judged again: kept bits of the old mask, threshold bits under new limits."""
-    pages = current(spark, sf_dir)
+    pages = narrow(spark, sf_dir)
     t = C.Thresholds(title_long=50, title_short=20, thin_words=100, slow_ms=500, max_hops=2, check_images=False)
     again = {s: c for s, c in C.page_checks(t).items() if (_REJUDGED >> BITS[s]) & 1}
     old = C.issues(pages, edges(spark, sf_dir))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.session import cut_lineage
+
 #: Rules over page_id, crawl_id, k, url, next_url, n (pages) and html columns cut before.
 FIRST_RULES = {
     "status": "CASE WHEN page_id = 0 THEN 200 WHEN k % 29 = 0 THEN 404 WHEN k % 31 = 0 THEN 500 WHEN k % 17 = 0 THEN 301 WHEN k % 37 = 0 THEN 0 ELSE 200 END",
@@ -80,7 +82,7 @@ cur AS (SELECT * FROM cp WHERE crawl_id = 2),
 prv AS (SELECT * FROM cp WHERE crawl_id = 1),
 edges AS (SELECT CAST(l_orderkey % n AS BIGINT) AS from_id, CAST(l_partkey % n AS BIGINT) AS to_id, CAST((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS BIGINT) AS edge_seq,
                  l_linenumber = 7 AS nofollow, l_returnflag || l_linestatus AS anchor
-          FROM lineitem, nn WHERE l_orderkey < 8 * n),
+          FROM lineitem, nn),
 crawls AS (SELECT o_orderkey AS crawl_id, CAST(o_custkey % 20 AS BIGINT) AS site_id, CAST(o_orderdate AS TIMESTAMP) AS created_at,
                   CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR AS finished_at,
                   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS status,
@@ -121,15 +123,27 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_pages(spark, sf_dir).where("crawl_id = 2")
 
 
+#: The columns of a page that checks, scores and policies read; content_key stands for the article's text.
+NARROW = (
+    "page_id url host path status error hops redirect_target indexability has_noindex canonical meta_robots html_ok title title_count description h1 h1_count word_count "
+    "images_missing_alt outlinks_internal outlinks_nofollow depth inlinks mixed_content response_ms og_title og_image jsonld hreflang_size hreflang_self in_sitemap content_key"
+).split()
+
+
+def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current pages without their texts, written once to the shared checkpoint folder: html is parsed in one pass,
+    whatever number of branches a plan then has over the pages."""
+    return cut_lineage(current(spark, sf_dir).withColumn("content_key", F.sha2("article", 256)).select(*NARROW))
+
+
 def previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_pages(spark, sf_dir).where("crawl_id = 1")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between pages, in order of edge_seq."""
+    """Links between pages, one for each row of lineitem, in order of edge_seq."""
     n = n_pages(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") < 8 * n)
-    return rows.select(
+    return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % n).cast("long").alias("from_id"), (F.col("l_partkey") % n).cast("long").alias("to_id"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).cast("long").alias("edge_seq"), (F.col("l_linenumber") == 7).alias("nofollow"),
         F.concat("l_returnflag", "l_linestatus").alias("anchor"),
