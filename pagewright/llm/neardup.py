@@ -12,9 +12,9 @@ several components, each member outside its largest one with a member of that; a
 components that can reach each other. Those are found by their rare shingles: shingles are ordered by how many of the
 documents concerned hold them, and of two documents of similarity t the first n - 2t/(1+t) n + 1 of the one with fewer
 shingles and the first m - t m + 1 of the other one have one in common. Shingles that nobody else has come first, so
-that near misses with words of their own meet nobody. What is left is decided exactly: of its shared shingles each document
-has a bit map of those in a reference document (the first of one of its buckets) and a list of the others, so that
-documents of one reference are compared by bits and lists; others by their texts. So every pair in a bucket is either
+that near misses with words of their own meet nobody. A map of `CELLS` hashed cells for each document bounds what two of
+them share (cells that both have, and the lesser number of shingles beyond one in a cell), before any pair is formed; the
+pairs left are decided exactly on the shingles that each shares with anybody. So every pair in a bucket is either
 connected, compared, or proven to be no link.
 
 Defined results: null text and text without words have an empty set, link with nothing and are kept; rows that repeat a
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import WordHashes, boxed, checkpointed, column_of, mixed, named
@@ -38,6 +38,7 @@ from pagewright.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 PAIRS, SINGLES = 10, 6
+CELLS = 2048
 _N = 2 * PAIRS + SINGLES
 _DRAW = np.random.default_rng(20240101)
 _XOR = _DRAW.integers(0, 2**63, size=(_N, 1), dtype=np.uint64)
@@ -137,36 +138,23 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "s"])
 
 
-def _profiled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, known = WordHashes(), {}
+def _celled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        bits, outside = [], []
-        for common, ref in zip(column_of(part, "common"), column_of(part, "ref_text")):
-            p = known.get(ref)
-            if p is None:
-                if len(known) >= 16:
-                    known.pop(next(iter(known)))
-                p = known[ref] = shingles(ref, hashes)
-            c = np.array(common, np.int64)
-            packed = np.packbits(np.isin(p, c.view(np.uint64), assume_unique=True), bitorder="little")
-            bits.append(np.pad(packed, (0, -len(packed) % 8)).view(np.int64))
-            outside.append(c[~np.isin(c.view(np.uint64), p, assume_unique=True)])
-        lists = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(bits, lists), pa.array(outside, lists)], names=["id", "n", "ref", "common", "bits", "outside"])
-
-
-def profiles(refs: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """What decides between documents, for refs (id, ref), where ref is some other id of them, and sizes (id, n).
-
-    id, n; common: those of its shingles that any other of the ids has, rarest first; ref; bits: which shingles of its
-    reference document it has; outside: the common ones that are not among those. Ids without common shingles are left out.
-    """
-    rows = checkpointed(texts.join(refs.select("id"), "id", "left_semi").mapInArrow(_exploded, "id long, s long"))
+        cells = []
+        for common in column_of(part, "common"):
+            has = np.zeros(CELLS, bool)
+            has[mixed(np.array(common, np.int64).view(np.uint64)) & np.uint64(CELLS - 1)] = True
+            cells.append(np.packbits(has).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.list_(pa.int64()))], names=["id", "n", "common", "cells"])
+
+
+def profiles(ids: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What decides between the documents of ids (id), with sizes (id, n): id, n; common: those of its shingles that any
+    other one has, rarest first; cells: a map of their hashes. Documents without common shingles are left out."""
+    rows = checkpointed(texts.join(ids, "id", "left_semi").mapInArrow(_exploded, "id long, s long"))
     often = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     common = rows.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c")).select("id", F.col("c.s").alias("common"))
-    ref_texts = texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text"))
-    with_ref = refs.join(common, "id").join(sizes, "id").join(ref_texts, "ref").select("id", "n", "ref", "common", "ref_text")
-    return with_ref.mapInArrow(_profiled, "id long, n long, ref long, common array<long>, bits array<long>, outside array<long>")
+    return common.join(sizes, "id").select("id", "n", "common").mapInArrow(_celled, "id long, n long, common array<long>, cells array<long>")
 
 
 def prefix(share: Column) -> Column:
@@ -175,34 +163,41 @@ def prefix(share: Column) -> Column:
     return F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("n") - share + 1 - alone).cast("int"))
 
 
+def bits(a: Column, b: Column) -> Column:
+    """The number of bits that both arrays of longs have set."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+
+
+def enough(shared: Column) -> Column:
+    """Whether so many shared shingles make documents of n and m shingles alike."""
+    return (100 + PERCENT) * shared >= PERCENT * (F.col("n") + F.col("m"))
+
+
 def reaching(open_: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b: documents of different labels (open_: id, label) that their rare shingles do not rule out."""
+    """a, b: documents of different labels (open_: id, label) that neither their rare shingles nor their cells rule out."""
 
     def share(of: int, parts: int) -> Column:  # of * n / parts, rounded up, in whole numbers
         return F.expr(f"({of} * n + {parts - 1}) div {parts}")
 
-    labelled = own.join(open_.select("id", "label").distinct(), "id")
-    short = labelled.select("id", "n", "label", F.explode(prefix(share(2 * PERCENT, 100 + PERCENT))).alias("s"))
-    long_ = labelled.select(F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"), F.explode(prefix(share(PERCENT, 100))).alias("s"))
+    excess = F.size("common") - bits(F.col("cells"), F.col("cells"))
+    labelled = own.join(open_.select("id", "label").distinct(), "id").select("id", "n", "label", "cells", excess.alias("excess"), "common")
+    long_ = labelled.select("id", "n", "label", "cells", "excess", F.explode(prefix(share(PERCENT, 100))).alias("s"))
     # Shingles of one label only join nothing; they are dropped before the join.
-    several = long_.groupBy("s").agg(F.min("label2").alias("lo"), F.max("label2").alias("hi")).where("lo < hi").select("s")
-    met = short.join(several, "s").join(long_, "s").where((F.col("label") != F.col("label2")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") < F.col("id2")))) & (100 * F.col("n") >= PERCENT * F.col("m")))
+    several = checkpointed(long_.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("s"))
+    short = labelled.select("id", "n", "label", "cells", "excess", F.explode(prefix(share(2 * PERCENT, 100 + PERCENT))).alias("s")).join(several, "s", "left_semi")
+    long_ = long_.join(several, "s", "left_semi").select("s", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("label").alias("label2"), F.col("cells").alias("cells2"), F.col("excess").alias("excess2"))
+    shorter = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") < F.col("id2")))
+    able = (100 * F.col("n") >= PERCENT * F.col("m")) & enough(bits(F.col("cells"), F.col("cells2")) + F.least("excess", "excess2"))
+    met = short.join(long_, (short.s == long_.s) & (F.col("label") != F.col("label2")) & shorter & able)
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def judged(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: decided by bits and lists under one reference, else by their texts."""
-    left = own.select(F.col("id").alias("a"), "n", "ref", "bits", "outside", F.size("common").alias("common"))
-    right = own.select(F.col("id").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "ref", "bits", "outside")), F.size("common").alias("common2"))
-    need = PERCENT * (F.col("n") + F.col("n2"))
-    able = (100 + PERCENT) * F.least("common", "common2") >= need
-    inside = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    at_most = (100 + PERCENT) * (inside + F.least(F.size("outside"), F.size("outside2"))) >= need
-    exact = (100 + PERCENT) * (inside + F.size(F.array_intersect("outside", "outside2"))) >= need
-    met = pairs.join(left, "a").join(right, "b").where(able)
-    verdict = F.when(F.col("ref") != F.col("ref2"), F.lit("ask")).when(at_most & exact, F.lit("link"))
-    met = checkpointed(met.select("a", "b", verdict.alias("verdict")).where("verdict is not null"))
-    return met.where("verdict = 'link'").select("a", "b").unionByName(confirmed(met.where("verdict = 'ask'").select("a", "b"), texts))
+def judged(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, by the shingles that both have."""
+    left = own.select(F.col("id").alias("a"), "n", "common")
+    right = own.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("common").alias("common2"))
+    met = pairs.join(left, "a").join(right, "b").where(enough(F.least(F.size("common"), F.size("common2"))))
+    return checkpointed(met.where(enough(F.size(F.array_intersect("common", "common2")))).select("a", "b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,15 +233,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if open_.isEmpty():
             break
         if own is None:
-            refs = open_.join(buckets.select("key", "head").distinct(), "key").groupBy("id").agg(F.min("head").alias("ref"))
-            own = checkpointed(profiles(refs, texts, merged.select(F.col("set").alias("id"), "n")))
+            own = checkpointed(profiles(open_.select("id").distinct(), texts, merged.select(F.col("set").alias("id"), "n")))
         if last:
             met = reaching(open_, own)
         else:
             met = open_.where("label <> most").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         met = checkpointed(met.join(pairs, ["a", "b"], "left_anti"))
         if not met.isEmpty():
-            links = checkpointed(links.unionByName(judged(met, own, texts)))
+            links = checkpointed(links.unionByName(judged(met, own)))
             labels = components(links)
     # A set's component goes by the smallest doc_id of the component's sets.
     of_set = merged.select("set", "id").join(labels.withColumnRenamed("id", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("top"))
