@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from pagewright.functions.dims import BOTS
+
 MOST_LINKS = 5000
 _SPACE = re.compile(r"\s+")
 
@@ -42,6 +44,64 @@ def normalised_url(base: str | None, href: str | None) -> str | None:
     return urlunsplit((u.scheme.lower(), host, one(path, "/%!$&'()*+,;=:@~"), one(u.query, "/?%!$&'()*+,;=:@~[]"), ""))
 
 
+#: Names of metas that address one crawler, besides the tokens of all bots.
+BOT_METAS = frozenset("googlebot googlebot-news bingbot msnbot applebot amazonbot amzn-searchbot".split()) | {b[0].lower() for b in BOTS}
+MOST_BOT_METAS = 16
+#: Ids (and the tag) of elements that scripts render a page into.
+MOUNTS = ("root", "app", "__next", "__nuxt", "___gatsby", "q-app", "svelte")
+#: What notices to readers without scripts say.
+SCRIPT_NOTICES = ("enable javascript", "javascript is disabled", "requires javascript", "without javascript enabled", "turn on javascript", "javascript must be enabled")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Parts:
+    """Which named parts of a page are open: kept while elements come and go, whatever is left unclosed."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.open: dict[str, int] = {}
+        self.depths: dict[str, int] = {}
+        self.texts: dict[str, list[str]] = {"nosnippet": [], "main": [], "mount": [], "noscript": []}
+        self.mount: str | None = None
+
+    def start(self, tag: str, a: dict[str, str]) -> None:
+        if tag in _VOID:
+            return
+        kinds = set()
+        if "data-nosnippet" in a and tag in ("span", "div", "section"):
+            kinds.add("nosnippet")
+        if tag in ("main", "article") or a.get("role") == "main":
+            kinds.add("main")
+        if tag == "noscript":
+            kinds.add("noscript")
+        if self.mount is None and (tag == "app-root" or a.get("id") in MOUNTS):
+            self.mount = a.get("id") or tag
+            kinds.add("mount")
+        self.stack.append((tag, frozenset(kinds)))
+        self.depths[tag] = self.depths.get(tag, 0) + 1
+        for k in kinds:
+            self.open[k] = self.open.get(k, 0) + 1
+
+    def end(self, tag: str) -> None:
+        if self.depths.get(tag):
+            while True:
+                last, kinds = self.stack.pop()
+                self.depths[last] -= 1
+                for k in kinds:
+                    self.open[k] -= 1
+                    self.texts[k].append(" ")
+                if last == tag:
+                    return
+
+    def text(self, data: str, visible: bool) -> None:
+        for k, texts in self.texts.items():
+            if self.open.get(k) and (visible or k == "noscript"):
+                texts.append(data)
+
+    def words(self, kind: str) -> list[str]:
+        return "".join(self.texts[kind]).split()
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -58,10 +118,27 @@ class _Reader(HTMLParser):
         self.open: str | None = None
         self.heading: list[str] | None = None
         self.anchor: list[str] | None = None
+        self.hreflang: list[tuple[str, str]] = []
+        self.bot_metas: list[tuple[str, str]] = []
+        self.markdown: str | None = None
+        self.external_scripts = 0
+        self.inline_script = False
+        self.parts = _Parts()
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.parts.end(tag)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         self.words.append(" ")
+        self.parts.start(tag, a)
+        if tag == "script":
+            if "src" in a:
+                self.external_scripts += 1
+            elif a.get("type", "").strip().lower() != "application/ld+json":
+                self.inline_script = True
         if tag == "title":
             self.titles += 1
             self.open = "title"
@@ -76,10 +153,19 @@ class _Reader(HTMLParser):
             name = (a.get("name") or a.get("property") or "").lower()
             if name:
                 self.metas.setdefault(name, []).append(a.get("content", ""))
+            if name.strip() in BOT_METAS and "content" in a and len(self.bot_metas) < MOST_BOT_METAS:
+                self.bot_metas.append((name.strip(), a["content"].strip()))
         elif tag == "base" and self.base is None:
             self.base = a.get("href")
-        elif tag == "link" and "canonical" in a.get("rel", "").lower().split() and self.canonical is None:
-            self.canonical = a.get("href")
+        elif tag == "link":
+            rel = a.get("rel", "").lower().split()
+            if "canonical" in rel and self.canonical is None:
+                self.canonical = a.get("href", "")
+            if "alternate" in rel and "hreflang" in a:
+                self.hreflang.append((a["hreflang"].strip(), a.get("href", "")))
+            if "alternate" in rel and self.markdown is None and is_markdown(a.get("type")):
+                self.markdown = a.get("href")
+            self.external_scripts += "modulepreload" in rel
         elif tag == "a" and "href" in a and len(self.links) < MOST_LINKS:
             self.anchor = []
             self.links.append((a["href"], self.anchor, "nofollow" in a.get("rel", "").lower().split()))
@@ -87,6 +173,7 @@ class _Reader(HTMLParser):
             self.images_missing_alt += 1
 
     def handle_endtag(self, tag):
+        self.parts.end(tag)
         if tag in ("title", "script", "style", "template", "noscript"):
             self.open = None
         elif tag in self.headings:
@@ -95,6 +182,7 @@ class _Reader(HTMLParser):
             self.anchor = None
 
     def handle_data(self, data):
+        self.parts.text(data, self.open is None)
         if self.open == "title":
             if self.titles == 1 or not "".join(self.title).strip():
                 self.title.append(data)
@@ -108,6 +196,20 @@ class _Reader(HTMLParser):
                 self.anchor.append(data)
 
 
+def is_markdown(content_type: str | None) -> bool:
+    return (content_type or "").split(";")[0].strip().lower() == "text/markdown"
+
+
+def link_header_alternate(header: str | None) -> str | None:
+    """The first target of a Link header that is an alternate of type text/markdown, as written."""
+    for target, parameters in re.findall(r"<([^>]*)>([^<]*)", header or ""):
+        pairs = [p.split("=", 1) for p in re.split("[;,]", parameters) if "=" in p]
+        found = {k.strip().lower(): v.strip().strip('"').strip() for k, v in pairs}
+        if "alternate" in found.get("rel", "").lower().split() and is_markdown(found.get("type")) and target.strip():
+            return target.strip()
+    return None
+
+
 def _line(parts: list[str], most: int) -> str:
     return _SPACE.sub(" ", "".join(parts)).strip()[:most]
 
@@ -143,6 +245,11 @@ def extract(url: str | None, html: str | None) -> dict:
         "meta_robots": ", ".join(r.metas["robots"]) if "robots" in r.metas else None, "og_title": first("og:title"), "og_image": first("og:image"),
         "canonical": normalised_url(base, r.canonical) if r.canonical else None, "word_count": len("".join(r.words).split()),
         "images_missing_alt": r.images_missing_alt, "jsonld": jsonld_state(r.jsonld), "links": links,
+        "hreflang": [{"lang": lang, "url": u} for lang, h in r.hreflang if (u := normalised_url(base, h))], "bot_metas": [{"name": n, "content": c} for n, c in r.bot_metas],
+        "tdm_reservation": first("tdm-reservation") or None, "tdm_policy": first("tdm-policy") or None, "markdown": normalised_url(base, r.markdown) if r.markdown else None,
+        "nosnippet_words": len(r.parts.words("nosnippet")), "main_words": len(r.parts.words("main")), "external_scripts": r.external_scripts, "inline_script": r.inline_script,
+        "mount": r.parts.mount, "mount_empty": r.parts.mount is not None and not r.parts.words("mount"),
+        "script_notice": any(p in " ".join(r.parts.words("noscript")).lower() for p in SCRIPT_NOTICES),
     }
 
 
@@ -150,10 +257,15 @@ FIELDS = pa.struct([
     ("title", pa.string()), ("title_count", pa.int32()), ("h1", pa.list_(pa.string())), ("h2", pa.list_(pa.string())), ("description", pa.string()), ("meta_robots", pa.string()),
     ("og_title", pa.string()), ("og_image", pa.string()), ("canonical", pa.string()), ("word_count", pa.int32()), ("images_missing_alt", pa.int32()), ("jsonld", pa.string()),
     ("links", pa.list_(pa.struct([("url", pa.string()), ("anchor", pa.string()), ("nofollow", pa.bool_())]))),
+    ("hreflang", pa.list_(pa.struct([("lang", pa.string()), ("url", pa.string())]))), ("bot_metas", pa.list_(pa.struct([("name", pa.string()), ("content", pa.string())]))),
+    ("tdm_reservation", pa.string()), ("tdm_policy", pa.string()), ("markdown", pa.string()), ("nosnippet_words", pa.int32()), ("main_words", pa.int32()),
+    ("external_scripts", pa.int32()), ("inline_script", pa.bool_()), ("mount", pa.string()), ("mount_empty", pa.bool_()), ("script_notice", pa.bool_()),
 ])
 FIELDS_DDL = (
     "struct<title:string,title_count:int,h1:array<string>,h2:array<string>,description:string,meta_robots:string,og_title:string,og_image:string,canonical:string,"
-    "word_count:int,images_missing_alt:int,jsonld:string,links:array<struct<url:string,anchor:string,nofollow:boolean>>>"
+    "word_count:int,images_missing_alt:int,jsonld:string,links:array<struct<url:string,anchor:string,nofollow:boolean>>,"
+    "hreflang:array<struct<lang:string,url:string>>,bot_metas:array<struct<name:string,content:string>>,tdm_reservation:string,tdm_policy:string,markdown:string,nosnippet_words:int,"
+    "main_words:int,external_scripts:int,inline_script:boolean,mount:string,mount_empty:boolean,script_notice:boolean>"
 )
 
 
@@ -195,6 +307,7 @@ def llms_sections(text: str | None) -> dict:
     title = summary = None
     sections: list[dict] = []
     fenced = False
+    h1_first = next((x.strip() for x in (text or "").splitlines() if x.strip()), "").startswith("# ")
     for line in (text or "").splitlines():
         s = line.strip()
         if s.startswith(("```", "~~~")):
@@ -209,7 +322,7 @@ def llms_sections(text: str | None) -> dict:
             sections.append({"name": s[3:].strip(), "links": []})
         elif sections:
             sections[-1]["links"] += re.findall(r"\[[^\]]*\]\(([^)\s]+)\)", s)
-    return {"title": title, "summary": summary, "sections": sections}
+    return {"title": title, "h1_first": h1_first, "summary": summary, "sections": sections}
 
 
-LLMS_DDL = "struct<title:string,summary:string,sections:array<struct<name:string,links:array<string>>>>"
+LLMS_DDL = "struct<title:string,h1_first:boolean,summary:string,sections:array<struct<name:string,links:array<string>>>>"

@@ -115,3 +115,67 @@ def x11(spark, sf_dir):
             yield pd.DataFrame({"file": b["file"], "title": [f["title"] for f in found], "sections": [len(f["sections"]) for f in found], "links": [sum(len(s["links"]) for s in f["sections"]) for f in found]})
 
     return files.mapInPandas(parse, "file long, title string, sections long, links long")
+
+
+def _when(condition: str, text: str) -> str:
+    return f"CASE WHEN {condition} THEN {text} ELSE '' END"
+
+
+#: Markup that the test pages lack, put into their heads and bodies by one rule that both sides read.
+_HEAD = "concat(" + ", ".join([
+    _when("page_id % 4 <> 0", """concat('<link rel="x CANONICAL" href="/c/', CAST(page_id % 7 AS STRING), '">')"""),
+    _when("page_id % 3 = 0", """'<link rel="alternate" hreflang="de" href="/de/x"><link rel="alternate" hreflang=" en " href="https://other.example/e#f">'"""),
+    _when("page_id % 5 = 0", """'<meta name="GoogleBot" content=" noarchive ">'"""), _when("page_id % 6 = 0", """'<meta name="tdm-reservation" content="1">'"""),
+    _when("page_id % 8 = 0", """'<link rel="alternate" type="text/markdown; charset=utf-8" href="/page.md">'"""),
+    _when("page_id % 5 = 1", """'<script type="application/ld+json">[1, 2]</script>'"""), _when("page_id % 5 = 2", """'<script type="application/ld+json">(bad</script>'"""),
+    _when("page_id % 2 = 0", """'<script src="/a.js"></script>'"""), "'</head>'",
+]) + ")"
+_BODY = "concat(" + ", ".join([
+    _when("page_id % 3 = 1", """concat('<div id="app">', CASE WHEN page_id % 2 = 0 THEN ' <b> </b>' ELSE 'text' END, '</div>')"""),
+    _when("page_id % 4 = 1", """'<noscript><p>Please  enable</p> JavaScript</noscript>'"""), _when("page_id % 7 = 0", """'<span data-nosnippet>three <i>hidden</i> words</span>'"""), "'<article>'",
+]) + ")"
+
+
+def enriched(spark, sf_dir):
+    html = F.expr(f"replace(replace(html, '</head>', {_HEAD}), '<article>', {_BODY})")
+    return E.extracted(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).select("page_id", "fields.*")
+
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
+
+
+@query("x1d", f"SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN concat({_ORIGIN}, '/c/', CAST(page_id % 7 AS VARCHAR)) END AS canonical FROM pages")
+def x1d(spark, sf_dir):
+    """The canonical address that a page names, resolved."""
+    return enriched(spark, sf_dir).select("page_id", "canonical")
+
+
+@query("x1e", f"SELECT page_id, 'de' AS lang, concat({_ORIGIN}, '/de/x') AS url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'en', 'https://other.example/e' FROM pages WHERE page_id % 3 = 0")
+def x1e(spark, sf_dir):
+    """Versions of a page in other languages."""
+    return enriched(spark, sf_dir).select("page_id", F.inline("hreflang"))
+
+
+@query("x1j", "SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'valid' WHEN 2 THEN 'invalid' ELSE 'absent' END AS jsonld FROM pages")
+def x1j(spark, sf_dir):
+    """State of a page's structured data."""
+    return enriched(spark, sf_dir).select("page_id", "jsonld")
+
+
+@query("x1k", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'googlebot: noarchive' ELSE '' END AS bot_metas, CASE WHEN page_id % 6 = 0 THEN '1' END AS tdm_reservation, CASE WHEN page_id % 7 = 0 THEN 3 ELSE 0 END AS nosnippet_words FROM pages")
+def x1k(spark, sf_dir):
+    """Metas that address one crawler, reservations, and words kept out of snippets."""
+    metas = F.array_join(F.transform("bot_metas", lambda m: F.concat(m["name"], F.lit(": "), m["content"])), "; ")
+    return enriched(spark, sf_dir).select("page_id", metas.alias("bot_metas"), "tdm_reservation", "nosnippet_words")
+
+
+@query("x1l", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS external_scripts, CASE WHEN page_id % 3 = 1 THEN 'app' END AS mount, page_id % 3 = 1 AND page_id % 2 = 0 AS mount_empty, page_id % 4 = 1 AS script_notice, html LIKE '%<script>%' AS inline_script FROM pages")
+def x1l(spark, sf_dir):
+    """Signs of a page that scripts have to fill."""
+    return enriched(spark, sf_dir).select("page_id", "external_scripts", "mount", "mount_empty", "script_notice", "inline_script")
+
+
+@query("x17", f"SELECT page_id, concat({_ORIGIN}, '/page.md') AS markdown FROM pages WHERE page_id % 8 = 0")
+def x17(spark, sf_dir):
+    """The Markdown version that a page names."""
+    return enriched(spark, sf_dir).select("page_id", "markdown").where("markdown IS NOT NULL")
