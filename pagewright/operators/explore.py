@@ -65,3 +65,20 @@ def glob_match(path: Column, query: Column, pattern: str, ignore_case: bool = Fa
     """Whether a glob matches; the query counts only where the pattern has a question mark."""
     subject = F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path) if "?" in pattern else path
     return subject.rlike(("(?i)" if ignore_case else "") + glob_regex(pattern))
+
+
+def scheduled(rows: DataFrame, week_hash: Column, hour_hash: Column, zone: Column, after: Column) -> DataFrame:
+    """rows with weekly and daily: the next slots strictly after a time.
+
+    The week starts on Monday at 00:00 UTC, and week_hash says how far into it; the day's slot is a full hour of the zone
+    by hour_hash. A local time that a change of clocks skips becomes the next one that there is. Missed slots are not made up.
+    """
+    week, monday = 7 * 86400, 4 * 86400
+    t = F.floor(F.unix_micros(after.cast("timestamp")) / 1_000_000)
+    slot = F.floor((t - monday) / week) * week + monday + F.pmod(week_hash, F.lit(week))
+    weekly = F.timestamp_seconds(F.when(slot <= t, slot + week).otherwise(slot))
+    day = F.to_date(F.from_utc_timestamp(after.cast("timestamp"), zone))
+    hour = F.pmod(hour_hash, F.lit(24)).cast("int")
+    local = F.array(*(F.to_utc_timestamp(F.make_timestamp_ntz(F.year(d), F.month(d), F.day(d), hour, F.lit(0), F.lit(0)).cast("timestamp"), zone) for d in (day, F.date_add(day, 1), F.date_add(day, 2))))
+    daily = F.array_min(F.filter(local, lambda x: x > after.cast("timestamp")))
+    return rows.withColumns({"weekly": weekly, "daily": daily})

@@ -18,7 +18,7 @@ def mime(content_type: Column) -> Column:
 
 def llms_state(status: Column, error: Column, content_type: Column, body: Column) -> Column:
     """available, absent, soft_not_found or unavailable: what a fetch of llms.txt came to."""
-    body = F.ltrim(F.regexp_replace(F.coalesce(body, F.lit("")), "^﻿", ""))
+    body = F.ltrim(F.regexp_replace(F.coalesce(body, F.lit("")), r"^\x{FEFF}", ""))
     page = body.rlike(r"(?i)^\s*(<!doctype html|<html|<head|<body)")
     no_heading = mime(content_type).isin("text/html", "application/xhtml+xml") & ~body.rlike(r"(?m)^\s*#{1,6}\s+\S")
     return (
@@ -98,23 +98,23 @@ def preference_changes(reports: DataFrame, site: str, order: str) -> DataFrame:
 def product_reach() -> Column:
     """reachable, allowed, limited, blocked or unknown, of a product by robots.txt, fetches and markup, the first that holds.
 
-    Columns: robots, home_allowed, blocked_pages, fetch (hard, soft, same, not_run, skipped), limited_pages, fetcher_gets_in.
+    Columns: robots, home_allowed, blocked_pages, fetched (hard, soft, same, not_run, skipped), limited_pages, fetcher_gets_in.
     """
-    kept_out = ~F.col("home_allowed") | (F.col("fetch") == "hard")
+    kept_out = ~F.col("home_allowed") | (F.col("fetched") == "hard")
     return (
         F.when(F.col("robots") == "unavailable", "blocked")
         .when(~has_verdicts(), "unknown")
         .when(kept_out & F.col("fetcher_gets_in"), "limited")
         .when(kept_out, "blocked")
-        .when((F.col("blocked_pages") > 0) | (F.col("fetch") == "soft") | (F.col("limited_pages") > 0), "limited")
-        .when(F.col("fetch") == "same", "reachable")
+        .when((F.col("blocked_pages") > 0) | (F.col("fetched") == "soft") | (F.col("limited_pages") > 0), "limited")
+        .when(F.col("fetched") == "same", "reachable")
         .otherwise("allowed")
     )
 
 
 def product_fit() -> Column:
     """wanted, per_policy, policy_says_block or no_preference: how the reach sits with the owner's stance."""
-    kept_out = F.when(has_verdicts(), ~F.col("home_allowed") | (F.col("fetch") == "hard")).otherwise(F.col("robots") == "unavailable")
+    kept_out = F.when(has_verdicts(), ~F.col("home_allowed") | (F.col("fetched") == "hard")).otherwise(F.col("robots") == "unavailable")
     return (
         F.when(F.col("stance") == "any", "no_preference")
         .when((F.col("stance") == "block") & kept_out, "per_policy")

@@ -1,6 +1,6 @@
 """Importing this module registers every plan."""
 
-from pagewright.plans import access, audit, explorer, extraction, history, links, policy, streams  # noqa: F401
+from pagewright.plans import access, audit, explorer, extraction, files, geo, history, links, policy, streams  # noqa: F401
 from pagewright.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

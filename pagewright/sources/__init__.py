@@ -1 +1 @@
-"""Part of pagewright; see the package README."""
+"""Readers of audits, sitemaps and policies, and writers of crawls and reports."""
