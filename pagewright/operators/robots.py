@@ -42,24 +42,34 @@ def parsed(lines: DataFrame) -> DataFrame:
     return agents.join(rules, ["file", "group_idx"]).withColumn("length", F.length("pattern"))
 
 
-def verdicts(paths: DataFrame, tokens: list[str], rules: DataFrame, paths_id: str = "page_id") -> DataFrame:
+def _regex(pattern: Column) -> Column:
+    """pattern_regex as an expression."""
+    end = pattern.endswith("$")
+    body = F.when(end, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+    escaped = F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.when(end, "$").otherwise(""))
+
+
+def named_rules(rules: DataFrame, tokens: DataFrame, by: list[str]) -> DataFrame:
+    """by, token, rules: the rules that hold for each token, those of its own groups or else those for all agents."""
+    each = rules.select(*by, F.explode("agents").alias("agent"), F.struct(F.length("pattern").alias("n"), "allow", (-F.col("line")).alias("neg"), _regex(F.col("pattern")).alias("rx")).alias("rule"))
+    own = each.join(tokens, F.col("agent") == F.lower("token")).select(*by, "token", "rule")
+    others = each.where("agent = '*'").crossJoin(tokens).select(*by, "token", "rule").join(own.select(*by, "token").distinct(), [*by, "token"], "left_anti")
+    return own.unionByName(others).groupBy(*by, "token").agg(F.collect_set("rule").alias("rules"))
+
+
+def verdicts(paths: DataFrame, tokens: list[str], rules: DataFrame, paths_id: str = "page_id", by: list[str] | None = None) -> DataFrame:
     """page_id, token, allowed, line: the longest matching rule of the token's groups decides, allow before disallow.
 
-    rules (agents, line, allow, pattern) are at most a few thousand rows of one file (the parser's own bound) and are
-    read to make one regular expression column per rule group; paths are scanned once and never shuffled.
+    rules: agents, line, allow, pattern, and the columns in by (a host, say) that tell whose file they are of. The rules
+    of a file and token are one row, bounded by the size that a robots file may have; paths are scanned once, with the
+    few tokens beside each, and joined with their files' rows, which Spark broadcasts where their size allows.
     """
-    held = rules.select("agents", "line", "allow", "pattern").distinct().collect()
-    out = None
-    for token in tokens:
-        named = [r for r in held if token.lower() in r.agents] or [r for r in held if "*" in r.agents]
-        hits = [
-            F.when(F.col("path").rlike(pattern_regex(r.pattern)), F.struct(F.lit(len(r.pattern)).alias("n"), F.lit(r.allow).alias("allow"), F.lit(-r.line).alias("line")))
-            for r in named
-        ]
-        best = F.array_max(F.array_compact(F.array(*hits))) if hits else F.lit(None).cast("struct<n:int,allow:boolean,line:int>")
-        exempt = F.col("path") == "/robots.txt"
-        one = paths.select(
-            paths_id, F.lit(token).alias("token"), (exempt | F.coalesce(best["allow"], F.lit(True))).alias("allowed"), F.when(~exempt, -best["line"]).alias("line")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    spark, by = paths.sparkSession, by or []
+    names = spark.createDataFrame([(t,) for t in tokens], "token string")
+    named = named_rules(rules, names, by)
+    rows = paths.select(paths_id, "path", *by).crossJoin(F.broadcast(names)).join(named, [*by, "token"], "left")
+    hits = F.transform(F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["rx"])), lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"), r["neg"].alias("neg")))
+    best = F.array_max(hits)
+    exempt = F.col("path") == "/robots.txt"
+    return rows.select(paths_id, "token", (exempt | F.coalesce(best["allow"], F.lit(True))).alias("allowed"), F.when(~exempt, -best["neg"]).alias("line"))

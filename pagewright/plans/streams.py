@@ -44,7 +44,7 @@ def s19(spark, sf_dir):
 
 @query("s3")
 def s3(spark, sf_dir):
-    """Accepted and refused calls of each key, five an hour; the tests hold the fold against a plain one."""
+    """Accepted and refused calls of each key, two within six hours; the tests hold the fold against a plain one."""
     return to_the_end(S.admission(events_stream(spark, sf_dir), "user_id", most=2, span_seconds=6 * 3600))
 
 

@@ -45,10 +45,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (spark.checkpoint.dir); where that is unset (tests, a laptop) a temporary one."""
+    """The cluster's shared checkpoint folder (spark.checkpoint.dir). Where that is unset, a session on one machine (tests,
+    a laptop) gets a temporary one; on a cluster it has to be set, as executors do not share the driver's disk."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
