@@ -167,3 +167,55 @@ def gate(counts: DataFrame, findings: DataFrame, gaps: DataFrame, seen: DataFram
     others = findings.select(F.concat(F.lit("finding:"), "kind").alias("rule"), "subject", "severity").unionByName(gaps.select(F.concat(F.lit("policy:"), "rule").alias("rule"), "subject", "severity"))
     new = others.where(rank <= most).join(seen, ["rule", "subject"], "left_anti").groupBy("rule", "severity").agg(F.count("*").alias("n"))
     return checks.unionByName(new)
+
+
+def incident_writes(transitions: DataFrame, held: DataFrame, quiet_kinds: list[str], advisory: list[str], keys: list[str]) -> DataFrame:
+    """keys, step, change, quiet, accepted, snooze_escalated: what transitions write.
+
+    transitions: keys, kind, step (opened, updated, resolved), escalated, widened; held: keys, accepted, snoozed,
+    escalation_due, quiet of the open incidents. change is written, muted (the owner sleeps on it: written as already
+    told), or null where nothing is. Kinds that no earlier report judged, and advice, open quietly; an accepted incident
+    writes nothing until it escalates, which takes the acceptance back; one that is due after a snooze is announced.
+    """
+    no = F.lit(False)
+    rows = transitions.join(held, keys, "left")
+    accepted, snoozed, due, quiet = (F.coalesce(c, no) for c in ("accepted", "snoozed", "escalation_due", "quiet"))
+    opened, updated = F.col("step") == "opened", F.col("step") == "updated"
+    counts = ~F.col("kind").isin(*advisory)
+    unaccept = updated & counts & F.col("escalated") & accepted
+    announce = unaccept | (updated & counts & due) | (updated & counts & (F.col("escalated") | F.col("widened")) & ~accepted)
+    silent = F.col("kind").isin(*quiet_kinds, *advisory)
+    change = (
+        F.when(opened & ~silent, "written")
+        .when(announce & snoozed, "muted")
+        .when(unaccept, "written")
+        .when((announce | ((F.col("step") == "resolved") & ~quiet)) & ~accepted, F.when(snoozed, "muted").otherwise("written"))
+    )
+    return rows.select(
+        *keys, "step", change.alias("change"), F.when(opened, silent).otherwise(quiet & ~announce).alias("quiet"), (accepted & ~unaccept).alias("accepted"),
+        F.when(announce & snoozed & F.col("escalated"), True).when(announce & ~snoozed, False).alias("snooze_escalated"),
+    )
+
+
+def recheck_verdicts(planned: DataFrame, fresh: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """keys, verdict, pages, seen: what a recheck of incidents came to.
+
+    planned: keys and item (a page of the incident's evidence), fails as stored; fresh: keys, item, fails, conclusive. A fresh
+    answer stands in for the stored one. Pages that did not answer conclusively leave the incident open, unless one fails.
+    """
+    now = planned.join(fresh.select(*keys, item, F.col("fails").alias("now_fails"), "conclusive"), [*keys, item], "left")
+    sure = F.coalesce(F.col("conclusive"), F.lit(False))
+    by = now.groupBy(*keys).agg(F.count("*").alias("pages"), F.count_if(sure).alias("seen"), F.count_if(sure & F.col("now_fails")).alias("failing"))
+    verdict = F.when(F.col("failing") > 0, "still_failing").when(F.col("seen") < F.col("pages"), "inconclusive").otherwise("clean")
+    return by.select(*keys, verdict.alias("verdict"), "pages", "seen")
+
+
+def best_section(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """page_id, section, shared: the section whose links share most leading path segments with a page (ties to the first
+    section by name); pages (page_id, path) without any are left out. Prefixes meet by an equal join, no pairs are formed."""
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(segments, F.lit(1), n), "/").alias("prefix")))
+    held = F.when(F.size(segments) > 0, prefixes)
+    sections = links.select("section", F.inline(held)).groupBy("n", "prefix").agg(F.min("section").alias("section"))
+    met = pages.select("page_id", F.inline(held)).join(sections, ["n", "prefix"])
+    return met.groupBy("page_id").agg(F.max_by("section", "n").alias("section"), F.max("n").alias("shared"))

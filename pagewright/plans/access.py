@@ -89,7 +89,7 @@ def x4(spark, sf_dir):
     return current(spark, sf_dir).select("page_id", F.array_sort(A.directives(F.col("meta_robots"), [])).alias("directives"))
 
 
-@query("x4_scoped")
+@query("x4_scoped", BASE + "SELECT page_id, list_concat(['noarchive'], list_transform(string_split(coalesce(meta_robots, 'all'), ','), lambda w: trim(w))) AS directives FROM cur")
 def x4_scoped(spark, sf_dir):
     """Directives under agents: a token with a colon scopes itself and what follows. The tests hold the cases."""
     value = F.concat(F.lit("noarchive, googlebot: "), F.coalesce("meta_robots", F.lit("all")), F.lit(", otherbot: noindex"))

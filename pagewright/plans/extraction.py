@@ -81,7 +81,7 @@ def x2(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", E.normalise_udf("url", F.lit(" /a/./b/../c?x=1#frag ")).alias("url"))
 
 
-@query("x9")
+@query("x9", "SELECT page_id // 40 AS file, 'urls' AS kind, count(*) AS urls, count(DISTINCT page_id % 9) AS dates FROM pages GROUP BY 1")
 def x9(spark, sf_dir):
     """Sitemap files made of the pages' addresses, parsed: kind, number of addresses, dates."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "&", "&amp;").alias("url"))
@@ -99,7 +99,7 @@ def x9(spark, sf_dir):
     return files.mapInPandas(parse, "file long, kind string, urls long, dates long")
 
 
-@query("x11")
+@query("x11", "SELECT page_id // 40 AS file, 'Site' AS title, CAST(2 AS BIGINT) AS sections, count(*) AS links FROM pages GROUP BY 1")
 def x11(spark, sf_dir):
     """llms.txt files made of the pages, parsed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

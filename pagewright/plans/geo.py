@@ -179,3 +179,46 @@ def src10(spark, sf_dir):
     """The built-in registry of bots and engines as a table."""
     bots = bots_dim(spark).select("token", "purpose", "honours", F.lit(None).cast("string").alias("engine"))
     return bots.unionByName(engines_dim(spark).select(F.col("crawler").alias("token"), F.lit("engine").alias("purpose"), F.lit(None).cast("string").alias("honours"), "engine"))
+
+
+#: Incidents of the change table and what a report says of each; one rule for both sides.
+_INCIDENT = {"step": "CASE change_id % 3 WHEN 0 THEN 'opened' WHEN 1 THEN 'updated' ELSE 'resolved' END", "escalated": "change_id % 2 = 0", "widened": "change_id % 5 = 0"}
+_HELD = {"accepted": "change_id % 7 = 0", "snoozed": "change_id % 4 = 0", "escalation_due": "change_id % 11 = 0", "quiet": "change_id % 6 = 1"}
+
+
+@query("i2", BASE + ", t AS (SELECT change_id, kind, " + ", ".join(f"{e} AS {c}" for c, e in _INCIDENT.items()) + ", " + ", ".join(f"CASE WHEN change_id % 3 = 0 THEN false ELSE {e} END AS {c}" for c, e in _HELD.items()) + """ FROM changes),
+u AS (SELECT *, kind NOT IN ('title_changed') AS counts, kind IN ('new_url', 'title_changed') AS silent FROM t),
+v AS (SELECT *, step = 'updated' AND counts AND escalated AND accepted AS unaccept FROM u),
+w AS (SELECT *, unaccept OR (step = 'updated' AND counts AND escalation_due) OR (step = 'updated' AND counts AND (escalated OR widened) AND NOT accepted) AS announce FROM v)
+SELECT change_id, step, CASE WHEN step = 'opened' THEN CASE WHEN NOT silent THEN 'written' END WHEN announce AND snoozed THEN 'muted' WHEN unaccept THEN 'written'
+  WHEN (announce OR (step = 'resolved' AND NOT quiet)) AND NOT accepted THEN CASE WHEN snoozed THEN 'muted' ELSE 'written' END END AS change,
+ CASE WHEN step = 'opened' THEN silent ELSE quiet AND NOT announce END AS quiet, accepted AND NOT unaccept AS accepted,
+ CASE WHEN announce AND snoozed AND escalated THEN true WHEN announce AND NOT snoozed THEN false END AS snooze_escalated FROM w""")
+def i2(spark, sf_dir):
+    """What the transitions of incidents write: changes told, muted or none, and the incidents' next states."""
+    rows = changes(spark, sf_dir).select("change_id", "kind")
+    held = rows.where("change_id % 3 <> 0").select("change_id", *(F.expr(e).alias(c) for c, e in _HELD.items()))
+    return G.incident_writes(rows.select("change_id", "kind", *(F.expr(e).alias(c) for c, e in _INCIDENT.items())), held, ["new_url"], ["title_changed"], ["change_id"])
+
+
+@query("i4", BASE + """, p AS (SELECT site_id, kind, change_id, CASE WHEN change_id % 3 <> 0 THEN change_id % 400 = 1 END AS now_fails, change_id % 3 <> 0 AND change_id % 370 <> 2 AS sure FROM changes),
+b AS (SELECT site_id, kind, count(*) AS pages, count(*) FILTER (sure) AS seen, count(*) FILTER (sure AND now_fails) AS failing FROM p GROUP BY ALL)
+SELECT site_id, kind, CASE WHEN failing > 0 THEN 'still_failing' WHEN seen < pages THEN 'inconclusive' ELSE 'clean' END AS verdict, pages, seen FROM b""")
+def i4(spark, sf_dir):
+    """Rechecks of incidents (a site's kind): fresh answers stand in for stored ones."""
+    planned = changes(spark, sf_dir).select("site_id", "kind", "change_id")
+    fresh = planned.where("change_id % 3 <> 0").withColumn("fails", F.expr("change_id % 400 = 1")).withColumn("conclusive", F.expr("change_id % 370 <> 2"))
+    return G.recheck_verdicts(planned, fresh, ["site_id", "kind"], "change_id")
+
+
+@query("v7", BASE + """, s AS (SELECT 'lang-' || substr(path, 2, 2) || CASE WHEN page_id % 2 = 0 THEN '-a' ELSE '-b' END AS section, page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM cur),
+x AS (SELECT page_id, section, n, array_to_string(seg[1:n], '/') AS prefix FROM s, LATERAL (SELECT unnest(range(1, len(seg) + 1)) AS n)),
+h AS (SELECT n, prefix, min(section) AS section FROM x WHERE page_id % 5 = 0 GROUP BY ALL)
+SELECT x.page_id, arg_max(h.section, x.n) AS section, CAST(max(x.n) AS INTEGER) AS shared FROM x JOIN h USING (n, prefix) WHERE x.page_id % 5 <> 0 GROUP BY 1""")
+def v7(spark, sf_dir):
+    """The section of an llms.txt that fits a page that it leaves out."""
+    from pagewright.plans.fixtures import current
+
+    pages = current(spark, sf_dir).select("page_id", "path")
+    section = F.concat(F.lit("lang-"), F.substring("path", 2, 2), F.when(F.col("page_id") % 2 == 0, "-a").otherwise("-b"))
+    return G.best_section(pages.where("page_id % 5 <> 0"), pages.where("page_id % 5 = 0").select(section.alias("section"), "path"))

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.plans.fixtures import table
+from pagewright.functions.dims import BITS, CHECKS
+from pagewright.operators import checks as C
+from pagewright.plans.audit import _DIM, FAILED
+from pagewright.plans.fixtures import narrow, table
 from pagewright.plans.registry import query
 from pagewright.session import checkpoint_folder
 from pagewright.streaming import state as S
@@ -54,3 +57,28 @@ def s15(spark, sf_dir):
     rank = F.when(F.col("event_type") == "error", F.col("event_id") % 3).when(F.col("event_type") != "purchase", F.lit(9))
     judged = events_stream(spark, sf_dir).where("event_type IN ('error', 'purchase')").withColumn("rank", rank)
     return to_the_end(S.incidents(judged.select("user_id", "ts", "rank"), ["user_id"]))
+
+
+def last_state(stream: DataFrame) -> DataFrame:
+    """What an aggregate over a stream says once its input is used up; each batch's whole state replaces the one before."""
+    folder = f"{checkpoint_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out")
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+_TALLIED = FAILED + ", own AS (SELECT page_id, bit FROM failed WHERE bit IN (" + ", ".join(str(bit) for bit, _, _, scope in CHECKS if scope == "page" and bit < BITS["policy_address"]) + "))"
+
+
+@query("a31", _TALLIED + _DIM + " SELECT 'pages' AS name, count(*) AS n FROM cur UNION ALL SELECT 'with_issues', count(DISTINCT page_id) FROM own UNION ALL SELECT d.slug, count(*) FROM own JOIN dim d USING (bit) GROUP BY 1")
+def a31(spark, sf_dir):
+    """A live crawl's tally: the pages stream in, counts of checks grow."""
+    pages = narrow(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/live-{uuid.uuid4().hex}"
+    pages.repartition(4).write.parquet(folder)
+    rows = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return last_state(S.live_tally(rows, C.page_checks()))

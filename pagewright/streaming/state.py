@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -112,3 +112,10 @@ def incidents(stream: DataFrame, keys: list[str], time: str = "ts", rank: str =
     out = ", ".join(f"{c} {kind[c]}" for c in keys) + ", at long, step string"
     rows = stream.select(*keys, time, rank).withWatermark(time, late)
     return rows.groupBy(*keys).applyInPandasWithState(step, out, "open boolean, rank long, opened long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_tally(stream: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """name, n over a stream of pages: pages, with_issues, and each check that pages fail, as they come in."""
+    held = F.array_compact(F.array(*(F.when(holds, F.lit(slug)) for slug, holds in flags.items())))
+    names = F.concat(F.array(F.lit("pages")), F.when(F.size(held) > 0, F.array(F.lit("with_issues"))).otherwise(F.array().cast("array<string>")), held)
+    return stream.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
