@@ -11,21 +11,24 @@ from pagewright.session import cut_lineage
 
 
 def distinct_links(edges: DataFrame) -> DataFrame:
-    """from_id, to_id, anchor, nofollow: one row per pair; the first anchor stands, nofollow only if all links say so."""
-    return edges.groupBy("from_id", "to_id").agg(F.min_by("anchor", "edge_seq").alias("anchor"), F.bool_and("nofollow").alias("nofollow"), F.min("edge_seq").alias("edge_seq"))
+    """from_id, to_id, anchor, nofollow: one row per pair; the first anchor stands (of two at one place the lesser), nofollow
+    only if all links say so."""
+    return edges.groupBy("from_id", "to_id").agg(F.min_by("anchor", F.struct("edge_seq", "anchor")).alias("anchor"), F.bool_and("nofollow").alias("nofollow"), F.min("edge_seq").alias("edge_seq"))
 
 
 def click_depth(edges: DataFrame, root: int) -> DataFrame:
     """page_id, depth by levels from root; a round is a join of the last level with the links, until a level is empty."""
-    links = edges.where("NOT nofollow").select("from_id", "to_id").distinct()
-    seen = edges.sparkSession.createDataFrame([(root, 0)], "page_id long, depth int")
-    level = seen
+    links = cut_lineage(edges.where("NOT nofollow").select("from_id", "to_id").distinct())
+    seen = level = edges.sparkSession.createDataFrame([(root, 0)], "page_id long, depth int")
     for d in count(1):
         reached = level.join(links, level.page_id == links.from_id).select(F.col("to_id").alias("page_id")).distinct()
         level = cut_lineage(reached.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(level))
+        # Levels are read where they were written; now and then they become one table, so that plans stay short.
+        seen = seen.unionByName(level)
+        if d % 16 == 0:
+            seen = cut_lineage(seen)
 
 
 def tree_parents(depths: DataFrame, edges: DataFrame) -> DataFrame:

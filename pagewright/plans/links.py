@@ -16,7 +16,7 @@ parents AS (SELECT e.to_id AS page_id, arg_min(e.from_id, e.edge_seq) AS parent_
 _BAD = "(status >= 400 OR error IS NOT NULL)"
 
 
-@query("w6", BASE + f"SELECT from_id, to_id, edge_seq FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY edge_seq) AS r FROM edges) WHERE r <= 20 OR to_id IN (SELECT page_id FROM cur WHERE {_BAD} OR status BETWEEN 300 AND 399)")
+@query("w6", BASE + f"SELECT DISTINCT from_id, to_id, edge_seq FROM (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY edge_seq) AS r FROM edges) WHERE r <= 20 OR to_id IN (SELECT page_id FROM cur WHERE {_BAD} OR status BETWEEN 300 AND 399)")
 def w6(spark, sf_dir):
     problem = current(spark, sf_dir).where(f"{_BAD} OR status BETWEEN 300 AND 399").select("page_id")
     return G.inlink_samples(edges(spark, sf_dir), problem)
@@ -29,7 +29,7 @@ def snk2(spark, sf_dir):
     return edges(spark, sf_dir).join(bad, "to_id", "left_semi").groupBy("to_id", "from_id").agg(F.min("edge_seq").alias("edge_seq"))
 
 
-@query("w7", BASE + "SELECT from_id, to_id, arg_min(anchor, edge_seq) AS anchor, bool_and(nofollow) AS nofollow FROM edges GROUP BY ALL")
+@query("w7", BASE + "SELECT from_id, to_id, (array_agg(anchor ORDER BY edge_seq, anchor))[1] AS anchor, bool_and(nofollow) AS nofollow FROM edges GROUP BY ALL")
 def w7(spark, sf_dir):
     return G.distinct_links(edges(spark, sf_dir)).select("from_id", "to_id", "anchor", "nofollow")
 
