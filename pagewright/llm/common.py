@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +12,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pagewright.session import checkpoint_folder
+
+#: The setting by which Spark drops the shuffle files of a finished execution.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but ASCII white space; bytes.split() of the UTF-8 text cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset (tests, a laptop) to a folder of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright"))
+#: Folders made inside of scratch(), innermost last.
+_made: list[list[str]] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder as Parquet and read again, so that its lineage and whatever the
     optimiser has inferred about its columns end here. (DataFrame.checkpoint keeps the inferred constraints, which grow
-    from round to round in loops.) The files stay as long as the cluster keeps that folder."""
-    use_checkpoints(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    # Shuffle files go when the driver collects the plans that made them; loops would otherwise keep them all on disk.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    from round to round in loops.) The shuffle files of the write go when it is done. The folder stays as long as the
+    cluster keeps it, or until the end of the scratch() around it."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/pagewright-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(folder)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before) if before is not None else spark.conf.unset(_FREE_SHUFFLES)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is checkpointed inside is deleted at the end; results that read it have to be written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for folder in _made.pop():
+            delete(spark, folder)
 
 
 def named(column: str) -> Column:
