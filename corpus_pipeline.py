@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import mixing, neardup, packing, quality, substrings
-from pagewright.llm.common import use_checkpoints
+from pagewright.llm.common import delete, scratch
 from pagewright.llm.queries import table, vocabulary
-from pagewright.session import ship_package
+from pagewright.session import checkpoint_folder, ship_package
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Results between stages lie in the shared checkpoint folder."""
-    use_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        if before:  # its rows are in the stage that has just been written
+            delete(spark, before)
+        before = f"{folder}/{k}_{name}"
+        docs = spark.read.parquet(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
