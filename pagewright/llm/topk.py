@@ -86,19 +86,38 @@ class _Queries:
                     s = slice(a, a + 200_000)
                     ok[s] = np.einsum("ij,ij->i", self.levels[level][q[s]], stats[level][c[s]]) + margin[q[s], c[s]] >= floor[q[s]]
                 q, c = q[ok], c[ok]
+        if len(q) > 0.25 * keep.size and np.abs(self.vectors).max(initial=0) * np.abs(wide).max(initial=0) * wide.shape[1] < 2**52:
+            q, c, scores = self._dense(wide, ids, floor)
+            self._merge(q, ids[c], scores)
+            return
         other = self.ids[q] != ids[c]
         q, c = q[other], c[other]
         if not len(q):
             return
         scores = np.concatenate([np.einsum("ij,ij->i", self.vectors[q[a : a + 200_000]], vectors[c[a : a + 200_000]]) for a in range(0, len(q), 200_000)])
         near = scores >= np.where(self.count[q] >= self.k, self.best[q, -1], np.iinfo(np.int64).min)
-        q, c, scores = q[near], c[near], scores[near]
+        self._merge(q[near], ids[c[near]], scores[near])
+
+    def _dense(self, wide: np.ndarray, ids: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the bounds keep most pairs: all scores as one product of whole numbers that doubles hold exactly, and of
+        each query those that reach its k-th best here and so far."""
+        scores = self.vectors.astype(np.float64) @ wide.T
+        scores[self.ids[:, None] == ids[None, :]] = -np.inf
+        k = min(self.k, scores.shape[1])
+        least = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+        q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        return q, c, scores[q, c].astype(np.int64)
+
+    def _merge(self, q: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of queries (by place) with the ids found, put among their best."""
+        if not len(q):
+            return
         hit = np.unique(q)
         old = np.repeat(hit, self.k)
         old_real = (np.arange(self.k)[None, :] < self.count[hit][:, None]).ravel()
         all_q = np.concatenate([old[old_real], q])
         all_s = np.concatenate([self.best[hit].ravel()[old_real], scores])
-        all_i = np.concatenate([self.best_id[hit].ravel()[old_real], ids[c]])
+        all_i = np.concatenate([self.best_id[hit].ravel()[old_real], found])
         order = np.lexsort((all_i, -all_s, all_q))
         all_q, all_s, all_i = all_q[order], all_s[order], all_i[order]
         first = np.r_[True, all_q[1:] != all_q[:-1]]
@@ -172,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ready = ready.where("id is not null and v is not null and size(v) > 0")
     queries = ready.where("q").groupBy("id").agg(F.min("v").alias("v"))
     groups = max(1, -(-queries.count() // (QUERY_GROUP * GROUPS_HELD)))
-    chunks = max(1, -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // groups))
+    chunks = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // groups))
     # Candidates are dealt round by row number, so that a row that is repeated very often lies in all chunks.
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), "id", "v")
     rows = ready.select(F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "id", "v")
