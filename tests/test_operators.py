@@ -158,7 +158,7 @@ def test_sitemap_and_llms():
     assert (kind, urls, dates) == ("urls", ["a", "b"], ["2024-01-02", None])
     assert E.sitemap("<bad")[0] == E.sitemap(None)[0] == "invalid"
     found = E.llms_sections("# T\n> S\n```\n## no\n```\n## Docs\n- [a](/a): x\n## Two\n[b](http://b) [c](c)")
-    assert found == {"title": "T", "summary": "S", "sections": [{"name": "Docs", "links": ["/a"]}, {"name": "Two", "links": ["http://b", "c"]}]}
+    assert found == {"title": "T", "h1_first": True, "summary": "S", "sections": [{"name": "Docs", "links": ["/a"]}, {"name": "Two", "links": ["http://b", "c"]}]}
 
 
 def test_filters_and_globs(spark):
@@ -195,13 +195,13 @@ def test_streams_equal_batches(spark, sf_dir):
         ok, _ = S.admitted_calls(at, [], 2, 6 * 3600 * 1_000_000)
         assert [got[i] for i in calls.event_id] == ok
     kinds = all_plans.QUERIES["s15"](spark, sf_dir).groupBy("step").count().collect()
-    assert {r.step for r in kinds} <= {"opened", "escalated", "resolved"}
+    assert {r.step for r in kinds} <= {"opened", "escalated", "resolved", "lapsed"}
 
 
 def test_thresholds_only_move_their_checks(spark, sf_dir):
-    from pagewright.plans.fixtures import current, edges
+    from pagewright.plans.fixtures import edges, narrow
 
-    pages, links = current(spark, sf_dir), edges(spark, sf_dir)
+    pages, links = narrow(spark, sf_dir), edges(spark, sf_dir)
     base, strict = C.issues(pages, links), C.issues(pages, links, C.Thresholds(title_long=1, thin_words=10**6, slow_ms=0))
     moved = sum(1 << BITS[s] for s in ("title_too_long", "thin_content", "slow_response"))
     both = base.join(strict.withColumnRenamed("issues", "s"), "page_id")
