@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.dims import BOTS, ENGINES, bots_dim, engines_dim
+from pagewright.functions.dims import BOTS, ENGINES, bots_dim
 from pagewright.operators import access as A
 from pagewright.operators import robots as R
-from pagewright.plans.fixtures import BASE, changes, crawl_pages, current, previous
+from pagewright.plans.fixtures import BASE, changes, current, previous
 from pagewright.plans.registry import query
 
 #: A robots file as lines; both sides read it from here.

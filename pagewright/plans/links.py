@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.operators import graph as G
@@ -131,7 +130,7 @@ def g7(spark, sf_dir):
     up = files.select(F.col("file").alias("root"), F.col("parent").alias("above"))
     rows = files.select("file", F.col("file").alias("root"))
     for _ in range(3):
-        rows = rows.join(F.broadcast(up), "root").select("file", F.coalesce("above", "root").alias("root"))
+        rows = rows.join(up, "root").select("file", F.coalesce("above", "root").alias("root"))
     return rows
 
 
@@ -163,7 +162,7 @@ def a18(spark, sf_dir):
     for _ in range(2):
         level = level.join(files.select(F.col("file").alias("anc"), "parent"), "anc").where("parent IS NOT NULL").select("file", F.col("parent").alias("anc"))
         up = up.unionByName(level)
-    return counted.join(F.broadcast(up), "file").groupBy(F.col("anc").alias("file"), "bucket").agg(F.sum("urls").alias("urls"))
+    return counted.join(up, "file").groupBy(F.col("anc").alias("file"), "bucket").agg(F.sum("urls").alias("urls"))
 
 
 @query("x10", BASE + "SELECT page_id % 3 AS file, count(lm) AS with_date, count(DISTINCT lm) AS dates, min(lm) AS first, max(lm) AS last, count(*) FILTER (lm > '2024-06-01') AS future FROM (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN concat('2024-0', CAST(1 + page_id % 8 AS VARCHAR), '-1', CAST(page_id % 7 AS VARCHAR)) END AS lm FROM cur) GROUP BY 1")
