@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import explore as X
 from pagewright.plans.fixtures import BASE, changes, crawl_pages, crawls, current, edges, previous
 from pagewright.plans.registry import query
+from pagewright.sources.writers import fitted
 
 _HTML, _IMG = "coalesce(content_type,'') ILIKE 'text/html%'", "coalesce(content_type,'') ILIKE 'image/%'"
 _FILTERS = {
@@ -353,9 +354,8 @@ def snk5(spark, sf_dir):
     return rows.where("r <= 100").select("kind", "change_id")
 
 
-@query("snk8", BASE + "SELECT change_id, used FROM (SELECT change_id, CAST(sum(length(kind) + 20) OVER (ORDER BY change_id) AS BIGINT) AS used FROM (SELECT * FROM changes WHERE site_id = 3 ORDER BY change_id LIMIT 500)) WHERE used <= 3000")
+@query("snk8", BASE + """, s AS (SELECT site_id, change_id, kind, sum(length(kind) + 20) OVER (PARTITION BY site_id ORDER BY change_id) AS used FROM changes)
+SELECT site_id, change_id, kind AS line FROM s WHERE used <= 1500 UNION ALL SELECT site_id, NULL, CAST(count(*) AS VARCHAR) || ' more' FROM s WHERE used > 1500 GROUP BY 1""")
 def snk8(spark, sf_dir):
-    """The first changes of a message that fit into its bytes."""
-    few = changes(spark, sf_dir).where("site_id = 3").orderBy("change_id").limit(500)
-    used = F.sum(F.length("kind") + 20).over(Window.orderBy("change_id"))
-    return few.select("change_id", used.cast("long").alias("used")).where("used <= 3000")
+    """The first changes of each site's message that fit into its bytes, and how many more there are."""
+    return fitted(changes(spark, sf_dir).select("site_id", "change_id", F.col("kind").alias("line")), "site_id", "change_id", 20, 1500)

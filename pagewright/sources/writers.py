@@ -60,3 +60,18 @@ def sarif_result(rule: Column, severity: Column, url: Column) -> Column:
     level = F.when(severity == "critical", "error").when(severity == "warning", "warning").otherwise("note")
     place = F.array(F.struct(F.struct(F.struct(url.alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     return F.to_json(F.struct(rule.alias("ruleId"), level.alias("level"), F.struct(rule.alias("text")).alias("message"), place.alias("locations")))
+
+
+def fitted(lines: DataFrame, by: str, order: str, overhead: int, budget: int) -> DataFrame:
+    """by, order, line: the first lines of each message that fit into budget bytes, each with its overhead, and a line "N more".
+
+    No more than budget / overhead lines can fit, so that many are taken before the running sum (a limit that Spark applies
+    before the shuffle); the others are only counted.
+    """
+    place = Window.partitionBy(by).orderBy(order)
+    first = lines.withColumn("place", F.row_number().over(place)).where(F.col("place") <= budget // overhead)
+    fit = first.withColumn("used", F.sum(F.octet_length("line") + overhead).over(place)).where(F.col("used") <= budget)
+    counts = lines.groupBy(by).agg(F.count("*").alias("n")).join(fit.groupBy(by).agg(F.count("*").alias("m")), by, "left")
+    left = F.col("n") - F.coalesce("m", F.lit(0))
+    more = counts.where(left > 0).select(by, F.lit(None).cast(lines.schema[order].dataType).alias(order), F.concat(left.cast("string"), F.lit(" more")).alias("line"))
+    return fit.select(by, order, "line").unionByName(more)
