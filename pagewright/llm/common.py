@@ -42,6 +42,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name below the shared checkpoint folder, for files that a result is read from later."""
+    return f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

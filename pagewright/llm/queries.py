@@ -94,7 +94,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.common import shared_folder
+    from pagewright.llm.tokenfiles import read_documents, write_ids
+
+    folder = shared_folder(spark, "token-ids")
+    write_ids(table(spark, sf_dir, "documents"), folder, vocabulary())
+    return read_documents(spark, folder)
+
+
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences, "op13_token_files": op13_token_files}
 
 ORACLE = {
     "op10_topk": """
