@@ -94,6 +94,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.common import held_out
+    from pagewright.llm.merkle import audited
+
+    return audited(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 0))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.common import shared_folder
     from pagewright.llm.tokenfiles import read_documents, write_ids
@@ -103,9 +110,68 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences, "op13_token_files": op13_token_files}
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences, "op12_merkle": op12_merkle, "op13_token_files": op13_token_files}
+
+#: crc32 of the decimal document id, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+def merkle_sql(levels: int = 8, group_levels: int = 4) -> str:
+    """SQL of op12: the levels of a tree are written out, enough of them for 8^levels rows a language."""
+
+    def value(column: str) -> str:
+        return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(value, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def tree(name: str, n: int) -> str:
+        """name0 (g, p, n, d) is given; name<k> are its levels, name_run<k> the digests of the runs with more than one node above."""
+        out = []
+        for k in range(n):
+            out.append(f"{name}_run{k} AS (SELECT g, p // 8 AS p, (any_value(n) + 7) // 8 AS n, list(d ORDER BY p) AS ds FROM {name}{k} WHERE n > 1 GROUP BY g, p // 8)")
+            out.append(f"{name}{k + 1} AS (SELECT g, p, n, sha256(array_to_string(ds, '')) AS d FROM {name}_run{k} UNION ALL SELECT g, p, n, d FROM {name}{k} WHERE n = 1)")
+        return ",\n".join(out)
+
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    joins, steps = [], []
+    for name, place, group, n in (("a", "a0.p", "a0.g", levels), ("b", "b0.p", "''", group_levels)):
+        for k in range(n):
+            joins.append(f"LEFT JOIN {name}_run{k} ON {name}_run{k}.g = {group} AND {name}_run{k}.p = {place} // {8 ** (k + 1)}")
+            at, ds = f"({place} // {8**k} % 8)", f"{name}_run{k}.ds"
+            left, right = f"coalesce(array_to_string({ds}[1:{at}], ''), '')", f"coalesce(array_to_string({ds}[{at} + 2:], ''), '')"
+            steps.append(f"CASE WHEN {ds} IS NOT NULL THEN {{'l': {left}, 'd': '', 'r': {right}}} END")
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {leaf('text')} AS d,
+         CASE WHEN {CRC32_SQL} % 3 = 0 THEN {leaf(f'translate(text, {letters})')} END AS other
+  FROM documents
+),
+a0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{tree("a", levels)},
+b0 AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, d FROM a{levels}),
+{tree("b", group_levels)},
+proofs AS (
+  SELECT a0.doc_id, a0.d AS leaf, b0.d AS subroot, (SELECT d FROM b{group_levels}) AS root, coalesce(a0.other, a0.d) AS begin,
+         list_filter([{", ".join(steps)}], lambda s: s IS NOT NULL) AS path
+  FROM a0 JOIN b0 ON b0.name = a0.g
+  {" ".join(joins)}
+),
+folded AS (
+  SELECT *, list_reduce(list_concat([{{'l': '', 'd': begin, 'r': ''}}], path),
+                        lambda x, s: {{'l': '', 'd': sha256(s.l || x.d || s.r), 'r': ''}}).d AS folded_root
+  FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s.l || s.r), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
 
 ORACLE = {
+    "op12_merkle": merkle_sql(),
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
