@@ -59,13 +59,12 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 def siblings(nodes: DataFrame) -> DataFrame:
     """nodes (group, place, n, digest, ..) with the digests on the left and on the right in the same run as texts."""
-    run, slot = F.floor(F.col("place") / WIDTH), F.pmod("place", F.lit(WIDTH))
-    nodes = nodes.withColumn("run", run.cast("long")).withColumn("slot", slot.cast("int"))
-    nodes = nodes.withColumn("length", F.least(F.lit(WIDTH), F.col("n") - F.col("run") * WIDTH).cast("int"))
+    run, slot = F.floor(F.col("place") / WIDTH).cast("long"), F.pmod("place", F.lit(WIDTH)).cast("int")
+    nodes = nodes.select("*", run.alias("run"), slot.alias("slot"), F.least(F.lit(WIDTH), F.col("n") - run * WIDTH).cast("int").alias("length"))
     order = Window.partitionBy("group", "run").orderBy("slot")
     before = [F.when(F.col("slot") >= k, F.lag("digest", k).over(order)) for k in range(WIDTH - 1, 0, -1)]
     after = [F.when(F.col("slot") + k < F.col("length"), F.lead("digest", k).over(order)) for k in range(1, WIDTH)]
-    return nodes.withColumn("left", F.concat_ws("", *before)).withColumn("right", F.concat_ws("", *after))
+    return nodes.select("*", F.concat_ws("", *before).alias("left"), F.concat_ws("", *after).alias("right"))
 
 
 def levels_above(leaves: DataFrame) -> list[DataFrame]:
@@ -82,31 +81,29 @@ def levels_above(leaves: DataFrame) -> list[DataFrame]:
     return out
 
 
-def proved(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """nodes with path: the siblings of the node and of all nodes above it as structs (left, right), and the parents' other
-    columns. parents: group, place, path, ..; a group whose only node is here has it at place 0, with the path from there."""
-    above = parents.withColumnsRenamed({"group": "parent_group", "place": "parent_place", "path": "parent_path"})
+def proved(nodes: DataFrame, parents: DataFrame, keep: list[str], carry: list[str]) -> DataFrame:
+    """keep of nodes, carry of their parents, and path: the siblings of the node and of all nodes above it as structs
+    (left, right). parents: group, place, path, ..; a group whose only node is here has it at place 0, with the path from there."""
+    above = parents.select(F.col("group").alias("parent_group"), F.col("place").alias("parent_place"), F.col("path").alias("parent_path"), *carry)
     own = F.when(F.col("n") > 1, F.array(F.struct("left", "right"))).otherwise(F.array().cast("array<struct<left:string,right:string>>"))
     met = siblings(nodes).join(above, (F.col("group") == F.col("parent_group")) & (F.col("run") == F.col("parent_place")))
-    return met.withColumn("path", F.concat(own, "parent_path")).drop("left", "right", "run", "slot", "length", "parent_group", "parent_place", "parent_path")
+    return met.select(*keep, *carry, F.concat(own, "parent_path").alias("path"))
 
 
-def _descended(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """Paths of the lowest of levels; tops: group, path, .. of the groups' last nodes, which stand at any level."""
+def _descended(levels: list[DataFrame], tops: DataFrame, carry: list[str]) -> DataFrame:
+    """group, place, carry and path of the lowest of levels; tops: group, carry and path of the groups' last nodes, which
+    stand at any level."""
     above = None
     for level in reversed(levels):
-        ended = level.where("n = 1").join(tops, "group").select("group", "place", "path", *[c for c in tops.columns if c not in ("group", "path")])
-        if above is None:
-            above = ended
-        else:
-            above = proved(level.where("n > 1"), above).select(ended.columns).unionByName(ended)
+        ended = level.where("n = 1").join(tops, ["group", "place"]).select("group", "place", *carry, "path")
+        above = ended if above is None else proved(level.where("n > 1"), above, ["group", "place"], carry).unionByName(ended)
     return above
 
 
 def manifest(leaves: DataFrame) -> DataFrame:
     """leaves: group (a text or null), id, digest, and any columns whose names are none of this module's.
 
-    Returns the rows with subroot, root and path (the proof: siblings left and right, from the leaf to the root).
+    Returns these columns but group, with subroot, root and path (the proof: siblings left and right, from the leaf to the root).
     """
     # Null is the empty text and sorts before all others, which get a mark in front.
     marked = leaves.withColumn("group", F.coalesce(F.concat(F.lit("+"), F.col("group")), F.lit("")))
@@ -120,15 +117,14 @@ def manifest(leaves: DataFrame) -> DataFrame:
     over = numbered(ends.select(F.lit("").alias("group"), F.col("group").alias("name"), "digest"), "group", ["name"])
     upper = levels_above(over)
     none = F.array().cast("array<struct<left:string,right:string>>")
-    root = (upper[-1] if upper else over).where("n = 1").select("group", none.alias("path"), F.col("digest").alias("root"))
-    top = over.withColumn("subroot", F.col("digest"))
-    parents = _descended(upper, root) if upper else root.withColumn("place", F.lit(0).cast("long"))
-    tops = checkpointed(proved(top, parents).select(F.col("name").alias("group"), "path", "subroot", "root"))
-    above = _descended(levels, tops) if levels else None
-    ended = tops.withColumn("place", F.lit(0).cast("long"))
-    alone = rows.where("n = 1").select("group").join(ended, "group")
-    above = alone if above is None else above.unionByName(alone)
-    return proved(rows, above).drop("place", "n", "group")
+    root = (upper[-1] if upper else over).where("n = 1").select("group", F.lit(0).cast("long").alias("place"), F.col("digest").alias("root"), none.alias("path"))
+    parents = _descended(upper, root, ["root"]) if upper else root
+    tops = proved(over, parents, [F.col("name").alias("group"), F.col("digest").alias("subroot")], ["root"])
+    tops = checkpointed(tops.select("group", F.lit(0).cast("long").alias("place"), "subroot", "root", "path"))
+    above = rows.where("n = 1").select("group").join(tops, "group").select("group", "place", "subroot", "root", "path")
+    if levels:
+        above = _descended(levels, tops, ["subroot", "root"]).unionByName(above)
+    return proved(rows, above, [c for c in leaves.columns if c != "group"], ["subroot", "root"])
 
 
 def proof_digest(path: Column) -> Column:
