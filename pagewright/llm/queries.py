@@ -94,6 +94,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.common import held_out
     from pagewright.llm.merkle import audited
@@ -110,7 +116,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences, "op12_merkle": op12_merkle, "op13_token_files": op13_token_files}
+QUERIES = {"op1_quality": op1_quality, "op9_language": op9_language, "op3_packing": op3_packing, "op5_mixing": op5_mixing, "op10_topk": op10_topk, "op7_minhash": op7_minhash, "op6_substrings": op6_substrings, "op8_spotsigs": op8_spotsigs, "op4_blocks": op4_blocks, "op2_licences": op2_licences, "op11_lexical": op11_lexical, "op12_merkle": op12_merkle, "op13_token_files": op13_token_files}
 
 #: crc32 of the decimal document id, bit by bit.
 CRC32_SQL = """xor(4294967295, list_reduce(
@@ -170,7 +176,32 @@ FROM folded
 """
 
 
+#: Terms of a text: runs of letters and digits of ASCII and of all other characters.
+TERMS_SQL = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
 ORACLE = {
+    "op11_lexical": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, min(text) AS text FROM benchmark GROUP BY item_id),
+doc_terms AS (SELECT r, term, count(*) AS tf FROM (SELECT r, {TERMS_SQL} AS term FROM docs) GROUP BY r, term),
+item_terms AS (SELECT i, term, count(*) AS times FROM (SELECT i, {TERMS_SQL} AS term FROM items) GROUP BY i, term),
+sizes AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM doc_terms GROUP BY r),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM doc_terms, totals GROUP BY term
+),
+scores AS (
+  SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM item_terms JOIN doc_terms USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals
+  GROUP BY i, r
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS k, doc_id, score
+  FROM scores JOIN docs USING (r) JOIN items USING (i) WHERE score > 0
+)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 20
+""",
     "op12_merkle": merkle_sql(),
     "op10_topk": """
 WITH v AS (
