@@ -38,7 +38,11 @@ from pagewright.llm.common import batches, column_of, named
 SEGMENT = 1 << 18
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
+#: More levels save a few bits of a number and cost time to read.
+MOST_LEVELS = 3
 MAGIC = b"DAC1"
+#: Documents are read in runs of at least this many ids.
+RUN = 1 << 14
 
 SEGMENTS = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 SEGMENTS_DDL = "file int, segment int, first long, n_tokens long, n_docs long, data binary"
@@ -48,31 +52,33 @@ DOCUMENTS_DDL = "doc_id long, file int, first long, n_tokens long, ids_crc32 lon
 STRETCH_BITS = 18
 
 
-def bit_lengths(values: np.ndarray) -> np.ndarray:
-    """The number of bits of each unsigned 32-bit number, 1 for 0."""
-    return np.maximum(np.frexp(values.astype(np.float64))[1], 1)
-
-
-def fitted_widths(values: np.ndarray) -> list[int]:
-    """The levels' widths that store the numbers in the fewest bits. A number of b bits has an entry in each level that
-    begins below bit b; an entry costs the level's width, and a bit of the bitmap in all levels but the last."""
-    most = 32
-    count = np.bincount(bit_lengths(values), minlength=most + 1) if len(values) else np.zeros(most + 1, np.int64)
-    top = int(np.flatnonzero(count)[-1]) if count.any() else 1
-    longer = [int(count[b + 1 :].sum()) for b in range(most + 1)]  # numbers that go on after bit b
-    best: list[tuple[int, list[int]]] = [(0, [])] + [(0, [])] * top
-    for end in range(1, top + 1):
-        best[end] = min((best[a][0] + longer[a] * (end - a + (end < top)), [*best[a][1], end - a]) for a in range(end))
+def fitted_widths(values: np.ndarray, most_levels: int = MOST_LEVELS) -> list[int]:
+    """The widths of at most most_levels levels that store the numbers in the fewest bits. A number of b bits has an entry
+    in each level that begins below bit b; an entry costs the level's width, and a bit of the bitmap in all levels but the last."""
+    top = max(1, int(values.max(initial=0)).bit_length())
+    longer = [len(values), *(int(np.count_nonzero(values >= 1 << b)) for b in range(1, top + 1))]  # numbers that go on after bit b
+    # best[end]: bits and widths of the levels up to bit end, with one level more in each round.
+    best: dict[int, tuple[int, list[int]]] = {0: (0, [])}
+    for _ in range(most_levels):
+        ways = [(end, best[a][0] + longer[a] * (end - a + (end < top)), [*best[a][1], end - a]) for a in best for end in range(a + 1, top + 1)]
+        for end, bits, widths in ways:
+            best[end] = min(best.get(end, (bits, widths)), (bits, widths))
     return best[top][1]
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
-    """Numbers of width bits each, least bit first, and 8 zero bytes so that every number can be read as part of 64 bits."""
-    out = []
-    for a in range(0, len(values), 1 << 16):  # a multiple of 8 numbers ends on a whole byte
-        bits = np.unpackbits(values[a : a + (1 << 16)].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-        out.append(np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes())
-    return b"".join(out) + bytes(8)
+    """Numbers of width bits each, least bit first, and 8 zero bytes so that every number can be read as part of 64 bits.
+    Eight numbers fill width bytes, so each of the eight always has the same bytes and shift."""
+    rows = -(-len(values) // 8)
+    eights = np.zeros((rows, 8), np.uint64)
+    eights.reshape(-1)[: len(values)] = values
+    out = np.zeros((rows, width), np.uint8)
+    for r in range(8):
+        byte, shift = divmod(r * width, 8)
+        bits = eights[:, r] << np.uint64(shift)
+        for j in range(-(-(shift + width) // 8)):
+            out[:, byte + j] |= (bits >> np.uint64(8 * j)).astype(np.uint8)
+    return out.tobytes()[: -(-len(values) * width // 8)] + bytes(8)
 
 
 def encoded(values: np.ndarray) -> bytes:
@@ -155,18 +161,34 @@ class Codes:
             asked, places, shift = asked[on], self._rank(level, places[on]), shift + width
         return out.astype(np.uint32)
 
+    def _chunk_run(self, level: int, start: int, end: int) -> np.ndarray:
+        """The chunks of neighbours: every eighth has the same shift, at bytes that lie the level's width apart."""
+        width, windows = self.widths[level], self.windows[level]
+        out = np.empty(end - start, np.uint32)
+        for r in range(min(8, end - start)):
+            byte, shift = divmod((start + r) * width, 8)
+            part = windows[byte::width][: -(-(end - start - r) // 8)]
+            out[r::8] = (part >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        return out
+
     def run(self, start: int, end: int) -> np.ndarray:
         """The numbers from start to before end. What goes on lies in one piece in each level, between two ranks."""
-        out, asked, shift = np.zeros(end - start, np.uint64), slice(None), 0
+        out = asked = None
+        shift = 0
         for level, width in enumerate(self.widths):
-            places = np.arange(start, end)
-            out[asked] |= self._chunks(level, places) << np.uint64(shift)
+            chunks = self._chunk_run(level, start, end)
+            if level == 0:
+                out = chunks
+            else:
+                out[asked] |= chunks << np.uint32(shift)
             if level == len(self.widths) - 1 or start == end:
                 break
-            on = np.flatnonzero(self._goes_on(level, places))
+            bits = np.unpackbits(self.words[level].view(np.uint8)[start >> 3 : (end + 7) >> 3], bitorder="little")
+            on = np.flatnonzero(bits[start & 7 : (start & 7) + end - start])
             asked = on if level == 0 else asked[on]
-            (start, end), shift = self._rank(level, np.array([start, end])), shift + width
-        return out.astype(np.uint32)
+            start, end = self._rank(level, np.array([start, end])).tolist()
+            shift += width
+        return out
 
 
 def segment_bytes(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -192,9 +214,14 @@ class Segment:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Each document's id, the number of token ids before it in the segment, and its token ids."""
-        start = 0
-        for doc_id, end in zip(self.doc_ids, self.ends.tolist()):
-            yield doc_id, start, self.ids.run(start, end)
+        start = first = 0
+        ends = self.ends.tolist()
+        run = self.ids.run(0, 0)
+        for doc_id, end in zip(self.doc_ids, ends):
+            if end > first + len(run):
+                to = int(np.searchsorted(self.ends, start + RUN))
+                first, run = start, self.ids.run(start, max(end, ends[min(to, len(ends) - 1)]))
+            yield doc_id, start, run[start - first : end - first]
             start = end
 
 
@@ -256,7 +283,7 @@ def _documents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for file, first, data in zip(*(column_of(part, c) for c in ("file", "first", "data"))):
                 for doc_id, start, ids in Segment(data).documents():
-                    yield doc_id, file, first + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+                    yield doc_id, file, first + start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))
 
     yield from batches(rows(), DOCUMENTS, 8000)
 
