@@ -34,15 +34,7 @@ verdict AS (SELECT cur.page_id, t.token, coalesce(h.allow, true) AS allowed, CAS
 
 
 def robots_rules(spark):
-    lines = spark.createDataFrame([("robots.txt", i + 1, t) for i, t in enumerate(ROBOTS_LINES)], "file string, line int, text string")
-    return R.parsed(lines)
-
-
-@query("x7", BASE + _RULES_SQL + "SELECT CAST(group_idx AS BIGINT) AS group_idx, agents, line, allow, pattern, CAST(length(pattern) AS INTEGER) AS length FROM rules")
-def x7(spark, sf_dir):
-    """Rules of a robots file."""
-    rows = robots_rules(spark)
-    return rows.select(F.col("group_idx").cast("long").alias("group_idx"), F.array_join("agents", ",").alias("agents"), "line", "allow", "pattern", "length")
+    return R.parsed(spark.createDataFrame([("\n".join(ROBOTS_LINES),)], "body string"), [])
 
 
 _VERDICT_SQL = BASE + _VERDICTS
@@ -60,14 +52,6 @@ def v6(spark, sf_dir):
     return R.verdicts(one, ["Googlebot"], robots_rules(spark)).select("token", "allowed", "line")
 
 
-@query("v5", BASE + _RULES_SQL + _TOKENS_SQL + "SELECT r.agents, count(*) AS readers FROM tokens t JOIN (SELECT DISTINCT agents FROM rules) r ON list_contains(string_split(r.agents, ','), lower(t.token)) GROUP BY 1")
-def v5(spark, sf_dir):
-    """How many of the bots resolve to each group of a robots file."""
-    tokens = spark.createDataFrame([(t,) for t in TOKENS], "token string")
-    groups = robots_rules(spark).select(F.array_join("agents", ",").alias("agents"), F.explode("agents").alias("agent")).distinct()
-    return groups.join(F.broadcast(tokens), F.col("agent") == F.lower("token")).groupBy("agents").agg(F.count("*").alias("readers"))
-
-
 @query("g8", _VERDICT_SQL + "SELECT token, CASE WHEN count(*) FILTER (NOT allowed) = 0 THEN 'allowed' WHEN count(*) FILTER (NOT allowed) = count(*) THEN 'blocked' ELSE 'partly' END AS state, count(*) FILTER (NOT allowed) AS blocked FROM verdict GROUP BY 1")
 def g8(spark, sf_dir):
     """How far each bot reaches."""
@@ -416,10 +400,3 @@ def x12(spark, sf_dir):
     rows = current(spark, sf_dir).select("page_id", F.explode(F.split(F.expr(_SIGNAL), ",")).alias("p")).where(F.col("p").contains("="))
     part = lambda n: F.trim(F.split_part("p", F.lit("="), F.lit(n)))
     return rows.select("page_id", part(1).alias("key"), (part(2) == "yes").alias("allowed"))
-
-
-@query("d3", BASE + "SELECT list_sort(list_filter(list_transform(" + "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in ROBOTS_LINES) + "]" + ", lambda t: trim(regexp_replace(t, '#.*$', ''))), lambda t: t <> '' AND NOT lower(t) LIKE 'sitemap:%')) AS lines")
-def d3(spark, sf_dir):
-    """What counts of a robots file when it is compared with another: no comments, blanks or sitemap lines."""
-    lines = spark.createDataFrame([(t,) for t in ROBOTS_LINES], "text string").select(F.trim(F.regexp_replace("text", "#.*$", "")).alias("t"))
-    return lines.where((F.col("t") != "") & ~F.lower("t").like("sitemap:%")).agg(F.sort_array(F.collect_list("t")).alias("lines"))

@@ -89,8 +89,8 @@ def test_parts_of_unclosed_pages():
 
 
 def test_robots_of_several_hosts(spark):
-    lines = [("h1", 1, "User-agent: *"), ("h1", 2, "Disallow: /a"), ("h2", 1, "User-agent: b"), ("h2", 2, "Disallow: /*.x$"), ("h2", 3, "Allow: /a.x")]
-    rules = R.parsed(spark.createDataFrame(lines, "file string, line int, text string"))
+    files = [("h1", "User-agent: *\nDisallow: /a"), ("h2", "User-agent: b\nDisallow: /*.x$\nAllow: /a.x"), ("h4", None), ("h5", "")]
+    rules = R.parsed(spark.createDataFrame(files, "file string, body string"), ["file"])
     paths = spark.createDataFrame([(1, "/a.x", "h1"), (2, "/a.x", "h2"), (3, "/b.x", "h2"), (4, "/b.xy", "h2"), (5, "/a", "h3")], "page_id long, path string, file string")
     got = {(r.page_id, r.token): (r.allowed, r.line) for r in R.verdicts(paths, ["b", "c"], rules, by=["file"]).collect()}
     assert got == {(1, "b"): (False, 2), (1, "c"): (False, 2), (2, "b"): (False, 2), (2, "c"): (True, None), (3, "b"): (False, 2), (3, "c"): (True, None), (4, "b"): (True, None), (4, "c"): (True, None), (5, "b"): (True, None), (5, "c"): (True, None)}

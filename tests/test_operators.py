@@ -49,7 +49,7 @@ def test_directive_scopes(spark):
 
 def test_robots_verdicts(spark):
     lines = ["User-agent: a", "User-agent: B", "Disallow: /x*y$", "Allow: /", "", "user-agent: *", "Disallow: /p # c", "Allow: /p/q", "Disallow:"]
-    rules = R.parsed(spark.createDataFrame([("f", i, t) for i, t in enumerate(lines, 1)], "file string, line int, text string"))
+    rules = R.parsed(spark.createDataFrame([("\n".join(lines),)], "body string"), [])
     paths = spark.createDataFrame(enumerate(["/x1y", "/x1yz", "/p", "/p/q/r", "/robots.txt", "/z"]), "page_id long, path string")
     got = {(r.page_id, r.token): (r.allowed, r.line) for r in R.verdicts(paths, ["b", "other"], rules).collect()}
     assert got[0, "b"] == (False, 3) and got[1, "b"] == (True, 4)
