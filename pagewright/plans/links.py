@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.operators import crawl
 from pagewright.operators import graph as G
 from pagewright.plans.fixtures import BASE, crawl_pages, current, edges, n_pages, previous
 from pagewright.plans.registry import query
@@ -51,6 +52,40 @@ def g2(spark, sf_dir):
     return G.tree_parents(G.click_depth(links, 0), links)
 
 
+def _crawl_sql(levels: int = 6, passes: int = 4) -> str:
+    """The crawl in SQL: each level written out, with its redirects."""
+    out = [
+        "known AS (SELECT page_id, coalesce(meta_robots, '') <> 'noindex' AS follow, (SELECT min(t.page_id) FROM cur t WHERE t.url = cur.redirect_target) AS redirect_to, in_sitemap FROM cur)",
+        "budget AS (SELECT count(*) * 4 // 5 AS b FROM known)",
+        "links AS (SELECT from_id, to_id, min(edge_seq) AS edge_seq FROM edges WHERE NOT nofollow AND from_id IN (SELECT page_id FROM known WHERE follow AND redirect_to IS NULL) AND to_id IN (SELECT page_id FROM known) GROUP BY ALL)",
+        "lv0 AS (SELECT CAST(0 AS BIGINT) AS page_id, 0 AS depth, CAST(NULL AS BIGINT) AS parent_id, 'start' AS found_by, CAST(1 AS BIGINT) AS place)",
+        "seen0 AS (SELECT page_id, depth, parent_id, found_by FROM lv0)", "adm0 AS (SELECT CAST(1 AS BIGINT) AS n)",
+    ]
+    for d in range(levels):
+        seen, heads = f"seen{d}", [f"SELECT *, 0 AS hop FROM lv{d}"]
+        for h in range(passes):
+            going = f"lv{d}" if h == 0 else f"hop{d}_{h - 1}"
+            out.append(f"hop{d}_{h} AS (SELECT k.redirect_to AS page_id, {d} AS depth, arg_min(struct_pack(p := g.parent_id), (g.place, g.page_id)).p AS parent_id, 'redirect' AS found_by, min(g.place) AS place FROM {going} g JOIN known k ON k.page_id = g.page_id WHERE k.redirect_to NOT IN (SELECT page_id FROM {seen}) GROUP BY 1)")
+            out.append(f"seen{d}_{h} AS (SELECT * FROM {seen} UNION ALL SELECT page_id, depth, parent_id, found_by FROM hop{d}_{h})")
+            seen = f"seen{d}_{h}"
+            heads.append(f"SELECT *, {h + 1} AS hop FROM hop{d}_{h}")
+        out.append(f"next{d} AS (SELECT l.to_id AS page_id, arg_min(h.page_id, (h.place, h.hop, l.edge_seq)) AS parent_id, min((h.place, h.hop, l.edge_seq)) AS found FROM ({' UNION ALL '.join(heads)}) h JOIN links l ON l.from_id = h.page_id WHERE l.to_id NOT IN (SELECT page_id FROM {seen}) GROUP BY 1)")
+        out.append(f"lv{d + 1} AS (SELECT * FROM (SELECT page_id, {d + 1} AS depth, parent_id, 'link' AS found_by, row_number() OVER (ORDER BY found, page_id) AS place FROM next{d}) WHERE place <= (SELECT b FROM budget) - (SELECT n FROM adm{d}))")
+        out.append(f"adm{d + 1} AS (SELECT n + (SELECT count(*) FROM lv{d + 1}) AS n FROM adm{d})")
+        out.append(f"seen{d + 1} AS (SELECT * FROM {seen} UNION ALL SELECT page_id, depth, parent_id, found_by FROM lv{d + 1})")
+    out.append(f"rest AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM known WHERE in_sitemap AND page_id NOT IN (SELECT page_id FROM seen{levels}))")
+    return BASE + ", " + ", ".join(out) + f" SELECT * FROM seen{levels} UNION ALL SELECT page_id, NULL, NULL, 'sitemap' FROM rest WHERE r <= (SELECT b FROM budget) - (SELECT n FROM adm{levels})"
+
+
+@query("g1_budget", _crawl_sql())
+def g1_budget(spark, sf_dir):
+    """What a crawl of four fifths of the pages takes in, how deep and from where; redirects hand on depth and parent."""
+    pages = current(spark, sf_dir).select("page_id", "url", "redirect_target", (F.coalesce("meta_robots", F.lit("")) != "noindex").alias("follow"), "in_sitemap")
+    targets = pages.groupBy(F.col("url").alias("redirect_target")).agg(F.min("page_id").alias("redirect_to"))
+    known = pages.join(targets, "redirect_target", "left").select("page_id", "follow", "redirect_to", "in_sitemap")
+    return crawl.crawl_order(known, edges(spark, sf_dir), 0, known.count() * 4 // 5)
+
+
 @query("g3")
 def g3(spark, sf_dir):
     """Link score. Its sums depend on their order in the last digits; the tests compare it with numpy."""
