@@ -376,14 +376,6 @@ def a23(spark, sf_dir):
     return rows.agg(F.count("*").alias("pages"), F.count_if(F.expr("response_ms > 1000 AND status <> 0 AND rule IS NULL")).alias("slow"))
 
 
-@query("x18", BASE + "SELECT page_id, arg_min(m.name, m.p) AS marker FROM cur JOIN (VALUES (0, 'first', 'the th', 400), (1, 'second', 'de la', 100000), (2, 'generic', 'tion', 300)) m(p, name, needle, most) ON contains(lower(article), m.needle) AND length(article) < m.most * 10 GROUP BY 1")
-def x18(spark, sf_dir):
-    """The first marker that a body holds, where generic ones count in short bodies only."""
-    markers = [("first", "the th", 400), ("second", "de la", 100000), ("generic", "tion", 300)]
-    hit = F.coalesce(*(F.when(F.contains(F.lower("article"), F.lit(n)) & (F.length("article") < m * 10), F.lit(name)) for name, n, m in markers))
-    return current(spark, sf_dir).select("page_id", hit.alias("marker")).where("marker IS NOT NULL")
-
-
 @query("x20", BASE + r"SELECT page_id, CASE WHEN length(t) > 30 THEN concat(substr(t, 1, 29), '…') ELSE t END AS line FROM (SELECT page_id, trim(regexp_replace(title, '[\x00-\x1f ]+', ' ', 'g')) AS t FROM cur)")
 def x20(spark, sf_dir):
     """A title on one line, clipped with an ellipsis."""
