@@ -742,3 +742,27 @@ def test_top_k_against_brute_force(spark, monkeypatch, group):
     thrice = frame.where("vec_id < 60").unionByName(frame.where("vec_id = 50")).unionByName(frame.where("vec_id = 7"))
     best = topk.top_k(thrice, F.col("vec_id") % 50 == 0, k=90).groupBy("query_id", "vec_id").count().collect()
     assert {(r.query_id, r.vec_id): r["count"] for r in best} == {(a, b): 1 + (b in (7, 50)) for a in (0, 50) for b in range(60) if a != b}
+
+
+def test_bounds_decide_what_is_compared(spark):
+    """On sf0.1, once a query has a floor, the bounds leave less than a tenth of the pairs to be compared exactly."""
+    import pyarrow.parquet as pq
+
+    from pagewright.llm import topk
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    ids = np.array(rows["vec_id"])
+    vectors = np.floor(256 * np.array(rows["embedding"], dtype=np.float64)).astype(np.int64)
+    is_query = ids % 50 == 0
+    scores = vectors[is_query] @ vectors.T
+    scores[ids[is_query][:, None] == ids[None, :]] = -(2**60)
+    held = topk._Queries(ids[is_query], vectors[is_query], np.full(is_query.sum(), np.iinfo(np.int64).min), 5)
+    held.offer(ids[:1000], vectors[:1000])
+    assert held.exact == held.pairs - np.isin(ids[is_query], ids[:1000]).sum()  # without floors nothing is ruled out
+    held.pairs = held.exact = 0
+    for a in range(1000, len(ids), 500):
+        held.offer(ids[a : a + 500], vectors[a : a + 500])
+    assert 0 < held.exact < 0.1 * held.pairs
+    want = [sorted(zip(-s, ids))[:5] for s in scores]
+    got = [list(zip(-s, i)) for s, i in zip(held.best, held.best_id)]
+    assert got == want
