@@ -30,6 +30,9 @@ from pagewright.llm.common import boxed, column_of, named, with_columns
 
 DIM = 4096
 PER_LANGUAGE = 400
+#: Of all rows that are learnt from; many languages share them.
+MOST_ROWS = 20_000
+#: With many languages there are two for each.
 LANDMARKS = 128
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -81,7 +84,7 @@ def fit(rows: np.ndarray, languages: list[str], n_landmarks: int = LANDMARKS, ri
     turn = np.zeros(len(which), int)
     for k in range(len(names)):
         turn[which == k] = np.arange((which == k).sum())
-    chosen = np.lexsort((which, turn))[:n_landmarks]
+    chosen = np.lexsort((which, turn))[: max(n_landmarks, 2 * len(names))]
     x = rows.astype(np.float32)
     x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
     landmarks = x[chosen].T
@@ -104,20 +107,24 @@ def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary())], names=["id", "lang", "bits"])
 
 
-def learn(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
+def learn(docs: DataFrame, usable: Column | None = None, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier | None:
     """An identifier learnt from the texts and languages of the documents for which usable holds."""
     rows = docs if usable is None else docs.where(usable)
     text, lang, doc = named(text_col), named(lang_col), named(id_col)
     key = F.xxhash64(F.lit(11), doc)
-    ids = rows.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0)).select(doc.alias("id"), lang.alias("lang"), key.alias("key"))
+    ids = rows.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0)).select(doc.alias("id"), lang.alias("lang"), key.alias("key")).distinct()
     # The first per language of each of many parts, then the first of those: no language meets whole in one task.
     for by in (["lang", F.pmod(F.col("key"), F.lit(256))], ["lang"]):
-        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))).where(F.col("n") <= per_language).drop("n")
-    picked = ids.select("id", "lang").distinct().collect()
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key", "id"))).where(F.col("n") <= per_language)
+    picked = ids.select("id", "lang", "n").collect()
     if not picked:
         return None
+    share = max(1, most_rows // len({r.lang for r in picked}))
+    picked = [(r.id, r.lang) for r in picked if r.n <= share]
     few = docs.sparkSession.createDataFrame(picked, "id " + ids.schema["id"].dataType.simpleString() + ", l string")
     texts = docs.select(doc.alias("id"), lang.alias("lang"), text.alias("text")).join(F.broadcast(few), "id").where("lang = l and text is not null")
+    # One row for each id and language, however often they stand.
+    texts = texts.groupBy("id", "lang").agg(F.min("text").alias("text"))
     got = texts.select("id", "lang", "text").mapInArrow(_cells, StructType([texts.schema["id"], *StructType.fromDDL("lang string, bits binary").fields])).collect()
     got.sort(key=lambda r: (r.id, r.lang, bytes(r.bits)))
     cells = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got], np.uint8)

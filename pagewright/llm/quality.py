@@ -150,6 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
         return fit(np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES))))
     few = docs.sparkSession.createDataFrame(picked, rows.schema)  # at most 2 * per_class ids
     texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(few), "id")
+    # One row an id, however often it stands: the sample is bounded by rows.
+    texts = texts.groupBy("id", "good").agg(F.min("text").alias("text"))
     got = texts.select("good", "text").mapInArrow(_rows_of, "good int, f array<double>").collect()
     got.sort(key=lambda r: (r.good, r.f))
     return fit(*(np.array([r.f for r in got if r.good == g], float).reshape(-1, len(FEATURES)) for g in (1, 0)))

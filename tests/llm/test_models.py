@@ -73,3 +73,33 @@ def test_prediction_is_kernel_ridge_regression():
     assert np.allclose(got, kernel @ dual, atol=2e-2)
     best, share = model.predict(rows)
     assert [model.languages[b] for b in best] == names and ((share > 1 / 3) & (share <= 1)).all()
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One labelled id that stands very often is one row of what is learnt from."""
+    from pagewright.llm import language, quality
+
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda good, bad: seen.update(quality=(len(good), len(bad))))
+    monkeypatch.setattr(language, "fit", lambda rows, langs, n: seen.update(language=(len(rows), sorted(set(langs)))))
+    often = spark.range(20_000).selectExpr("1L AS doc_id", "concat('the words of it ', id % 7) AS text", "'en' AS lang")
+    others = spark.range(2, 60).selectExpr("id AS doc_id", "concat('other words ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang")
+    docs = often.unionByName(others)
+    labels = spark.range(1, 60).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    quality.learn(docs, labels, per_class=20)
+    assert seen["quality"] == (20, 20)
+    language.learn(docs, per_language=25)
+    assert seen["language"] == (50, ["de", "en"])
+
+
+def test_two_hundred_languages_all_have_landmarks(spark):
+    from pagewright.llm import language
+
+    letters = [chr(0x3400 + k) for k in range(200)]
+    rows = [(k * 200 + n, " ".join([letters[n]] * 4) + f" w{k}", f"l{n:03}") for n in range(200) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(model.languages) == 200 and model.landmarks.shape[1] == 400
+    got = language.identified(docs.where("doc_id < 200"), model, ["doc_id", "lang"])
+    assert got.where("lang = lang_pred").count() >= 190
+    assert len(language.learn(docs, most_rows=200).languages) == 200
