@@ -13,6 +13,7 @@ from pagewright.plans.audit import _DIM, FAILED
 from pagewright.plans.fixtures import narrow, table
 from pagewright.plans.registry import query
 from pagewright.session import checkpoint_folder
+from pagewright.streaming import incidents
 from pagewright.streaming import state as S
 
 
@@ -59,6 +60,22 @@ def s15(spark, sf_dir):
     return to_the_end(S.incidents(judged.select("user_id", "ts", "rank"), ["user_id"]))
 
 
+@query("s15_machine")
+def s15_machine(spark, sf_dir):
+    """Incidents by user with snoozes, acceptances and quiet first findings; all that is due by time runs as timers. The
+    tests hold the stream against a plain fold."""
+    action = F.when(F.col("event_type").isin("error", "view"), "finding").when(F.col("event_type") == "purchase", "clean").when(F.col("event_type") == "signup", "snooze").otherwise("accept")
+    rank = F.when(F.col("event_type") == "error", F.col("event_id") % 3).when(F.col("event_type") == "view", F.lit(3)).cast("int")
+    events = events_stream(spark, sf_dir).select("user_id", "ts", action.alias("action"), rank.alias("rank"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("until"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return to_the_end(incidents.machine(events, ["user_id"]))
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+
+
 def last_state(stream: DataFrame) -> DataFrame:
     """What an aggregate over a stream says once its input is used up; each batch's whole state replaces the one before."""
     folder = f"{checkpoint_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
