@@ -70,3 +70,15 @@ def bots_dim(spark: SparkSession) -> DataFrame:
 def engines_dim(spark: SparkSession) -> DataFrame:
     rows = [(e, c, list(x), list(m), s, h) for e, c, x, m, s, h in ENGINES]
     return spark.createDataFrame(rows, "engine string, crawler string, excluded_by array<string>, limited_by array<string>, max_snippet boolean, share_rule boolean")
+
+#: How wide characters of search results are set, in 2048ths of the size; then where results are cut, in
+#: pixels, and the sizes that titles and descriptions are set in.
+UNITS = 2048
+ADVANCES = (
+    (391, "'"), (455, "ijl‘’‚"), (532, "|"), (569, "  !,./:;[\\]ftIìíîïıÌÍÎÏ"), (682, "()-`r"), (683, "“”„·"), (684, "{}"), (717, "•"), (727, '"'), (797, "*"), (961, "^"),
+    (1024, "cksvxyzJ"), (1139, "0123456789abdeghnopqu#$?_L–€£¥"), (1196, "+<=>~×"), (1251, "FTZ"), (1366, "ABEKPSVXY&"), (1479, "CDHNRUw"), (1509, "©®"), (1593, "GOQ"), (1706, "Mm"),
+    (1821, "%"), (1933, "W"), (2048, "—…™"), (2079, "@"),
+)
+CAPITAL, OTHER = 1430, 1139
+WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1FAFF}\x{20000}-\x{3FFFD}]"
+TITLE_CUT, TITLE_SIZE, DESCRIPTION_CUT, DESCRIPTION_SIZE = 580, 20, 990, 14

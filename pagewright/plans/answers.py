@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions.challenges import BODIES, GENERIC, GENERIC_BELOW, HEADERS, REFUSAL
+from pagewright.functions.dims import ADVANCES, CAPITAL, DESCRIPTION_CUT, DESCRIPTION_SIZE, OTHER, TITLE_CUT, TITLE_SIZE, UNITS, WIDE
 from pagewright.operators import access as A
+from pagewright.operators import texts as T
 from pagewright.plans.registry import query
 
 _PUT = ["<title>Just a MOMENT...</title>", "<i id=_CF_chl_opt>", "cf-chl g-recaptcha", "Access denied Reference #18", "<p>press &amp; hold", "errors&#46;edgesuite&#46;net", "hcaptcha.com", "<title>Captcha</title>", "_Incapsula_Resource"]
@@ -42,3 +44,54 @@ def x18(spark, sf_dir):
     headers = F.create_map(F.expr(_NAME), F.expr(_VALUE))
     answers = pages.select("page_id", F.expr(_STATUS).alias("status"), headers.alias("headers"), F.expr(_BODY).alias("body"))
     return A.challenges(answers, "page_id", "status", "headers", "body")
+
+
+#: Each page encoded one of four ways: a mark, the header, a meta element, or nothing said.
+_LATIN = r"regexp_replace(html, '[^\\x00-\\x7E\\xA1-\\xFF]', '?')"
+_LATIN_SQL = r"regexp_replace(html, '[^\x00-\x7E\xA1-\xFF]', '?', 'g')"
+
+
+@query("x1m", f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'windows-1252' WHEN 2 THEN 'windows-1252' ELSE 'utf-8' END AS charset, md5(CASE page_id % 4 WHEN 1 THEN {_LATIN_SQL} WHEN 2 THEN '<meta charset=latin1>' || {_LATIN_SQL} ELSE html END) AS text FROM pages")
+def x1m(spark, sf_dir):
+    """Bodies in four encodings, decoded again; the text as a digest."""
+    kind = F.col("page_id") % 4
+    body = (
+        F.when(kind == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+        .when(kind == 1, F.encode(F.expr(_LATIN), "ISO-8859-1"))
+        .when(kind == 2, F.encode(F.concat(F.lit("<meta charset=latin1>"), F.expr(_LATIN)), "ISO-8859-1"))
+        .otherwise(F.encode("html", "UTF-8"))
+    )
+    answers = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", body.alias("body"), F.when(kind == 1, "text/html; Charset='ISO-8859-1'").otherwise("text/html").alias("type"))
+    return T.decoded_bodies(answers, "page_id", "body", "type").select("page_id", "charset", F.md5("text").alias("text"))
+
+
+def _advance_sql(c: str) -> str:
+    known = " ".join(f"WHEN {_quoted(x)} THEN {units}" for units, chars in ADVANCES for x in chars)
+    return f"CASE {c} {known} ELSE CASE WHEN regexp_matches({c}, '{WIDE}') THEN {UNITS} WHEN regexp_matches({c}, '\\p{{Lu}}') THEN {CAPITAL} ELSE {OTHER} END END"
+
+
+def _fitted_sql() -> str:
+    """Titles and descriptions: their characters as rows, beginnings by running sums, the longest that fits."""
+    pixels = lambda units: f"(({units}) * size + {UNITS // 2}) // {UNITS}"
+    dots = sum(next(u for u, chars in ADVANCES if c in chars) for c in " …")
+    return (
+        f"WITH t AS (SELECT page_id, 'title' AS part, {TITLE_CUT} AS cut, {TITLE_SIZE} AS size, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS text FROM pages UNION ALL "
+        f"SELECT page_id, 'description', {DESCRIPTION_CUT}, {DESCRIPTION_SIZE}, trim(substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 300)) FROM pages), "
+        "c AS (SELECT page_id, part, cut, size, text, unnest(regexp_extract_all(text, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS k FROM t), "
+        f"r AS (SELECT *, sum({_advance_sql('ch')}) OVER (PARTITION BY page_id, part ORDER BY k) AS units FROM c), "
+        f"w AS (SELECT page_id, part, max(units) AS units, max(k) FILTER (NOT regexp_matches(ch, '^\\s$') AND {pixels(f'units + {dots}')} <= cut) AS kept FROM r GROUP BY ALL), "
+        "s AS (SELECT t.*, coalesce(w.units, 0) AS units, substr(text, 1, coalesce(w.kept, 0)) AS b FROM t LEFT JOIN w USING (page_id, part)), "
+        r"x AS (SELECT *, regexp_extract(b, '(?s)^(.*)\s', 1) AS word FROM s) "
+        f"SELECT page_id, part, CAST({pixels('units')} AS INTEGER) AS pixels, CASE WHEN {pixels('units')} <= cut THEN text WHEN contains(b, ' ') AND strlen(word) >= strlen(b) * 2 // 3 THEN rtrim(word) || ' …' ELSE b || ' …' END AS shown FROM x"
+    )
+
+
+@query("x15", _fitted_sql())
+def x15(spark, sf_dir):
+    """How wide each title and description is set in a result, and what of it is shown."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    description = F.trim(F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 300))
+    rows = pages.select("page_id", title.alias("title"), description.alias("description"))
+    shown = lambda part, cut, size: rows.select("page_id", F.lit(part).alias("part"), T.width(F.col(part), size).alias("pixels"), T.fitted(F.col(part), cut, size).alias("shown"))
+    return shown("title", TITLE_CUT, TITLE_SIZE).unionByName(shown("description", DESCRIPTION_CUT, DESCRIPTION_SIZE))
