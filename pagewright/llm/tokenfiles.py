@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import batches, column_of, named
+from pagewright.llm.packing import Ids
 
 SEGMENT = 1 << 18
 #: Bits of a bitmap for each entry of its rank directory.
@@ -225,6 +227,12 @@ class Segment:
             start = end
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Callable[[str | None], bytes]:
+    """The encoder of a Python worker, with the pieces that its earlier tasks have met."""
+    return Ids(vocabulary).of
+
+
 def _writer(encode: Callable[[], Callable[[str | None], bytes]], end: bytes, segment_tokens: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, context = encode(), TaskContext.get()
@@ -255,14 +263,12 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, se
 
     vocabulary: the path of a tokenizer file that every executor can read.
     """
-    from pagewright.llm.packing import Ids
-
     end = np.array([end_id], "<u4").tobytes()
     # Rows of one id (a hot one too) are told apart by their text, repeated rows by their place in the input.
     picked = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
     picked = picked.select("*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k"))
     dealt = picked.repartitionByRange("id", "h", "k").sortWithinPartitions("id", "h", "k").select("id", "text")
-    segments = dealt.mapInArrow(_writer(lambda: Ids(vocabulary).of, end, segment_tokens), SEGMENTS_DDL)
+    segments = dealt.mapInArrow(_writer(lambda: _encoder(vocabulary), end, segment_tokens), SEGMENTS_DDL)
     segments.write.option("compression", "none").parquet(f"{folder}/segments")
     # A row a file: as many as the tasks that wrote.
     files = read_segments(docs.sparkSession, folder).groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"))

@@ -9,7 +9,7 @@ the inner-product form of the lower bound on a Euclidean distance by segment mea
 component add their product. The bounds are computed for whole blocks as matrix products, coarse to fine: an eighth, a
 half and three quarters as many segments as components. Only candidates whose bound still reaches the query's floor are compared
 exactly, in integers. The floor is the k-th best score found so far; it begins with the k-th best score among a bounded
-sample of candidates (`FLOOR_SAMPLE` rows, those of the least hashes), searched first, so that bounds decide from the first block
+sample of candidates (about `FLOOR_SAMPLE` ids, those of the least hashes), searched first, so that bounds decide from the first block
 on. The sample changes what is compared, never what is found: any k candidates' least score is a lower bound of the k-th best.
 
 Queries and candidates are rows alike. Queries are dealt into groups of at most about `QUERY_GROUP` x `GROUPS_HELD`, candidates
@@ -40,7 +40,7 @@ GROUPS_HELD = 8
 #: data) the first two keep nearly all and four tenths of the pairs, the last one a twentieth.
 LEVELS = (1 / 8, 1 / 2, 3 / 4)
 CANDIDATE_BLOCK = 2048
-#: Candidates that are searched first, for the floors.
+#: About so many candidates are searched first, for the floors.
 FLOOR_SAMPLE = 4096
 
 PARTIAL = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -201,10 +201,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ready = vectors.select(named(id_col).cast("long").alias("id"), quantised(named(vector_col), scale).alias("v"), is_query.alias("q"))
     ready = ready.where("id is not null and v is not null and size(v) > 0")
     queries = ready.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-queries.count() // (QUERY_GROUP * GROUPS_HELD)))
+    size = ready.agg(F.count(F.lit(1)).alias("rows"), F.count_if("q").alias("queries")).head()
+    groups = max(1, -(-size.queries // (QUERY_GROUP * GROUPS_HELD)))
     chunks = max(1, -(-vectors.sparkSession.sparkContext.defaultParallelism // groups))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    sample = ready.orderBy(F.xxhash64("id"), "id").limit(FLOOR_SAMPLE).select("id", "v")
+    # A share of the ids by their hashes; an id that is repeated very often counts once.
+    share = min(1.0, FLOOR_SAMPLE / max(1, size.rows))
+    sample = ready.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("id").agg(F.min("v").alias("v"))
     first = _searched(queries.withColumn("floor", F.lit(None).cast("long")), sample, groups, 1, k)
     floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     partial = _searched(queries.join(floors, "id", "left"), ready, groups, chunks, k)
