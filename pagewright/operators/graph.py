@@ -124,21 +124,36 @@ def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: fl
     return ranks.crossJoin(F.broadcast(ends)).select("page_id", F.round("rank", 9).alias("rank"), score.cast("int").alias("score"))
 
 
-def final_target(pages: DataFrame, hops: int = 10) -> DataFrame:
-    """page_id, final_url, final_status, hops: redirects followed through crawled pages, at most hops times."""
-    step = pages.select(F.col("url").alias("at"), F.col("status").alias("s"), F.col("redirect_target").alias("next"), F.col("error").alias("e"))
-    going = pages.where("redirect_target IS NOT NULL").select("page_id", F.col("redirect_target").alias("at"), F.lit(1).alias("hops"))
+def redirect_ends(pages: DataFrame, hops: int = 10) -> DataFrame:
+    """page_id, final_url, final_status, hops, error: where each redirect ends, followed through crawled pages.
+
+    A chain that comes back to an address of its own is a 'loop', one that goes on after that many hops is 'too_many'; they
+    have no end. A chain holds its addresses, hops + 1 at most.
+    """
+    step = pages.select(F.col("url").alias("at"), F.col("status").alias("s"), F.col("redirect_target").alias("next"))
+    start = pages.where("redirect_target IS NOT NULL")
+    going = start.select("page_id", F.col("redirect_target").alias("at"), F.lit(1).alias("hops"), F.array("url", "redirect_target").alias("seen"), (F.col("url") == F.col("redirect_target")).alias("loops"))
+    failed = lambda rows, why: rows.select("page_id", F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("int").alias("final_status"), "hops", F.lit(why).alias("error"))
     ended = None
-    for _ in range(hops):
+    for k in range(hops):
         now = cut_lineage(going.join(step, "at", "left"))
-        done = now.where("next IS NULL").select("page_id", F.col("at").alias("final_url"), F.col("s").alias("final_status"), "hops")
+        done = now.where("next IS NULL AND NOT loops").select("page_id", F.col("at").alias("final_url"), F.col("s").alias("final_status"), "hops", F.lit(None).cast("string").alias("error"))
+        done = done.unionByName(failed(now.where("loops"), "loop"))
         ended = done if ended is None else ended.unionByName(done)
-        going = now.where("next IS NOT NULL").select("page_id", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"))
+        left = now.where("next IS NOT NULL AND NOT loops")
+        if k == hops - 1:
+            return ended.unionByName(failed(left, "too_many"))
+        going = left.select("page_id", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"), F.array_append("seen", F.col("next")).alias("seen"), F.array_contains("seen", F.col("next")).alias("loops"))
         if going.isEmpty():
-            break
+            return ended
     return ended
 
 
+def final_target(pages: DataFrame, hops: int = 10) -> DataFrame:
+    """page_id, final_url, final_status, hops of the redirects that end."""
+    return redirect_ends(pages, hops).where("error IS NULL").drop("error")
+
+
 def inlink_samples(edges: DataFrame, problem: DataFrame, most: int = 20) -> DataFrame:
     """from_id, to_id, edge_seq: the first links to each page, and every link to a problem page."""
     w = Window.partitionBy("to_id").orderBy("edge_seq")

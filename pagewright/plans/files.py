@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.dims import checks_dim
@@ -11,8 +12,9 @@ from pagewright.operators import checks as C
 from pagewright.operators.explore import scheduled
 from pagewright.plans.audit import COUNTED, issues
 from pagewright.plans.fixtures import BASE, crawls, current, table
+from pagewright.plans.links import _BUCKET
 from pagewright.plans.registry import query
-from pagewright.session import checkpoint_folder
+from pagewright.session import checkpoint_folder, cut_lineage
 from pagewright.sources import readers as R
 from pagewright.sources import writers as W
 
@@ -72,6 +74,44 @@ def src8(spark, sf_dir):
     return R.sitemap_urls(R.sitemap_files(files, roots))
 
 
+_TREE = """, q AS (SELECT page_id % 3 AS site, '/l' || CAST(page_id % 12 AS VARCHAR) || '-' || CAST(page_id // 12 % 40 AS VARCHAR) AS file, '/f' || CAST(page_id % 12 AS VARCHAR) AS folder, url FROM p0),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY file) AS place FROM q),
+n AS (SELECT site, count(DISTINCT folder) + 1 AS above FROM q GROUP BY 1),
+reached AS (SELECT placed.* FROM placed JOIN n USING (site) WHERE place + above <= 100),
+tree AS (SELECT DISTINCT site, file, folder AS parent, 2 AS depth FROM reached UNION ALL SELECT DISTINCT site, folder, '/r' || CAST(site AS VARCHAR), 1 FROM q UNION ALL SELECT DISTINCT site, '/r' || CAST(site AS VARCHAR), CAST(NULL AS VARCHAR), 0 FROM q
+ UNION ALL SELECT 9, '/top', NULL, 0 UNION ALL SELECT DISTINCT 9, '/r' || CAST(site AS VARCHAR), '/top', 1 FROM q UNION ALL SELECT DISTINCT 9, folder, '/r' || CAST(site AS VARCHAR), 2 FROM q),
+up AS (SELECT site, file, file AS above, 0 AS up FROM tree UNION ALL SELECT u.site, u.file, t.parent, u.up + 1 FROM up u JOIN tree t ON t.site = u.site AND t.file = u.above WHERE t.parent IS NOT NULL)
+"""
+
+
+@query("g7", BASE + _TREE + "SELECT u.site, u.file, u.above AS root, u.up AS depth FROM up u JOIN tree t ON t.site = u.site AND t.file = u.above WHERE t.parent IS NULL")
+def g7(spark, sf_dir):
+    """The sitemap that each file of a site hangs under in the end, and how deep."""
+    files, roots = _sitemaps(spark, sf_dir)
+    tree = cut_lineage(R.sitemap_files(files, roots).select("site", "file", "parent", "depth"))
+    top = tree.where("parent is null").select("site", F.col("file").alias("above"))
+    return R.above(tree).join(top, ["site", "above"]).select("site", "file", F.col("above").alias("root"), F.col("up").alias("depth"))
+
+
+@query("a18", BASE + _TREE + f""", listed AS (SELECT site, url, min(file) AS file FROM reached GROUP BY ALL),
+judged AS (SELECT l.site, l.file, l.url, {_BUCKET} AS bucket FROM listed l LEFT JOIN cur p ON p.url = l.url),
+r AS (SELECT u.site, u.above AS file, j.bucket, j.url, row_number() OVER (PARTITION BY u.site, u.above, j.bucket ORDER BY j.url) AS k FROM judged j JOIN up u ON u.site = j.site AND u.file = j.file)
+SELECT site, file, bucket, count(*) AS urls, string_agg(url, ' ' ORDER BY url) FILTER (k <= 10) AS sample FROM r GROUP BY 1, 2, 3""")
+def a18(spark, sf_dir):
+    """What the crawl found for the addresses of each sitemap file and of the files under it: counts, and the first ten."""
+    files, roots = _sitemaps(spark, sf_dir)
+    files = cut_lineage(R.sitemap_files(files, roots))
+    pages = current(spark, sf_dir).select("url", "page_id", "status", "error", "indexability").alias("p")
+    judged = cut_lineage(R.sitemap_urls(files).join(pages, "url", "left").select("site", "file", "url", F.expr(_BUCKET).alias("bucket")))
+    up = R.above(files).select("site", "file", "above")
+    # Counts are made before they climb; of the samples a file hands up ten addresses a bucket.
+    counts = judged.groupBy("site", "file", "bucket").agg(F.count("*").alias("n")).join(up, ["site", "file"]).groupBy("site", "above", "bucket").agg(F.sum("n").alias("urls"))
+    first = lambda rows, by: rows.withColumn("k", F.row_number().over(Window.partitionBy("site", by, "bucket").orderBy("url"))).where("k <= 10").drop("k")
+    climbed = first(first(judged, "file").join(up, ["site", "file"]).select("site", "above", "bucket", "url"), "above")
+    samples = climbed.groupBy("site", "above", "bucket").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("sample"))
+    return counts.join(samples, ["site", "above", "bucket"]).withColumnRenamed("above", "file")
+
+
 @query("a19", "SELECT page_id % 3 AS site, count(*) AS urls, concat_ws('-', " + ", ".join(f"CAST(sum(('0x' || substr(md5(url), {1 + 8 * k}, 8))::BIGINT) AS VARCHAR)" for k in range(4)) + ") AS hash FROM (SELECT DISTINCT page_id % 3 AS page_id, regexp_replace(url, '#.*$', '') AS url FROM pages) GROUP BY 1")
 def a19(spark, sf_dir):
     """One value for each sitemap's set of addresses, whatever their order."""

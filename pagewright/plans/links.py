@@ -107,11 +107,14 @@ def g5(spark, sf_dir):
     return G.without_navigation(links, G.tree_parents(G.click_depth(links, 0), links), 0, n_pages(spark, sf_dir))
 
 
-@query("g6", BASE + """, chain AS (SELECT page_id, redirect_target AS at, 1 AS hops FROM cur WHERE redirect_target IS NOT NULL
- UNION ALL SELECT c.page_id, t.redirect_target, c.hops + 1 FROM chain c JOIN cur t ON t.url = c.at WHERE t.redirect_target IS NOT NULL AND c.hops < 10)
-SELECT c.page_id, c.at AS final_url, t.status AS final_status, c.hops FROM chain c LEFT JOIN cur t ON t.url = c.at WHERE t.redirect_target IS NULL""")
+@query("g6", BASE + """, chain AS (SELECT page_id, redirect_target AS at, 1 AS hops, [url, redirect_target] AS seen, redirect_target = url AS loops FROM cur WHERE redirect_target IS NOT NULL
+ UNION ALL SELECT c.page_id, t.redirect_target, c.hops + 1, list_append(c.seen, t.redirect_target), list_contains(c.seen, t.redirect_target) FROM chain c JOIN cur t ON t.url = c.at WHERE t.redirect_target IS NOT NULL AND c.hops < 10 AND NOT c.loops)
+SELECT c.page_id, CASE WHEN t.redirect_target IS NULL AND NOT loops THEN c.at END AS final_url, CASE WHEN t.redirect_target IS NULL AND NOT loops THEN t.status END AS final_status, c.hops,
+ CASE WHEN loops THEN 'loop' WHEN t.redirect_target IS NOT NULL THEN 'too_many' END AS error
+FROM chain c LEFT JOIN cur t ON t.url = c.at WHERE t.redirect_target IS NULL OR loops OR c.hops = 10""")
 def g6(spark, sf_dir):
-    return G.final_target(current(spark, sf_dir))
+    """Where redirects end, or why they do not."""
+    return G.redirect_ends(current(spark, sf_dir))
 
 
 @query("j1", BASE + "SELECT p.page_id, p.canonical, t.status AS target_status FROM cur p LEFT JOIN cur t ON t.url = p.canonical WHERE p.canonical <> p.url")
@@ -155,20 +158,6 @@ def j22(spark, sf_dir):
     return G.nearest_above(parents, F.col("at") % 5 == 0).withColumnRenamed("above", "hub")
 
 
-_FILES = "(VALUES (0, NULL), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2)) f(file, parent)"
-
-
-@query("g7", f"WITH RECURSIVE files AS (SELECT * FROM {_FILES}), r AS (SELECT file, file AS root FROM files WHERE parent IS NULL UNION ALL SELECT f.file, r.root FROM files f JOIN r ON f.parent = r.file) SELECT file, root FROM r")
-def g7(spark, sf_dir):
-    """The index that each sitemap file hangs under; files nest at most three deep."""
-    files = spark.sql(f"SELECT * FROM {_FILES}")
-    up = files.select(F.col("file").alias("root"), F.col("parent").alias("above"))
-    rows = files.select("file", F.col("file").alias("root"))
-    for _ in range(3):
-        rows = rows.join(up, "root").select("file", F.coalesce("above", "root").alias("root"))
-    return rows
-
-
 _BUCKET = "CASE WHEN p.page_id IS NULL THEN 'not_crawled' WHEN p.status BETWEEN 300 AND 399 THEN 'redirect' WHEN p.status >= 400 OR p.error IS NOT NULL THEN 'error' WHEN p.indexability = 'noindex' THEN 'noindex' WHEN p.indexability = 'canonicalised' THEN 'canonicalised' ELSE 'ok' END"
 _URLS = ", urls AS (SELECT DISTINCT 3 + page_id % 3 AS file, url FROM p0 WHERE page_id % 3 <> 0)"
 
@@ -186,20 +175,6 @@ def _classified(spark, sf_dir):
     return urls.join(p, "url", "left").select("file", "url", F.expr(_BUCKET).alias("bucket"))
 
 
-@query("a18", BASE + _URLS + f""", c AS (SELECT u.file, {_BUCKET} AS bucket FROM urls u LEFT JOIN cur p ON p.url = u.url), up AS (SELECT f.file, g.file AS anc FROM {_FILES}, {_FILES.replace('f(', 'g(')} WHERE g.file = f.file OR g.file = f.parent OR g.file = (SELECT h.parent FROM {_FILES.replace('f(', 'h(')} WHERE h.file = f.parent))
-SELECT up.anc AS file, c.bucket, count(*) AS urls FROM c JOIN up ON up.file = c.file GROUP BY ALL""")
-def a18(spark, sf_dir):
-    """Buckets of sitemap files, rolled up to their parents; counts are made before they climb."""
-    counted = _classified(spark, sf_dir).groupBy("file", "bucket").agg(F.count("*").alias("urls"))
-    files = spark.sql(f"SELECT * FROM {_FILES}")
-    up = files.select("file", F.col("file").alias("anc"))
-    level = up
-    for _ in range(2):
-        level = level.join(files.select(F.col("file").alias("anc"), "parent"), "anc").where("parent IS NOT NULL").select("file", F.col("parent").alias("anc"))
-        up = up.unionByName(level)
-    return counted.join(up, "file").groupBy(F.col("anc").alias("file"), "bucket").agg(F.sum("urls").alias("urls"))
-
-
 @query("x10", BASE + "SELECT page_id % 3 AS file, count(lm) AS with_date, count(DISTINCT lm) AS dates, min(lm) AS first, max(lm) AS last, count(*) FILTER (lm > '2024-06-01') AS future FROM (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN concat('2024-0', CAST(1 + page_id % 8 AS VARCHAR), '-1', CAST(page_id % 7 AS VARCHAR)) END AS lm FROM cur) GROUP BY 1")
 def x10(spark, sf_dir):
     """Last modification dates of sitemap entries."""

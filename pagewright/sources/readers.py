@@ -63,6 +63,21 @@ def sitemap_files(files: DataFrame, roots: DataFrame, depth: int = 2, most_files
     return seen.withColumn("place", place).where(F.col("place") <= most_files).drop("place")
 
 
+def above(files: DataFrame) -> DataFrame:
+    """site, file, above, up: every file of a site with itself and the files that it hangs under, and how many steps up.
+
+    files: rows of sitemap_files. A round goes up one level for all; a file's parent is less deep, so there are as many rounds as
+    levels and no cycles.
+    """
+    parents = files.where("parent is not null").select("site", F.col("file").alias("above"), F.col("parent").alias("next"))
+    level = files.select("site", "file", F.col("file").alias("above"), F.lit(0).alias("up"))
+    out = level
+    for up in range(1, (files.agg(F.max("depth")).head()[0] or 0) + 1):
+        level = level.join(parents, ["site", "above"]).select("site", "file", F.col("next").alias("above"), F.lit(up).alias("up"))
+        out = out.unionByName(level)
+    return out
+
+
 def sitemap_urls(files: DataFrame) -> DataFrame:
     """site, url, file: the addresses that a site's files list, each once, with the first file by address."""
     rows = files.where("kind = 'urls'").select("site", F.explode("locs").alias("url"), "file")

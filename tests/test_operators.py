@@ -56,6 +56,18 @@ def test_robots_verdicts(spark):
     assert got[2, "other"] == (False, 7) and got[3, "other"] == (True, 8) and got[4, "other"] == (True, None) and got[5, "other"] == (True, None)
 
 
+def test_redirects_that_do_not_end(spark):
+    chain = [(k, f"c{k}", f"c{k + 1}", 301) for k in range(13)] + [(13, "c13", None, 200)]
+    loops = [(20, "a", "b", 301), (21, "b", "c", 302), (22, "c", "b", 301), (23, "self", "self", 301), (24, "out", "gone", 301)]
+    pages = spark.createDataFrame(chain + loops, "page_id long, url string, redirect_target string, status int")
+    got = {r.page_id: (r.final_url, r.final_status, r.hops, r.error) for r in G.redirect_ends(pages).collect()}
+    assert got == {
+        **{k: ("c13", 200, 13 - k, None) for k in range(3, 13)}, **{k: (None, None, 10, "too_many") for k in range(3)},
+        20: (None, None, 3, "loop"), 21: (None, None, 2, "loop"), 22: (None, None, 2, "loop"), 23: (None, None, 1, "loop"), 24: ("gone", None, 1, None),
+    }
+    assert {r.page_id for r in G.final_target(pages).collect()} == {24, *range(3, 13)}
+
+
 def test_click_depth_parents_and_redirects(spark):
     edges = spark.createDataFrame([(0, 1, 1, False), (0, 2, 2, False), (2, 3, 3, False), (1, 3, 4, False), (3, 0, 5, False), (0, 4, 6, True), (3, 5, 7, False)], "from_id long, to_id long, edge_seq long, nofollow boolean")
     depth = G.click_depth(edges, 0)
