@@ -51,12 +51,14 @@ def _sitemaps(spark, sf_dir):
     """Sitemaps of the pages: a root index of site s names folders, a folder names files, a file's child lies too deep."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.replace(F.regexp_replace("url", "#.*$", ""), F.lit("&"), F.lit("&amp;")).alias("url"))
     pages = pages.withColumns({"site": F.col("page_id") % 3, "folder": F.col("page_id") % 12, "part": F.floor(F.col("page_id") / 12) % 40})
-    entry = lambda c: F.concat(F.lit("<x><loc>"), c, F.lit("</loc></x>"))
+    entry = lambda c: F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>"))
+    day = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("<lastmod>"), F.expr(_DAY), F.lit("T10:00:00Z</lastmod>"))).otherwise("")
+    listed = F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc>"), day, F.lit("</url>"))
     doc = lambda kind, entries: F.concat(F.lit(f"<{kind}>"), F.array_join(F.collect_set(entries), ""), F.lit(f"</{kind}>")).alias("xml")
     leaf = F.concat(F.lit("/l"), F.col("folder").cast("string"), F.lit("-"), F.col("part").cast("string"))
     folder, root = F.concat(F.lit("/f"), F.col("folder").cast("string")), F.concat(F.lit("/r"), F.col("site").cast("string"))
     # The format bounds a file; here it holds the pages of one folder and part.
-    files = pages.groupBy(leaf.alias("file")).agg(doc("urlset", entry(F.col("url"))))
+    files = pages.groupBy(leaf.alias("file")).agg(doc("urlset", listed))
     files = files.unionByName(pages.groupBy(folder.alias("file")).agg(doc("sitemapindex", entry(leaf))))
     files = files.unionByName(pages.groupBy(root.alias("file")).agg(doc("sitemapindex", entry(folder))))
     top = pages.groupBy(F.lit("/top").alias("file")).agg(doc("sitemapindex", entry(root)))
@@ -64,6 +66,9 @@ def _sitemaps(spark, sf_dir):
     return files.unionByName(top), roots
 
 
+_DAY = "concat('2024-0', CAST(1 + page_id % 8 AS STRING), '-1', CAST(page_id % 7 AS STRING))"
+
+
 @query("src8", BASE + """, q AS (SELECT page_id % 3 AS site, '/l' || CAST(page_id % 12 AS VARCHAR) || '-' || CAST(page_id // 12 % 40 AS VARCHAR) AS file, '/f' || CAST(page_id % 12 AS VARCHAR) AS folder, url FROM p0),
 placed AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY file) AS place FROM q),
 n AS (SELECT site, count(DISTINCT folder) + 1 AS above FROM q GROUP BY 1)
@@ -74,6 +79,40 @@ def src8(spark, sf_dir):
     return R.sitemap_urls(R.sitemap_files(files, roots))
 
 
+def _sitemap_bodies(spark, sf_dir):
+    """The same files as they lie in a store: gzip and plain ones, written and listed by Spark; some begin like gzip and are none."""
+    files, roots = _sitemaps(spark, sf_dir)
+    folder = new_folder(spark, "sitemaps")
+    gzip = F.crc32("file") % 2 == 0
+    files = cut_lineage(files)
+    files.where(gzip).write.partitionBy("file").option("compression", "gzip").text(f"{folder}/gzip")
+    files.where(~gzip).write.partitionBy("file").text(f"{folder}/plain")
+    held = R.bodies(spark, f"{folder}/gzip").unionByName(R.bodies(spark, f"{folder}/plain"))
+    broken = F.encode(F.lit("\x1f"), "iso-8859-1"), F.unhex(F.lit("8B08")), F.encode("file", "utf-8")
+    return held.select("file", F.when(F.col("file").rlike(_BROKEN_FILE), F.concat(*broken)).otherwise(F.col("body")).alias("body")), roots
+
+
+_BROKEN_FILE = "^/l.*-.?7$"
+_STATE = f"regexp_matches(q.file, '{_BROKEN_FILE}')"
+
+
+@query("src8_bodies", BASE + f""", q AS (SELECT page_id % 3 AS site, '/l' || CAST(page_id % 12 AS VARCHAR) || '-' || CAST(page_id // 12 % 40 AS VARCHAR) AS file, '/f' || CAST(page_id % 12 AS VARCHAR) AS folder, url,
+ CASE WHEN page_id % 4 <> 0 THEN {_DAY.replace("STRING", "VARCHAR")} END AS day FROM p0),
+leaf AS (SELECT site, file, folder AS parent, 2 AS depth, CASE WHEN {_STATE} THEN 'invalid' ELSE 'urls' END AS kind, {_STATE} AS failed, CASE WHEN {_STATE} THEN 0 ELSE count(DISTINCT (url, day)) END AS listed,
+ CASE WHEN {_STATE} THEN 0 ELSE count(DISTINCT CASE WHEN day IS NOT NULL THEN (url, day) END) END AS with_date, CASE WHEN {_STATE} THEN 0 ELSE count(DISTINCT day) END AS days,
+ CASE WHEN NOT {_STATE} THEN min(day) END AS first, CASE WHEN NOT {_STATE} THEN max(day) END AS last, CASE WHEN {_STATE} THEN 0 ELSE count(DISTINCT CASE WHEN day > '2024-06-01' THEN (url, day) END) END AS future FROM q GROUP BY q.site, q.file, q.folder),
+idx AS (SELECT site, folder AS file, '/r' || CAST(site AS VARCHAR) AS parent, 1 AS depth, count(DISTINCT file) AS listed FROM q GROUP BY 1, 2
+ UNION ALL SELECT site, '/r' || CAST(site AS VARCHAR), NULL, 0, count(DISTINCT folder) FROM q GROUP BY 1
+ UNION ALL SELECT 9, '/top', NULL, 0, count(DISTINCT site) FROM q HAVING count(*) > 0
+ UNION ALL SELECT 9, '/r' || CAST(site AS VARCHAR), '/top', 1, count(DISTINCT folder) FROM q GROUP BY site
+ UNION ALL SELECT 9, folder, '/r' || CAST(site AS VARCHAR), 2, count(DISTINCT file) FROM q GROUP BY site, folder),
+tree AS (SELECT * FROM leaf UNION ALL SELECT site, file, parent, depth, 'index', false, listed, 0, 0, NULL, NULL, 0 FROM idx)
+SELECT site, file, parent, depth, kind, failed, listed, with_date, days, first, last, future FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, file) AS r FROM tree) WHERE r <= 100""")
+def src8_bodies(spark, sf_dir):
+    """The tree of each site's sitemaps as they lie in a store, with what each lists and when that was changed."""
+    return R.sitemap_tally(R.sitemap_files(*_sitemap_bodies(spark, sf_dir)), "2024-06-01")
+
+
 _TREE = """, q AS (SELECT page_id % 3 AS site, '/l' || CAST(page_id % 12 AS VARCHAR) || '-' || CAST(page_id // 12 % 40 AS VARCHAR) AS file, '/f' || CAST(page_id % 12 AS VARCHAR) AS folder, url FROM p0),
 placed AS (SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY file) AS place FROM q),
 n AS (SELECT site, count(DISTINCT folder) + 1 AS above FROM q GROUP BY 1),

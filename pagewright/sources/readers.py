@@ -6,11 +6,11 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.dims import BITS
-from pagewright.functions.extract import sitemap
+from pagewright.functions.sitemaps import MOST_BYTES, read_sitemap
 from pagewright.operators.policy import Policy
 from pagewright.session import cut_lineage
 
@@ -34,33 +34,67 @@ def rejected_audits(spark: SparkSession, path: str, version: int = AUDIT_VERSION
     return lines.where(~F.col("format_version").eqNullSafe(F.lit(version))).groupBy("format_version").agg(F.count("*").alias("n"))
 
 
+_PARSED = "file string, kind string, locs array<string>, dates array<string>, error string"
+
+
 def _read_sitemaps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of output a file, so that no more than one file's addresses are held."""
+    strings = pa.list_(pa.string())
     for part in parts:
-        found = [sitemap(x) for x in part.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k for k, _, _ in found]), pa.array([u for _, u, _ in found], pa.list_(pa.string()))], names=["file", "kind", "locs"])
+        for file, body in zip(part.column(0), part.column(1)):
+            m = read_sitemap(body.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([m.kind]), pa.array([m.locs], strings), pa.array([m.dates], strings), pa.array([m.error], pa.string())], names=["file", "kind", "locs", "dates", "error"])
+
+
+def bodies(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, body of every file under folder, whatever store Spark reaches it in, with the columns of its partition folders.
+
+    A file of more than most_bytes has a null body; its bytes are not read.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    rest = [c for c in files.columns if c not in ("path", "content", "length", "modificationTime")]
+    whole = files.where(F.col("length") <= most_bytes).select("path", F.col("content").alias("body"), *rest)
+    return whole.unionByName(files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("body"), *rest))
 
 
 def sitemap_files(files: DataFrame, roots: DataFrame, depth: int = 2, most_files: int = 100) -> DataFrame:
-    """site, file, parent, depth, kind, locs: the files that are reached from each site's roots (site, file).
+    """site, file, parent, depth, kind, locs, dates, error: the files that are reached from each site's roots (site, file).
 
-    files: file (its address), xml. Indexes are followed to depth; a site has most_files at most, those of the least depth
-    first, then by address; a file that is named twice counts once. files is parsed once; each round is one join.
+    files: file (its address), and body (bytes, plain or gzip) or xml (text). Indexes are followed to depth; a site has most_files
+    at most, those of the least depth first, then by address; a file that is named twice counts once. files is parsed once. The
+    rounds carry places in the tree only; contents meet them at the end.
     """
-    parsed = cut_lineage(files.select("file", "xml").mapInArrow(_read_sitemaps, "file string, kind string, locs array<string>"))
+    body = F.col("body") if "body" in files.columns else F.encode("xml", "utf-8")
+    parsed = cut_lineage(files.select("file", body.alias("body")).mapInArrow(_read_sitemaps, _PARSED))
+    names, indexes = parsed.select("file"), parsed.where("kind = 'index'").select("file", "locs")
     level = roots.select("site", "file", F.lit(None).cast("string").alias("parent")).dropDuplicates(["site", "file"])
     seen = None
     for d in range(depth + 1):
-        level = level.join(parsed, "file").select("site", "file", "parent", F.lit(d).alias("depth"), "kind", "locs")
+        level = level.join(names, "file", "left_semi").select("site", "file", "parent", F.lit(d).alias("depth"))
         level = cut_lineage(level if seen is None else level.join(seen, ["site", "file"], "left_anti"))
-        seen = level if seen is None else cut_lineage(seen.unionByName(level))
-        named = level.where("kind = 'index'").select("site", F.col("file").alias("parent"), F.explode("locs").alias("file"))
+        seen = level if seen is None else seen.unionByName(level)
+        if d == depth:
+            break
+        named = level.join(indexes, "file").select("site", F.col("file").alias("parent"), F.explode("locs").alias("file"))
         level = named.groupBy("site", "file").agg(F.min("parent").alias("parent"))
         if level.isEmpty():
             break
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("site").orderBy("depth", "file"))
-    return seen.withColumn("place", place).where(F.col("place") <= most_files).drop("place")
+    first = seen.withColumn("place", place).where(F.col("place") <= most_files).drop("place")
+    return first.join(parsed, "file").select("site", "file", "parent", "depth", "kind", "locs", "dates", "error")
+
+
+def sitemap_tally(files: DataFrame, today: str) -> DataFrame:
+    """site, file, parent, depth, kind, failed, listed, with_date, days, first, last, future of each of sitemap_files' rows.
+
+    Dates are told apart by their first ten characters; those after today are future ones. An index has no dates.
+    """
+    dates = F.when(F.col("kind") == "urls", F.filter("dates", lambda d: d.isNotNull())).otherwise(F.array().cast("array<string>"))
+    size = lambda c: F.size(c).cast("long")
+    return files.withColumn("days", dates).select(
+        "site", "file", "parent", "depth", "kind", (F.col("kind") == "invalid").alias("failed"), size("locs").alias("listed"), size("days").alias("with_date"),
+        size(F.array_distinct("days")).alias("days"), F.array_min("days").alias("first"), F.array_max("days").alias("last"), size(F.filter("days", lambda d: d > today)).alias("future"),
+    )
 
 
 def above(files: DataFrame) -> DataFrame:
