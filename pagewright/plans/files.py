@@ -11,12 +11,13 @@ from pagewright.functions.dims import checks_dim
 from pagewright.operators import checks as C
 from pagewright.operators.explore import scheduled
 from pagewright.plans.audit import COUNTED, issues
-from pagewright.plans.fixtures import BASE, crawls, current, table
+from pagewright.plans.fixtures import BASE, crawls, current, n_pages, table
 from pagewright.plans.links import _BUCKET
 from pagewright.plans.registry import query
 from pagewright.session import checkpoint_folder, cut_lineage
 from pagewright.sources import readers as R
 from pagewright.sources import writers as W
+from pagewright.sources.store import CrawlStore
 
 
 def new_folder(spark, name: str) -> str:
@@ -180,30 +181,60 @@ def src9(spark, sf_dir):
     return spark.createDataFrame(rows, "part string, value string")
 
 
-_PER_CRAWL = "SELECT c.site_id, c.crawl_id, p.page_id, p.url FROM crawls c JOIN p0 p ON p.page_id % 50 = c.crawl_id % 50"
+_PER_CRAWL = "SELECT DISTINCT c.site_id, c.crawl_id, p.page_id, p.url FROM crawls c JOIN lineitem l ON l.l_orderkey = c.crawl_id JOIN nn ON true JOIN p0 p ON p.page_id = l.l_partkey % nn.n"
 
 
 def _crawled(spark, sf_dir):
-    """A few pages of every crawl."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), (F.col("page_id") % 50).alias("slot"))
-    return crawls(spark, sf_dir).select("site_id", "crawl_id", (F.col("crawl_id") % 50).alias("slot")).join(pages, "slot").select("site_id", "crawl_id", "page_id", "url")
+    """The pages of every crawl: those that the lines of its order name."""
+    n = n_pages(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("crawl_id"), (F.col("l_partkey") % n).cast("long").alias("page_id")).distinct()
+    return lines.join(crawls(spark, sf_dir).select("site_id", "crawl_id"), "crawl_id").join(pages, "page_id").select("site_id", "crawl_id", "page_id", "url")
 
 
-@query("snk1", BASE + f"SELECT site_id, count(DISTINCT crawl_id) AS crawls, count(*) AS pages FROM ({_PER_CRAWL}) WHERE crawl_id % 40 = 0 GROUP BY 1")
+_PAGES_DDL = "site_id long, crawl_id long, page_id long, url string"
+
+
+@query("snk1", BASE + f"SELECT site_id, count(DISTINCT crawl_id) AS crawls, count(*) AS pages FROM ({_PER_CRAWL}) GROUP BY 1")
 def snk1(spark, sf_dir):
-    """Crawls written by site and crawl, and what is read again. Every fortieth crawl is a new one here."""
-    folder, rows = new_folder(spark, "crawls"), _crawled(spark, sf_dir).where("crawl_id % 40 = 0")
-    W.write_crawls(rows, folder)
-    back = spark.read.schema(rows.schema).parquet(folder)
-    return back.groupBy("site_id").agg(F.count_distinct("crawl_id").alias("crawls"), F.count("*").alias("pages"))
+    """Every crawl written as a commit of a store that keeps all of them, and what is read again."""
+    store, rows = CrawlStore(spark, new_folder(spark, "crawls"), most=1 << 30), _crawled(spark, sf_dir)
+    store.commit(store.stage({"pages": rows}), crawls(spark, sf_dir).select("site_id", "crawl_id", "finished_at"))
+    return store.read("pages", _PAGES_DDL).groupBy("site_id").agg(F.count_distinct("crawl_id").alias("crawls"), F.count("*").alias("pages"))
+
 
+_KEPT = "kept AS (SELECT site_id, crawl_id, health_score FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY finished_at DESC, crawl_id DESC) AS r FROM crawls WHERE status = 'done') WHERE r <= 2)"
 
-@query("snk3", BASE + f", kept AS (SELECT site_id, crawl_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY finished_at DESC, crawl_id DESC) AS r FROM crawls WHERE status = 'done') WHERE r <= 2) SELECT p.site_id, p.crawl_id, p.page_id, p.url FROM ({_PER_CRAWL}) p JOIN kept USING (site_id, crawl_id)")
+
+@query("snk3", BASE + f", {_KEPT} SELECT p.site_id, p.crawl_id, p.page_id, p.url FROM ({_PER_CRAWL}) p JOIN kept USING (site_id, crawl_id)")
 def snk3(spark, sf_dir):
     """The newest two finished crawls of each site, as written and read again."""
     return W.finalised(_crawled(spark, sf_dir), crawls(spark, sf_dir), new_folder(spark, "final"))
 
 
+@query("snk3_store", BASE + f", {_KEPT}, pg AS ({_PER_CRAWL}), links AS (SELECT DISTINCT c.site_id, c.crawl_id, a.l_partkey AS from_id, b.l_partkey AS to_id FROM kept c JOIN lineitem a ON a.l_orderkey = c.crawl_id JOIN lineitem b ON b.l_orderkey = c.crawl_id AND b.l_linenumber = a.l_linenumber + 1) "
+    "SELECT k.site_id, k.crawl_id, k.health_score, (SELECT count(*) FROM pg p WHERE p.site_id = k.site_id AND p.crawl_id = k.crawl_id) AS pages, (SELECT count(*) FROM links l WHERE l.crawl_id = k.crawl_id) AS links, 2 AS version FROM kept k")
+def snk3_store(spark, sf_dir):
+    """Pages, links and scores of each site's newest two finished crawls, after two commits: the older half of the crawls, then the
+    others. A third batch that is written but not committed changes nothing, nor does a vacuum."""
+    store, rows = CrawlStore(spark, new_folder(spark, "store")), cut_lineage(_crawled(spark, sf_dir))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("crawl_id"), "l_linenumber", F.col("l_partkey").alias("from_id"))
+    onward = lines.select("crawl_id", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("from_id").alias("to_id"))
+    done = crawls(spark, sf_dir).where("status = 'done'")
+    edges_ = lines.join(onward, ["crawl_id", "l_linenumber"]).join(done.select("site_id", "crawl_id"), "crawl_id").select("site_id", "crawl_id", "from_id", "to_id").distinct()
+    for older in (True, False):
+        mine = done.where((F.col("finished_at") < "1998-04-01") == F.lit(older))
+        part = lambda df: df.join(mine.select("site_id", "crawl_id"), ["site_id", "crawl_id"], "left_semi")  # noqa: B023, E731
+        batch = store.stage({"pages": part(rows), "edges": part(edges_), "scores": mine.select("site_id", "crawl_id", "health_score")})
+        store.commit(batch, mine)
+    store.stage({"pages": rows})
+    store.vacuum(versions=1)
+    key = ["site_id", "crawl_id"]
+    pages, links = (store.read(t, ddl).groupBy(*key).agg(F.count("*").alias(c)) for t, ddl, c in (("pages", _PAGES_DDL, "pages"), ("edges", "site_id long, crawl_id long, from_id long, to_id long", "links")))
+    out = store.read("scores", "site_id long, crawl_id long, health_score long").join(pages, key, "left").join(links, key, "left")
+    return out.select(*key, "health_score", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("links", F.lit(0)).alias("links"), F.lit(store.version()).alias("version"))
+
+
 _LINES = "JOIN dim d USING (bit) JOIN cur c USING (page_id)"
 
 
