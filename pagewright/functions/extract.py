@@ -1,5 +1,6 @@
 """Fields and links of HTML pages, URLs, sitemaps and llms.txt: small parsers that run on Arrow batches."""
 
+import hashlib
 import json
 import posixpath
 import re
@@ -51,6 +52,7 @@ MOST_BOT_METAS = 16
 MOUNTS = ("root", "app", "__next", "__nuxt", "___gatsby", "q-app", "svelte")
 #: What notices to readers without scripts say.
 SCRIPT_NOTICES = ("enable javascript", "javascript is disabled", "requires javascript", "without javascript enabled", "turn on javascript", "javascript must be enabled")
+_LOADING = frozenset("img script iframe video audio source embed".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -123,6 +125,7 @@ class _Reader(HTMLParser):
         self.markdown: str | None = None
         self.external_scripts = 0
         self.inline_script = False
+        self.plain_loads = 0
         self.parts = _Parts()
 
     def handle_startendtag(self, tag, attrs):
@@ -134,6 +137,8 @@ class _Reader(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         self.words.append(" ")
         self.parts.start(tag, a)
+        loaded = a.get("href") if tag == "link" and "stylesheet" in a.get("rel", "").lower().split() else a.get("src") if tag in _LOADING else None
+        self.plain_loads += (loaded or "").strip().lower().startswith("http://")
         if tag == "script":
             if "src" in a:
                 self.external_scripts += 1
@@ -233,6 +238,7 @@ def extract(url: str | None, html: str | None) -> dict:
     r.feed(html or "")
     r.close()
     base = urljoin(url or "", r.base) if r.base else url
+    words = "".join(r.words).split()
     first = lambda name: next(iter(r.metas.get(name, ())), None)
     links = []
     for href, anchor, nofollow in r.links:
@@ -243,13 +249,14 @@ def extract(url: str | None, html: str | None) -> dict:
     return {
         "title": _line(r.title, 1000), "title_count": r.titles, "h1": heads("h1"), "h2": heads("h2"), "description": first("description"),
         "meta_robots": ", ".join(r.metas["robots"]) if "robots" in r.metas else None, "og_title": first("og:title"), "og_image": first("og:image"),
-        "canonical": normalised_url(base, r.canonical) if r.canonical else None, "word_count": len("".join(r.words).split()),
+        "canonical": normalised_url(base, r.canonical) if r.canonical else None, "word_count": len(words),
         "images_missing_alt": r.images_missing_alt, "jsonld": jsonld_state(r.jsonld), "links": links,
         "hreflang": [{"lang": lang, "url": u} for lang, h in r.hreflang if (u := normalised_url(base, h))], "bot_metas": [{"name": n, "content": c} for n, c in r.bot_metas],
         "tdm_reservation": first("tdm-reservation") or None, "tdm_policy": first("tdm-policy") or None, "markdown": normalised_url(base, r.markdown) if r.markdown else None,
         "nosnippet_words": len(r.parts.words("nosnippet")), "main_words": len(r.parts.words("main")), "external_scripts": r.external_scripts, "inline_script": r.inline_script,
         "mount": r.parts.mount, "mount_empty": r.parts.mount is not None and not r.parts.words("mount"),
         "script_notice": any(p in " ".join(r.parts.words("noscript")).lower() for p in SCRIPT_NOTICES),
+        "content_key": hashlib.sha256(" ".join(words).encode("utf-8", "replace")).hexdigest(), "mixed_content": r.plain_loads if (url or "").lower().startswith("https://") else 0,
     }
 
 
@@ -259,13 +266,13 @@ FIELDS = pa.struct([
     ("links", pa.list_(pa.struct([("url", pa.string()), ("anchor", pa.string()), ("nofollow", pa.bool_())]))),
     ("hreflang", pa.list_(pa.struct([("lang", pa.string()), ("url", pa.string())]))), ("bot_metas", pa.list_(pa.struct([("name", pa.string()), ("content", pa.string())]))),
     ("tdm_reservation", pa.string()), ("tdm_policy", pa.string()), ("markdown", pa.string()), ("nosnippet_words", pa.int32()), ("main_words", pa.int32()),
-    ("external_scripts", pa.int32()), ("inline_script", pa.bool_()), ("mount", pa.string()), ("mount_empty", pa.bool_()), ("script_notice", pa.bool_()),
+    ("external_scripts", pa.int32()), ("inline_script", pa.bool_()), ("mount", pa.string()), ("mount_empty", pa.bool_()), ("script_notice", pa.bool_()), ("content_key", pa.string()), ("mixed_content", pa.int32()),
 ])
 FIELDS_DDL = (
     "struct<title:string,title_count:int,h1:array<string>,h2:array<string>,description:string,meta_robots:string,og_title:string,og_image:string,canonical:string,"
     "word_count:int,images_missing_alt:int,jsonld:string,links:array<struct<url:string,anchor:string,nofollow:boolean>>,"
     "hreflang:array<struct<lang:string,url:string>>,bot_metas:array<struct<name:string,content:string>>,tdm_reservation:string,tdm_policy:string,markdown:string,nosnippet_words:int,"
-    "main_words:int,external_scripts:int,inline_script:boolean,mount:string,mount_empty:boolean,script_notice:boolean>"
+    "main_words:int,external_scripts:int,inline_script:boolean,mount:string,mount_empty:boolean,script_notice:boolean,content_key:string,mixed_content:int>"
 )
 
 
