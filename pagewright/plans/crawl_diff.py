@@ -51,12 +51,14 @@ _KINDS = {
     "canonical_changed": (f"{_MATCH} AND p.canonical IS DISTINCT FROM q.canonical", "2", "coalesce(q.canonical, 'none')", "coalesce(p.canonical, 'none')"),
     "redirect_chain_grew": (f"{_MATCH} AND p.hops > q.hops", "2", "CAST(q.hops AS VARCHAR)", "CAST(p.hops AS VARCHAR)"),
 }
+#: Of rows of one address the least counts.
+_LEAST = "QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY status, error NULLS FIRST, indexability, trim(title), canonical NULLS FIRST, hops, inlinks) = 1"
 _SQL = BASE + f""", snap AS (SELECT crawl_id, host AS site_id, page_id, status, error, indexability, title, hops, inlinks, in_sitemap, {_HOME} AS home, {_PAGE['canonical']} AS canonical, {_AT} AS url FROM cp),
 crawl AS (SELECT crawl_id, host AS site_id, {_HOME} || '/' AS origin, count(*) FILTER (in_sitemap AND (crawl_id = 1 OR page_id % 8 <> 1)) AS sitemap_urls, CAST(coalesce(sum(page_id) FILTER (page_id % 6 = 0), 0) AS VARCHAR) AS robots_print, {", ".join(f"{e} AS {c}" for c, e in _SITE.items())} FROM cp GROUP BY crawl_id, host),
 both_sites AS (SELECT p.site_id, p.origin AS p_origin, q.origin AS q_origin, p.stop AS p_stop, q.stop AS q_stop, p.stop = 'completed' AS p_whole, q.stop = 'completed' AS q_whole, p.robots_status AS p_robots, q.robots_status AS q_robots, p.robots_print AS p_print, q.robots_print AS q_print,
  p.sitemap_urls AS p_urls, q.sitemap_urls AS q_urls, p.sitemap_whole AND q.sitemap_whole AS sm_whole FROM crawl p JOIN crawl q ON q.site_id = p.site_id AND p.crawl_id = 2 AND q.crawl_id = 1),
-now AS (SELECT s.* FROM snap s JOIN both_sites b USING (site_id) WHERE crawl_id = 2 AND starts_with(s.url, b.p_origin)),
-then_ AS (SELECT s.* REPLACE (b.p_origin || substr(s.url, length(b.q_origin) + 1) AS url, CASE WHEN starts_with(s.canonical, b.q_origin) THEN b.p_origin || substr(s.canonical, length(b.q_origin) + 1) ELSE s.canonical END AS canonical) FROM snap s JOIN both_sites b USING (site_id) WHERE crawl_id = 1 AND starts_with(s.url, b.q_origin)),
+now AS (SELECT * FROM (SELECT s.* FROM snap s JOIN both_sites b USING (site_id) WHERE crawl_id = 2 AND starts_with(s.url, b.p_origin)) {_LEAST}),
+then_ AS (SELECT * FROM (SELECT s.* REPLACE (b.p_origin || substr(s.url, length(b.q_origin) + 1) AS url, CASE WHEN starts_with(s.canonical, b.q_origin) THEN b.p_origin || substr(s.canonical, length(b.q_origin) + 1) ELSE s.canonical END AS canonical) FROM snap s JOIN both_sites b USING (site_id) WHERE crawl_id = 1 AND starts_with(s.url, b.q_origin)) {_LEAST}),
 keys AS (SELECT site_id, url FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY inlinks DESC, url) AS r FROM now) WHERE r <= 20 UNION SELECT site_id, p_origin FROM both_sites UNION SELECT site_id, url FROM snap WHERE crawl_id = 2 AND page_id % 30 = 3),
 j AS (SELECT p, q, coalesce(p.site_id, q.site_id) AS site_id, coalesce(p.url, q.url) AS url FROM now p FULL JOIN then_ q ON p.site_id = q.site_id AND p.url = q.url),
 k AS (SELECT j.*, b.* EXCLUDE (site_id), (j.site_id, j.url) IN (SELECT (site_id, url) FROM keys) AS is_key FROM j JOIN both_sites b USING (site_id)),
