@@ -223,8 +223,9 @@ def j5(spark, sf_dir):
 def d2(spark, sf_dir):
     """Error spike: pages that fail anew, against two percent of all and three at least."""
     p = current(spark, sf_dir).select("url", F.expr(_BAD).alias("now"))
-    q = previous(spark, sf_dir).select("url", F.expr(_BAD).alias("before"))
-    one = p.join(q, "url", "left").agg(F.count_if(F.col("now") & (F.col("before") == F.lit(False))).alias("newly_failing"), F.count("*").alias("pages"))
+    # Earlier pages are counted by address first: where pages share one, each later page still is one page.
+    q = previous(spark, sf_dir).groupBy("url").agg(F.count_if(~F.expr(_BAD)).alias("well"))
+    one = p.join(q, "url", "left").agg(F.coalesce(F.sum(F.when(F.col("now"), F.col("well"))), F.lit(0)).alias("newly_failing"), F.count("*").alias("pages"))
     bound = F.greatest(F.lit(3), F.ceil(0.02 * F.col("pages")))
     return one.select("newly_failing", bound.alias("bound"), (F.col("newly_failing") >= bound).alias("spike"))
 
