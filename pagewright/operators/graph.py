@@ -175,3 +175,48 @@ def without_navigation(edges: DataFrame, parents: DataFrame, root: int, n_pages:
     popular = pairs.groupBy("to_id").agg(F.count("*").alias("n")).where((F.lit(n_pages) >= 10) & (2 * F.col("n") >= F.lit(n_pages)))
     tree = parents.select(F.col("parent_id").alias("from_id"), F.col("page_id").alias("to_id"))
     return pairs.where(F.col("to_id") != root).join(popular, "to_id", "left_anti").join(tree, ["from_id", "to_id"], "left_anti").select("from_id", "to_id")
+
+
+def _subsets(words: Column) -> Column:
+    """All subsets of an array, each in the array's order."""
+    return F.aggregate(words, F.array(F.array().cast("array<string>")), lambda made, w: F.concat(made, F.transform(made, lambda s: F.array_append(s, w))))
+
+
+def best_shared(wanting: DataFrame, offered: DataFrame, group: list[str], most: int = 6) -> DataFrame:
+    """page_id, stand_in: for each page of wanting the page of offered in its group that shares most words with it; ties, and none
+    shared, go to the smaller id. Both hold page_id, the group and words (distinct); a null in the group meets nothing.
+
+    Words that all pages of a group hold, or that one side does not hold, decide nothing and are left out. What is left of a
+    page, if it is no more than most words, is found by its subsets: each knows the least page that holds it, and the largest that a
+    page finds is what it shares with its best. So pages are never paired. Only pages with more words left are paired, by each
+    word, with the different sets of words of the other side.
+    """
+    key = [*group, "word"]
+    tagged = wanting.select(*group, "page_id", "words", F.lit(True).alias("asks")).unionByName(offered.select(*group, "page_id", "words", F.lit(False).alias("asks")))
+    tagged = tagged.dropna(subset=group)
+    words = tagged.select(*group, "page_id", "asks", F.explode("words").alias("word"))
+    held = words.groupBy(*key).agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("b"))
+    sizes = tagged.groupBy(*group).agg(F.count_if("asks").alias("all_a"), F.count_if(~F.col("asks")).alias("all_b"))
+    telling = held.join(sizes, group).where("a > 0 AND b > 0 AND (a < all_a OR b < all_b)").select(*key)
+    left = words.join(telling, key).groupBy("page_id", "asks").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    # Pages that hold the same words ask once and offer one page.
+    sets = tagged.select(*group, "page_id", "asks").join(left, ["page_id", "asks"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    sets = cut_lineage(sets)
+    asking = sets.where("asks").select(*group, "words").distinct()
+    offers = sets.where("NOT asks").groupBy(*group, "words").agg(F.min("page_id").alias("stand_in"))
+    few, many = F.size("words") <= most, F.size("words") > most
+
+    named = offers.where(few).select(*group, F.explode(_subsets(F.col("words"))).alias("shared"), "stand_in").groupBy(*group, "shared").agg(F.min("stand_in").alias("stand_in"))
+    met = asking.where(few).select(*group, "words", F.explode(_subsets(F.col("words"))).alias("shared")).join(named, [*group, "shared"])
+    found = met.select(*group, "words", F.size("shared").alias("n"), "stand_in")
+
+    def paired(asks: DataFrame, gives: DataFrame) -> DataFrame:
+        """Pairs of sets that share a word; how many is counted by words, not by comparing sets."""
+        one = asks.select(*group, "words", F.explode("words").alias("word")).join(gives.select(*group, "stand_in", F.explode("words").alias("word")), key)
+        return one.groupBy(*group, "words", "stand_in").agg(F.count("*").cast("int").alias("n")).select(*group, "words", "n", "stand_in")
+
+    least = offers.groupBy(*group).agg(F.min("stand_in").alias("stand_in"))
+    none = asking.join(least, group).select(*group, "words", F.lit(0).alias("n"), "stand_in")
+    found = found.unionByName(paired(asking.where(many), offers)).unionByName(paired(asking.where(few), offers.where(many))).unionByName(none)
+    best = found.groupBy(*group, "words").agg(F.max(F.struct("n", (-F.col("stand_in")).alias("neg"))).alias("m"))
+    return sets.where("asks").join(best, [*group, "words"]).select("page_id", (-F.col("m.neg")).alias("stand_in"))

@@ -8,6 +8,7 @@ from pagewright.operators import crawl
 from pagewright.operators import graph as G
 from pagewright.plans.fixtures import BASE, crawl_pages, current, edges, n_pages, previous
 from pagewright.plans.registry import query
+from pagewright.session import cut_lineage
 
 _BFS = """, walk AS (SELECT CAST(0 AS BIGINT) AS page_id, 0 AS depth UNION SELECT e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.page_id WHERE NOT e.nofollow AND w.depth < 12),
 depths AS (SELECT page_id, min(depth) AS depth FROM walk GROUP BY 1),
@@ -140,19 +141,15 @@ SELECT page_id, stand_in FROM (SELECT *, row_number() OVER (PARTITION BY page_id
 def j21(spark, sf_dir):
     """The best stand-in for a broken page: the page of its folder and host that shares most path words."""
     folder = F.regexp_extract("path", "^/([^/]+)/", 1)
-    rows = current(spark, sf_dir).select("page_id", "host", folder.alias("folder"), F.array_distinct(F.filter(F.split(F.lower("path"), "/"), lambda w: w != "")).alias("words"), "status", "error", "html_ok").where("folder <> ''")
-    broken = rows.where(_BAD).select("page_id", "host", "folder", "words")
-    good = rows.where("html_ok").select(F.col("page_id").alias("stand_in"), "host", "folder", F.col("words").alias("w2"))
-    met = broken.join(good, ["host", "folder"]).select("page_id", F.struct(F.size(F.array_intersect("words", "w2")).alias("shared"), (-F.col("stand_in")).alias("neg")).alias("m"))
-    return met.groupBy("page_id").agg(F.max("m").alias("m")).select("page_id", (-F.col("m.neg")).alias("stand_in"))
+    rows = current(spark, sf_dir).select("page_id", "host", folder.alias("folder"), F.array_distinct(F.filter(F.split(F.lower("path"), "/"), lambda w: w != "")).alias("words"), F.expr(_BAD).alias("broken"), "html_ok")
+    rows = cut_lineage(rows.where("folder <> '' AND (broken OR html_ok)"))
+    return G.best_shared(rows.where("broken"), rows.where("html_ok"), ["host", "folder"])
 
 
 @query("j22", BASE + _BFS + """, climb AS (SELECT page_id, parent_id AS above, 1 AS up FROM parents UNION ALL SELECT c.page_id, p.parent_id, c.up + 1 FROM climb c JOIN parents p ON p.page_id = c.above WHERE c.up < 12)
 SELECT page_id, arg_min(above, up) AS hub FROM climb WHERE above % 5 = 0 GROUP BY 1""")
 def j22(spark, sf_dir):
     """The nearest ancestor of each page that is a hub (here: an id divisible by five), up the tree."""
-    from pagewright.session import cut_lineage
-
     links = edges(spark, sf_dir)
     parents = cut_lineage(G.tree_parents(G.click_depth(links, 0), links))
     return G.nearest_above(parents, F.col("at") % 5 == 0).withColumnRenamed("above", "hub")
@@ -255,8 +252,6 @@ def v8(spark, sf_dir):
 @query("t9")
 def t9(spark, sf_dir):
     """A graph cut to fit 5,000 pages: the root, then the pages of the best link scores together with all their ancestors."""
-    from pagewright.session import cut_lineage
-
     pages = current(spark, sf_dir).select("page_id")
     links = edges(spark, sf_dir)
     crawled = links.join(pages.withColumnRenamed("page_id", "from_id"), "from_id", "left_semi").join(pages.withColumnRenamed("page_id", "to_id"), "to_id", "left_semi")
