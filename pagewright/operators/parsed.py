@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.extract import extracted
+from pagewright.functions.extract import extracted_beside
 from pagewright.operators import graph as G
 from pagewright.session import cut_lineage
 
@@ -28,9 +28,8 @@ def page_table(answers: DataFrame, root: int) -> tuple[DataFrame, DataFrame]:
     """
     is_page = F.col("status").between(200, 299) & (F.col("content_type").isNull() | F.col("content_type").rlike(_HTML))
     known = answers.where("page_id is not null and url is not null").withColumns({"status": F.coalesce("status", F.lit(0)), "html_ok": F.coalesce(is_page, F.lit(False))})
-    read = extracted(known.where("html_ok").select("page_id", "url", "html")).select("page_id", "fields")
     rest = ("page_id", "url", "status", "error", "response_ms", "hops", "redirect_target", "in_sitemap", "html_ok")
-    both = cut_lineage(known.select(*rest).join(read, "page_id", "left"))
+    both = cut_lineage(extracted_beside(known, F.col("html_ok"), *rest))
 
     at = both.groupBy("url").agg(F.min("page_id").alias("to_id"))
     out = both.select(F.col("page_id").alias("from_id"), F.posexplode("fields.links").alias("place", "link"))

@@ -44,3 +44,30 @@ def test_repeated_texts_and_plain_loads():
     assert len(set(same)) == 1 and extract("", "<p>two one")["content_key"] != same[0]
     html = "<img src='HTTP://x/a'><img src=//x/a><a href=http://x/><script src=http://x/></script><link rel='Stylesheet' href=http://x/><link rel=next href=http://x/>"
     assert extract("https://a.b/", html)["mixed_content"] == 3 and extract("http://a.b/", html)["mixed_content"] == 0
+
+
+def test_addresses_in_one_form_are_as_if_joined():
+    from pagewright.functions.extract import _joined, normalised_url
+
+    bases = [None, "", "https://A.b:443/x/y?z", "http://u@a.b:8080", "http://[bad", "mailto:x", "//c.d/", "ftp://f/", "https://é.b/", "https://a.b/;p"]
+    tails = ["", "/", "/a", "/a//b", "//c.d/e", "/a/", "/a;", "/a;b", "/./a", "/a/..", "/a.b/.c", "/a%20b", "/a?", "/a?b=c&d", "/a?b?#f", "/a#", "/a# f", "?q", "?", "x", "/é", "/a[b]", "/a'(b)*!$,~", "/a:b@c", "/_-.", "/a?é", "/a?b;c", "/a\tb", "/a\\b", "/A"]
+    origins = ["", "https://a.b", "http://a.b", "http://a.b.", "http://a.b:80", "http://a.b:81", "HTTP://a.b", "http://A.b", "http://-", "http://", "https://a_b", "http://..", "http://a..b", "https://u:p@a.b", "ftp://a.b", "http://[::1]"]
+    for base in bases:
+        for href in (o + t for o in origins for t in tails):
+            wanted = _joined(base, href) if href and not href.startswith("#") else None
+            assert normalised_url(base, href) == wanted, (base, href)
+
+
+def test_a_worker_holds_few_pages_at_a_time(monkeypatch):
+    """Fields go on in pieces of the batch, whatever its size."""
+    import pyarrow as pa
+
+    from pagewright.functions import extract as E
+
+    html = ["<p>x<a href=/y>y</a>"] * 700 + [None, "z" * (3 << 20), "<p>last", "w" * (1 << 20), "v"]
+    columns = [pa.array(["https://a.b/"] * len(html)), pa.array(html), pa.array([i % 5 > 0 for i in range(len(html))]), pa.array(range(len(html)))]
+    made = list(E._extracted(iter([pa.RecordBatch.from_arrays(columns, names=["_url", "_html", "_wanted", "page_id"])])))
+    assert [b.num_rows for b in made] == [256, 256, 189, 1, 1, 1, 1] and [i for b in made for i in b.column(0).to_pylist()] == list(range(len(html)))
+    fields = [f for b in made for f in b.column(1).to_pylist()]
+    assert [f is None for f in fields] == [i % 5 == 0 for i in range(len(html))] and all(len(f["links"]) == 1 for f in fields[:700] if f)
+    assert list(E._extracted(iter([pa.RecordBatch.from_arrays([c[:0] for c in columns], names=["_url", "_html", "_wanted", "page_id"])]))) == []
