@@ -67,24 +67,23 @@ def changed_keys(pairs: DataFrame, keys: list[str], before: str, after: str) ->
     there is none, which is told apart from JSON's own null).
 
     Objects are compared key by key, at any depth, also where only one side has one; arrays and all else as wholes. A round
-    takes all documents one level down by a null-safe full join of their members. A text that is null or no JSON is an
-    absent document. keys are unique and not null.
+    takes all documents one level down, each row by itself: no row is moved. A text that is null or no JSON is an absent
+    document. keys are unique and not null.
     """
     out = None
     level = pairs.select(*keys, F.lit("").alias("path"), F.try_parse_json(before).alias("a"), F.try_parse_json(after).alias("b"))
+    members = "map<string, variant>"
     while True:
-        level = cut_lineage(level.select(*keys, "path", "a", "b", (_is_object(F.col("a")) | F.col("a").isNull()).alias("ga"), (_is_object(F.col("b")) | F.col("b").isNull()).alias("gb")))
-        down = F.col("ga") & F.col("gb")
-        values = level.where(~down).select(*keys, "path", F.to_json("a").alias("before"), F.to_json("b").alias("after"))
+        down = (_is_object(F.col("a")) | F.col("a").isNull()) & (_is_object(F.col("b")) | F.col("b").isNull()) & (F.col("a").isNotNull() | F.col("b").isNotNull())
+        level = cut_lineage(level.select(*keys, "path", "a", "b", down.alias("down")))
+        values = level.where("NOT down").select(*keys, "path", F.to_json("a").alias("before"), F.to_json("b").alias("after"))
         values = values.where(~F.col("before").eqNullSafe(F.col("after")))
         out = values if out is None else out.unionByName(values)
-        going = level.where(down & (F.col("a").isNotNull() | F.col("b").isNotNull()))
+        going = level.where("down")
         if going.isEmpty():
             return out
-
-        def members(side: str, going: DataFrame = going) -> DataFrame:
-            held = going.where(f"{side} is not null").select(*keys, "path", side)
-            inner = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-            return held.lateralJoin(held.sparkSession.tvf.variant_explode(F.col(side).outer())).select(*keys, inner.alias("path"), F.col("value").alias(side))
-
-        level = members("a").join(members("b"), [*keys, "path"], "full")
+        # A reader of files may get the members of all rows before it drops those that do not go on, so what is no object is null.
+        held = going.select(*keys, "path", *(F.coalesce(F.try_variant_get(c, "$", members), F.create_map().cast(members)).alias(c) for c in "ab"))
+        names = held.select(*keys, "path", "a", "b", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("name"))
+        inner = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
+        level = names.select(*keys, inner.alias("path"), F.try_element_at("a", F.col("name")).alias("a"), F.try_element_at("b", F.col("name")).alias("b"))

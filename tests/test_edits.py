@@ -153,3 +153,21 @@ def test_challenges(spark):
     frame = spark.createDataFrame([a[:4] for a in answers], "page_id long, status int, headers map<string,string>, body binary")
     got = A.challenges(frame, "page_id", "status", "headers", "body").collect()
     assert {(r.page_id, (r.vendor, r.signal)) for r in got} == {(a[0], a[4]) for a in answers if a[4]}
+
+
+def test_changed_keys_move_no_rows(spark):
+    """Levels are taken down where the documents lie: nothing in the plan is exchanged, and each level has a scan and no join."""
+    rows = spark.range(50).selectExpr("id", """concat('{"a":{"b":', id, ',"c":{"d":1}},"e":', id % 2, '}') AS old""", """concat('{"a":{"b":', id % 7, '},"e":0}') AS new""")
+    seen = []
+
+    def cut(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    real, E.cut_lineage = E.cut_lineage, cut
+    try:
+        got = E.changed_keys(rows, ["id"], "old", "new")
+    finally:
+        E.cut_lineage = real
+    assert len(seen) == 4 and not any("Join" in p for p in seen)
+    assert sorted((r.id, r.path) for r in got.collect()) == sorted([*((i, "a.b") for i in range(7, 50)), *((i, "a.c.d") for i in range(50)), *((i, "e") for i in range(1, 50, 2))])
