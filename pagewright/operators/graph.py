@@ -97,10 +97,11 @@ def kept_pages(scores: DataFrame, parents: DataFrame, root: int, most: int) -> D
         pool = cut_lineage(rest.join(fits, "page_id", "left_semi").select("page_id", "parent_id", "place"))
 
 
-def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, cut_every: int = 6) -> DataFrame:
+def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
     """page_id, rank, score 1..100: PageRank over distinct followed links; pages without links give to all alike.
 
-    Lineage is cut every few rounds; ranks are rounded in the end, as sums depend on their order in the last digits.
+    Lineage is cut every round, as a round reads the ranks three times, and what pages got is joined by a shuffle, so that it does
+    not pass the driver; ranks are rounded in the end, as sums depend on their order in the last digits.
     """
     known = pages.select("page_id")
     links = edges.where("NOT nofollow AND from_id <> to_id").select("from_id", "to_id").distinct()
@@ -112,7 +113,7 @@ def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: fl
     for k in range(1, rounds + 1):
         given = links.join(ranks.select(F.col("page_id").alias("from_id"), "rank"), "from_id").groupBy(F.col("to_id").alias("page_id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         spread = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("spread"))  # one row
-        ranks = ranks.join(given, "page_id", "left").crossJoin(F.broadcast(spread)).select(
+        ranks = ranks.join(given.hint("merge"), "page_id", "left").crossJoin(F.broadcast(spread)).select(
             "page_id", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("spread") / n)).alias("rank")
         )
         if k % cut_every == 0:
