@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import cut_lineage
 
+#: Links of a part of targets(), about.
+PART_LINKS = 1 << 24
+
 
 def distinct_links(edges: DataFrame) -> DataFrame:
     """from_id, to_id, anchor, nofollow: one row per pair; the first anchor stands (of two at one place the lesser), nofollow
@@ -16,13 +20,45 @@ def distinct_links(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from_id", "to_id").agg(F.min_by("anchor", F.struct("edge_seq", "anchor")).alias("anchor"), F.bool_and("nofollow").alias("nofollow"), F.min("edge_seq").alias("edge_seq"))
 
 
+def targets(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """from_id, to_ids: the distinct other pages that followed links of a page lead to. With pages given, a row for each of them,
+    and links between them only; else a row for each page with links.
+
+    The links are dealt by from_id and sorted once, and persisted, which unlike Parquet keeps how they lie: a round that joins them
+    moves the other side only. Parts are few, a core's each or so many links, as each sums what a round gives to a page before
+    that moves. The caller unpersists.
+    """
+    links = edges.where("NOT nofollow AND from_id IS NOT NULL AND NOT (from_id <=> to_id)").select("from_id", "to_id")
+    if pages is not None:
+        links = links.join(pages.select(F.col("page_id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
+        # A page's own row has no target.
+        links = links.unionByName(pages.select(F.col("page_id").alias("from_id"), F.lit(None).cast("long").alias("to_id")))
+    links = cut_lineage(links)
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-links.count() // PART_LINKS))
+    out = links.repartition(parts, "from_id").groupBy("from_id").agg(F.array_distinct(F.collect_list("to_id")).alias("to_ids"), F.bool_or(F.col("to_id").isNull()).alias("none"))
+    if pages is not None:
+        out = out.where("none")
+    else:
+        out = out.withColumn("to_ids", F.when(F.col("none"), F.array_append("to_ids", F.lit(None).cast("long"))).otherwise(F.col("to_ids")))
+    out = out.select("from_id", "to_ids").sortWithinPartitions("from_id").persist(StorageLevel.DISK_ONLY)
+    out.count()  # how rows lie is known to plans once they are made
+    return out
+
+
 def click_depth(edges: DataFrame, root: int) -> DataFrame:
-    """page_id, depth by levels from root; a round is a join of the last level with the links, until a level is empty."""
-    links = cut_lineage(edges.where("NOT nofollow").select("from_id", "to_id").distinct())
-    seen = level = edges.sparkSession.createDataFrame([(root, 0)], "page_id long, depth int")
+    """page_id, depth by levels from root along followed links."""
+    links = targets(edges)
+    depths = levels(links, root)
+    links.unpersist()
+    return depths
+
+
+def levels(links: DataFrame, root: int) -> DataFrame:
+    """click_depth of targets(); a round is a join of the last level with the links, until a level is empty."""
+    seen = level = links.sparkSession.createDataFrame([(root, 0)], "page_id long, depth int")
     for d in count(1):
-        reached = level.join(links, level.page_id == links.from_id).select(F.col("to_id").alias("page_id")).distinct()
-        level = cut_lineage(reached.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(d)))
+        reached = links.join(level, links.from_id == level.page_id).select(F.explode("to_ids").alias("page_id")).distinct()
+        level = cut_lineage(reached.join(seen.select(F.col("page_id").alias("at")), F.expr("page_id <=> at"), "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
             return seen
         # Levels are read where they were written; now and then they become one table, so that plans stay short.
@@ -32,8 +68,9 @@ def click_depth(edges: DataFrame, root: int) -> DataFrame:
 
 
 def tree_parents(depths: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_id, parent_id: the first link, in order, from a page one level up."""
-    up = depths.select(F.col("page_id").alias("from_id"), F.col("depth").alias("d0"))
+    """page_id, parent_id: the first link, in order, from a page one level up. Most links start on the last level, which has none below."""
+    last = depths.agg(F.max("depth").alias("last"))  # one row
+    up = depths.crossJoin(F.broadcast(last)).where("depth < last").select(F.col("page_id").alias("from_id"), F.col("depth").alias("d0"))
     down = depths.select(F.col("page_id").alias("to_id"), F.col("depth").alias("d1"))
     both = edges.where("NOT nofollow").join(up, "from_id").join(down, "to_id").where("d1 = d0 + 1")
     return both.groupBy(F.col("to_id").alias("page_id")).agg(F.min_by("from_id", "edge_seq").alias("parent_id"))
@@ -98,20 +135,24 @@ def kept_pages(scores: DataFrame, parents: DataFrame, root: int, most: int) -> D
 
 
 def link_score(pages: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
-    """page_id, rank, score 1..100: PageRank over distinct followed links; pages without links give to all alike.
+    """page_id, rank, score 1..100: PageRank over distinct followed links; pages without links give to all alike."""
+    links = targets(edges, pages.select("page_id"))
+    scores = scored(links, rounds, damping, cut_every)
+    links.unpersist()
+    return scores
+
+
+def scored(links: DataFrame, rounds: int = 30, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
+    """link_score of targets() with a row for each page.
 
-    Lineage is cut every round, as a round reads the ranks three times, and what pages got is joined by a shuffle, so that it does
-    not pass the driver; ranks are rounded in the end, as sums depend on their order in the last digits.
+    Lineage is cut every round, as a round reads the ranks three times. Ranks go to where the links lie and what pages got is joined
+    by a shuffle, so that neither passes the driver; ranks are rounded in the end, as sums depend on their order in the last digits.
     """
-    known = pages.select("page_id")
-    links = edges.where("NOT nofollow AND from_id <> to_id").select("from_id", "to_id").distinct()
-    links = links.join(known.withColumnRenamed("page_id", "from_id"), "from_id", "left_semi").join(known.withColumnRenamed("page_id", "to_id"), "to_id", "left_semi")
-    out = links.groupBy("from_id").agg(F.count("*").alias("out"))
-    links = cut_lineage(links.join(out, "from_id"))
-    n = known.count()
-    ranks = cut_lineage(known.join(out.withColumnRenamed("from_id", "page_id"), "page_id", "left").select("page_id", (F.col("out").isNull()).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    n = links.count()
+    ranks = cut_lineage(links.select(F.col("from_id").alias("page_id"), (F.size("to_ids") == 0).alias("dangling"), F.lit(1.0 / n).alias("rank")))
     for k in range(1, rounds + 1):
-        given = links.join(ranks.select(F.col("page_id").alias("from_id"), "rank"), "from_id").groupBy(F.col("to_id").alias("page_id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        giving = links.join(ranks.select(F.col("page_id").alias("from_id"), "rank").hint("merge"), "from_id")
+        given = giving.select((F.col("rank") / F.size("to_ids")).alias("part"), F.explode("to_ids").alias("page_id")).groupBy("page_id").agg(F.sum("part").alias("got"))
         spread = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("spread"))  # one row
         ranks = ranks.join(given.hint("merge"), "page_id", "left").crossJoin(F.broadcast(spread)).select(
             "page_id", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("spread") / n)).alias("rank")

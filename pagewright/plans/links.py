@@ -252,8 +252,10 @@ def v8(spark, sf_dir):
 @query("t9")
 def t9(spark, sf_dir):
     """A graph cut to fit 5,000 pages: the root, then the pages of the best link scores together with all their ancestors."""
-    pages = current(spark, sf_dir).select("page_id")
+    pages = cut_lineage(current(spark, sf_dir).select("page_id"))
     links = edges(spark, sf_dir)
-    crawled = links.join(pages.withColumnRenamed("page_id", "from_id"), "from_id", "left_semi").join(pages.withColumnRenamed("page_id", "to_id"), "to_id", "left_semi")
-    parents = cut_lineage(G.tree_parents(G.click_depth(crawled, 0), crawled))
-    return G.kept_pages(G.link_score(pages, links, cut_every=1).select("page_id", "score"), parents, 0, 5000)
+    crawled = G.targets(links, pages)
+    parents = cut_lineage(G.tree_parents(G.levels(crawled, 0), links))
+    scores = G.scored(crawled).select("page_id", "score")
+    crawled.unpersist()
+    return G.kept_pages(scores, parents, 0, 5000)
