@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagewright.functions.challenges import Detector
+from pagewright.functions.challenges import SCANNED, Detector
 from pagewright.functions.dims import ENGINES
 from pagewright.operators.explore import glob_regex
 
@@ -138,16 +138,17 @@ def address_gap(scheme: str, www: bool, slash: bool) -> Column:
     )
 
 
-def challenges(answers: DataFrame, key: str, status: str, headers: str, body: str) -> DataFrame:
+def challenges(answers: DataFrame, key: str, status: str, headers: str, body: str, scanned: int | None = SCANNED) -> DataFrame:
     """key, vendor, signal of the answers (status, map of headers, text or bytes of the body) that are a bot manager's
-    challenge or refusal. Null headers and bodies are empty ones; the automaton is made once a task."""
+    challenge or refusal. Null headers and bodies are empty ones; of a body the first `scanned` bytes are searched (None:
+    all); the automaton is made once a task."""
     picked = answers.select(F.col(key).alias("key"), F.col(status).cast("int").alias("status"), F.map_entries(headers).alias("headers"), F.col(body).cast("binary").alias("body"))
     schema = StructType([picked.schema["key"], *StructType.fromDDL("vendor string, signal string").fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector()
         for part in parts:
-            rows = [detector.found(s, [(h["key"], h["value"]) for h in hs or ()], b) for s, hs, b in zip(*(c.to_pylist() for c in part.columns[1:]))]
+            rows = [detector.found(s, [(h["key"], h["value"]) for h in hs or ()], b, scanned) for s, hs, b in zip(*(c.to_pylist() for c in part.columns[1:]))]
             hit = pa.array([k for k, r in enumerate(rows) if r], pa.int32())
             columns = [pa.array([r[c] for r in rows if r], pa.string()) for c in range(2)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(hit), *columns], names=schema.names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,6 +15,7 @@ from pagewright.functions.robots import Verdicts, groups_of, rules_for
 from pagewright.functions.robots_edit import Intent, content_signal, suggested
 from pagewright.operators import access as A
 from pagewright.operators import edits as E
+from pagewright.plans import all_plans
 
 LINES = st.lists(st.sampled_from(["a", "b", "c", "d", ""]), max_size=14)
 
@@ -155,6 +157,20 @@ def test_challenges(spark):
     assert {(r.page_id, (r.vendor, r.signal)) for r in got} == {(a[0], a[4]) for a in answers if a[4]}
 
 
+def test_challenges_in_whole_bodies(spark, tmp_path):
+    """x18 against its SQL over bodies around and far beyond 64 KiB, small ones and absent ones; markers stand before or after."""
+    wide = ["x" * n for n in (65_520, 65_536, 70_000, 300_000, 10)]
+    pages = [(62 * k + i, f"https://a.b/{62 * k + i}", html) for k, html in enumerate([*wide, None]) for i in range(62)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = con.execute(all_plans.ORACLE["x18"]).fetchall()
+    got = all_plans.QUERIES["x18"](spark, str(tmp_path)).select("page_id", "vendor", "signal").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    late = [i for i, _, html in pages if i % 31 == 2 and i % 13 > 5 and html and len(html) > 65_536]
+    assert late and {(i, "cloudflare", "_cf_chl_opt") for i in late} <= set(wanted)
+
+
 def test_changed_keys_move_no_rows(spark):
     """Levels are taken down where the documents lie: nothing in the plan is exchanged, and each level has a scan and no join."""
     rows = spark.range(50).selectExpr("id", """concat('{"a":{"b":', id, ',"c":{"d":1}},"e":', id % 2, '}') AS old""", """concat('{"a":{"b":', id % 7, '},"e":0}') AS new""")
